@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipfleet.llm import bpe, mixing, ngram_join, quality_rules, secret_scan, token_files
-from clipfleet.llm.common import scratch_path
+from clipfleet.llm import bpe, chat_trees, embedding_dedup, mixing, ngram_join, quality_qda, quality_rules, secret_scan, token_files
+from clipfleet.llm.common import scratch_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,36 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = turns.dtypes
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = turns.union(own.select(*[F.col(c).cast(t) for c, t in kinds]))
+    back = chat_trees.read_back(chat_trees.format_paths(chat_trees.best_paths(chat_trees.linear_nodes(turns))))
+    learned = F.array_join("learned", "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(quality_qda.features(table(spark, sf_dir, "documents")), "features")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_qda.score(rows, quality_qda.fit(rows.join(labels, "doc_id")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,5 +77,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "n_examples")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op7_mixing, op8_byte_bpe, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
