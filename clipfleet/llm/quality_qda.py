@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Statistics of the whole text are transformed (logarithms, square roots) so that they are closer to normal. Each class
-has a mean and a covariance; the covariance is drawn towards the pooled one and that towards a multiple of the identity.
+has a mean and a covariance; rates of short texts are drawn towards the corpus mean, by `few` words' worth; the covariance is drawn towards the pooled one and that towards a multiple of the identity.
 The score is the logistic of the difference of the two Mahalanobis log-densities plus the log prior, divided by a
 temperature; Cholesky factors are computed once and sent with the model.
 
@@ -72,8 +72,17 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def settled(x: np.ndarray, centre: np.ndarray, few: float) -> np.ndarray:
+    """x with all but the length drawn towards the centre: a text of n words keeps n / (n + few) of its distance."""
+    n = np.expm1(x[:, :1])
+    keep = n / (n + few)
+    return np.hstack([x[:, :1], centre[1:] + (x[:, 1:] - centre[1:]) * keep])
+
+
 @dataclass
 class Model:
+    centre: np.ndarray  # mean of all labelled rows
+    few: float
     means: np.ndarray  # class, feature
     factors: np.ndarray  # class, lower Cholesky factor of the covariance
     log_dets: np.ndarray
@@ -82,30 +91,34 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability-like score of class 1 for each row of x."""
-        d = []
+        d, x = [], settled(x, self.centre, self.few)
         for c in (0, 1):
             z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
             d.append(-0.5 * ((z**2).sum(0) + self.log_dets[c]))
         return 1 / (1 + np.exp(-np.clip((d[1] - d[0] + self.log_prior) / self.temperature, -60, 60)))
 
 
-def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperature: float = 4.0) -> Model:
+def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperature: float = 4.0, few: float = 30.0) -> Model:
     """Model of (x, label) rows with label 0 or 1: class covariances (1 - shrink) own + shrink pooled, and of that
     (1 - ridge) + ridge * mean variance * identity."""
     k = len(FEATURES)
+    used = labelled.filter("label IN (0, 1)").select("x", F.col("label").cast("int").alias("label"))
+    centre = np.zeros(k)
+    for r in used.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).collect():  # k rows
+        centre[r.i] = r.v
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + k + k * k))
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist()).reshape(-1, k)
+                x = settled(np.array(b.column(0).to_pylist()).reshape(-1, k), centre, few)
                 y = b.column(1).to_numpy(zero_copy_only=False)
                 for c in (0, 1):
                     z = x[y == c]
                     total[c] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
         yield pa.record_batch({"label": pa.array([0, 1], pa.int32()), "m": pa.array(list(total), pa.list_(pa.float64()))})
 
-    sums = labelled.filter("label IN (0, 1)").select("x", F.col("label").cast("int").alias("label")).mapInArrow(moments, "label int, m array<double>")
+    sums = used.mapInArrow(moments, "label int, m array<double>")
     sums = sums.select("label", F.posexplode("m").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v")).collect()  # 2 (1 + k + k^2) rows
     m = np.zeros((2, 1 + k + k * k))
     for r in sums:
@@ -128,7 +141,7 @@ def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.05, temperatu
         factors.append(low)
         dets.append(2 * np.log(np.diag(low)).sum())
     prior = float(np.log(n[1] / n[0])) if n.all() else 0.0
-    return Model(np.array(means), np.array(factors), np.array(dets), prior, temperature)
+    return Model(centre, few, np.array(means), np.array(factors), np.array(dets), prior, temperature)
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:

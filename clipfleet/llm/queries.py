@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipfleet.llm import bpe, chat_trees, embedding_dedup, mixing, ngram_join, quality_qda, quality_rules, secret_scan, token_files
+from clipfleet.llm import bpe, chat_trees, embedding_dedup, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
 from clipfleet.llm.common import scratch_path, stored
 
 
@@ -71,11 +71,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(pii.KINDS[:4])], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "n_examples")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
