@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import n_words_of, stored
+from clipfleet.llm.common import BLANKS, n_words_of, stored
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 BLOCK, BUCKETS, CELLS, CHUNK = 1024, 4096, 1024, 1 << 16
@@ -113,7 +113,8 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
     once = docs.withColumn("__h", F.xxhash64("text")).withColumn("__k", key).dropDuplicates(["doc_id", "__h", "__k"])
     both = once.join(per, once["doc_id"].eqNullSafe(per["__id"]) & (once["__h"] == per["__hash"]) & (once["__k"] == per["__key"]))
-    short = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', cast(__words as string), '}'), 0)")
+    worded = F.regexp_extract_all("text", F.lit(f"[{BLANKS}]*[^{BLANKS}]+"), F.lit(0))
+    short = F.array_join(F.slice(worded, 1, F.col("__words").cast("int")), "")
     out = both.withColumn("text", F.when(F.col("__words") < F.col("size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
