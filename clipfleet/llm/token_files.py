@@ -111,7 +111,7 @@ class BlankSplitEncoder:
     (tests compare it with the library on whole texts).
     """
 
-    def __init__(self, path: str, dtype: str, keep: int = 700_000, longest: int = 200, word_end: str = "</w>"):
+    def __init__(self, path: str, dtype: str, keep: int = 1_500_000, longest: int = 200, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
