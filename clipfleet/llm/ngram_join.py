@@ -3,15 +3,19 @@
 Method
  1. Each document becomes a sorted set of 64-bit shingle hashes. Documents with equal sets form a class; its smallest
     id stands for it.
- 2. A count sketch of all shingles (bounded size, grows with the input up to a cap) gives each token a level. Three
-    global orders follow from it: A by (level, hash), B by (level, another hash), C by a third hash alone. Two sets
-    with Jaccard >= t share a token in their first n - ceil(t n) + 1 tokens under *every* order.
+ 2. Three global token orders. A: the tokens of a fifth of the hash space first, by their exact document frequency, then
+    the others by hash. B and C: by two other hashes. Two sets with Jaccard >= t share a token among their first
+    n - ceil(t n) + 1 tokens under *every* order. For A only a fifth of the tokens is counted and shuffled; tokens of
+    one document come first and match nothing, so a document whose prefix is full of them has no partner and is done.
  3. Tokens of the A prefix that two or more classes share make candidates; they must share B and C prefix tokens too
-    (intersection of the filters) and fit in length before their whole sets are fetched and compared.
- 4. Groups never expand into all pairs at once. In each of a few rounds every posting list compares its members with
-    one pivot only (the one whose tokens are most shared); linked members become one component, and lists within one
-    component are done. What is left is compared pair by pair across components, inside the join condition, with long
-    lists dealt in chunks. No link is lost: a pair is left out only if both ends are in one component already.
+    (intersection of the filters) and fit in length before their whole sets are compared.
+ 4. Groups never expand into all pairs. Every posting list compares its members with one pivot p (the one whose tokens
+    are most shared). Two members that both link to p are in one component. Otherwise one of them, x, is farther from p
+    than a link allows, |x ^ p| > c (|x| + |p|) with c = (1 - t) / (1 + t), and a link of x and y needs
+    |x ^ y| <= c (|x| + |y|), so their differences from p share more than (|y ^ p| + c (|p| - |y|)) / 2 tokens: over
+    about half of y's. Hence x and y meet on one of the rarest |y ^ p| - that many tokens of y's difference. An inverted
+    index on differences finds all such pairs: edits that documents don't share never meet, whatever the group's size.
+    Lists of SMALL members or fewer are compared directly. No link is lost.
 
 Long-lived results are written to the shared folder; the graph part uses `common.connected_components`.
 
@@ -22,11 +26,9 @@ Rows that share an id count as one document in the graph. Extra columns are igno
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from clipfleet.llm.common import connected_components, id_filter, passes, stored
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-SKETCH_CHUNK, SKETCH_MIN, SKETCH_MAX = 16, 16, 24
-PIVOT_ROUNDS, LIST_CHUNK = 3, 512
+COUNTED = np.uint64((1 << 64) // 5)  # tokens below it are counted for order A
+SMALL = 8
 
 
 class _Words(dict):
@@ -79,149 +81,131 @@ def _prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Rows (doc_id, n, sig) of documents and rows (chunk, counts) of the sketch, from one pass over the texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, sig) of each row; sig is a 128-bit hash of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_row = np.zeros(1 << bits, dtype=np.uint32), False
         for b in batches:
-            any_row = True
             n, sig = [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        if any_row:
-            for c in range(1 << (bits - SKETCH_CHUNK)):
-                part = counts[c << SKETCH_CHUNK : (c + 1) << SKETCH_CHUNK]
-                yield pa.RecordBatch.from_pylist([{"chunk": c, "counts": zlib.compress(part.tobytes(), 1)}], schema=schema)
+            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary")
 
 
-def _levels(scan: DataFrame, bits: int) -> np.ndarray:
-    """Level of each bucket of the sketch: about 4 times the binary logarithm of its count. 2^24 bytes at most."""
-
-    def add(key, parts):
-        total = np.zeros(1 << SKETCH_CHUNK, dtype=np.uint64)
-        for x in parts["counts"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-        return pd.DataFrame({"chunk": [key[0]], "levels": [(np.log2(1.0 + total) * 4).astype(np.uint8).tobytes()]})
-
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for r in scan.filter("chunk IS NOT NULL").groupBy("chunk").applyInPandas(add, "chunk int, levels binary").collect():
-        out[r.chunk << SKETCH_CHUNK : (r.chunk + 1) << SKETCH_CHUNK] = np.frombuffer(r.levels, dtype=np.uint8)
-    return out
-
-
-def _prefixes(docs: DataFrame, keep: tuple[int, np.ndarray], levels: np.ndarray, bits: int, width: int, percent: int) -> DataFrame:
-    """(id, n, a, b, c): prefix tokens under the three orders; B and C as 32-bit values, which only adds candidates."""
-    shared = docs.sparkSession.sparkContext.broadcast((keep, levels))
+def _tokens(docs: DataFrame, keep: tuple[int, np.ndarray], width: int, percent: int) -> DataFrame:
+    """(id, n, p, tokens) of documents that pass the filter: the counted tokens, or the first p if those are fewer."""
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (kb, kt), lv = shared.value
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(passes(ids, kb, kt))
-            out = {"id": [], "n": [], "a": [], "b": [], "c": []}
-            for i in some:
-                s = shingles(b.column(1)[int(i)].as_py(), width)
-                if not len(s):
-                    continue
-                p, level = _prefix_length(len(s), percent), lv[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                s2, s3 = s * _M2, s * _M3
-                out["id"].append(int(ids[i]))
-                out["n"].append(len(s))
-                out["a"].append(s[np.lexsort((s, level))[:p]].view(np.int64))
-                out["b"].append((s2[np.lexsort((s2, level))[:p]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                out["c"].append((np.sort(s3)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.record_batch({"id": pa.array(out["id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "a": pa.array(out["a"], pa.list_(pa.int64())), "b": pa.array(out["b"], pa.list_(pa.int32())), "c": pa.array(out["c"], pa.list_(pa.int32()))})
-
-    return docs.mapInArrow(run, "id long, n long, a array<long>, b array<int>, c array<int>")
-
-
-def _sets(docs: DataFrame, keep: tuple[int, np.ndarray], width: int) -> DataFrame:
+            for lo in range(0, len(ids), 512):
+                out = {"id": [], "n": [], "p": [], "tokens": []}
+                for i in lo + np.flatnonzero(passes(ids[lo : lo + 512], *shared.value)):
+                    s = shingles(b.column(1)[int(i)].as_py(), width)
+                    if len(s):
+                        p = _prefix_length(len(s), percent)
+                        for k, v in (("id", int(ids[i])), ("n", len(s)), ("p", p), ("tokens", s[: max(p, int(np.searchsorted(s, COUNTED)))].view(np.int64))):
+                            out[k].append(v)
+                yield pa.record_batch({"id": pa.array(out["id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "p": pa.array(out["p"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
+
+    return docs.mapInArrow(run, "id long, n long, p long, tokens array<long>")
+
+
+def _sets(docs: DataFrame, keep: tuple[int, np.ndarray], width: int, percent: int) -> DataFrame:
+    """(id, b, c, items): prefixes under orders B and C, as 32-bit values (which only adds candidates), and the set."""
     shared = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(ids), 256):
                 some = lo + np.flatnonzero(passes(ids[lo : lo + 256], *shared.value))
-                yield pa.record_batch({"id": pa.array(ids[some], pa.int64()), "items": pa.array([shingles(b.column(1)[int(i)].as_py(), width).view(np.int64) for i in some], pa.list_(pa.int64()))})
+                sets = [shingles(batch.column(1)[int(i)].as_py(), width) for i in some]
+                first = lambda m: pa.array([(np.sort(s * m)[: _prefix_length(len(s), percent)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))  # noqa: E731, B023
+                yield pa.record_batch({"id": pa.array(ids[some], pa.int64()), "b": first(_M2), "c": first(_M3), "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+    return docs.mapInArrow(run, "id long, b array<int>, c array<int>, items array<long>")
 
-    return docs.mapInArrow(run, "id long, items array<long>")
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    """(t, id, n, k): prefix tokens under order A that two or more documents have in their prefixes."""
+    each = tokens.select(F.explode("tokens").alias("t"), "id")
+    df = each.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
+    met = each.join(df, "t").groupBy("id").agg(F.collect_list(F.struct((F.expr(f"t < 0 OR t >= {int(COUNTED)}")).alias("late"), "k", "t")).alias("met"))
+    own = met.join(tokens.select("id", "n", "p", F.size("tokens").alias("e")), "id")
+    need = F.col("p") - (F.col("e") - F.size("met"))  # what tokens of one document leave of the prefix
+    first = own.filter(need > 0).select("id", "n", F.explode(F.slice(F.sort_array("met"), 1, need.cast("int"))).alias("x")).select("x.t", "id", "n")
+    first = stored(first, "prefixes")
+    return first.join(first.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1"), "t")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link when 100 |A and B| >= percent |A or B|."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(min(SKETCH_MAX, max(SKETCH_MIN, (int(chars) // 256).bit_length())))
-    scan = stored(_scan(docs, width, bits), "shingles")
-    info = scan.filter("chunk IS NULL").select("doc_id", "n", "sig")
-    classes = info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = stored(classes, "classes")
+    info = stored(_signatures(docs, width), "shingles")
+    classes = stored(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
     named = docs.filter("doc_id IS NOT NULL")
-    pre = stored(_prefixes(named, id_filter(classes, "rep"), _levels(scan, bits), bits, width, percent), "prefixes")
+    tokens = stored(_tokens(named, id_filter(classes, "rep"), width, percent), "tokens")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     jaccard = lambda x, y: F.size(F.array_intersect(x, y)) * (100 + percent) >= percent * (F.size(x) + F.size(y))
 
-    post = pre.select(F.explode("a").alias("t"), "id", "n")
-    shared = post.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
-    now = stored(post.join(shared, "t"), "postings")
+    now = stored(_postings(tokens), "postings")
     score = now.groupBy("id").agg(F.sum("k").alias("score"))
-    now = now.drop("k").join(score, "id").withColumn("lab", F.col("id"))
+    now = now.drop("k").join(score, "id")
     near = score.select("id")
-    orders = stored(pre.join(near, "id", "left_semi"), "orders")
-    sets = stored(_sets(named, id_filter(near, "id"), width).join(near, "id", "left_semi"), "sets")
-    edges = None
-    for k in range(PIVOT_ROUNDS):
-        now = stored(now, f"lists{k}")
-        pivot = now.groupBy("t").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("pn"), F.col("lab").alias("plab"))).alias("p")).select("t", (-F.col("p.minus")).alias("pid"), "p.pn", "p.plab")
-        met = now.join(pivot, "t").filter((F.col("id") != F.col("pid")) & (F.col("lab") != F.col("plab")) & fits(F.col("n"), F.col("pn")))
-        pairs = met.select(F.least("id", "pid").alias("x"), F.greatest("id", "pid").alias("y")).distinct()
-        link = _verified(pairs, orders, sets, jaccard)
-        edges = stored(link if edges is None else edges.union(link), f"links{k}")
-        labels = connected_components(edges)
-        now = now.join(pivot.select("t", "pid"), "t").filter("id != pid").drop("pid", "lab").join(labels, "id", "left").withColumn("lab", F.coalesce("component", "id")).drop("component")
-        now = now.join(now.groupBy("t").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).filter("l0 < l1").select("t"), "t", "left_semi")
-    rest = stored(now, "rest")
-    if not rest.isEmpty():
-        edges = stored(edges.union(_across(rest, orders, sets, fits, jaccard)), "links")
-        labels = connected_components(edges)
+    sets = stored(_sets(named, id_filter(near, "id"), width, percent).join(near, "id", "left_semi"), "sets")
+    now = stored(now, "lists")
+    pivot = now.groupBy("t").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("pn"))).alias("p")).select("t", (-F.col("p.minus")).alias("pid"), "p.pn")
+    met = stored(now.join(pivot, "t").filter("id != pid").select("t", "id", "n", "pid", "pn"), "met")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+    edges = stored(_verified(ordered(met.filter(fits(F.col("n"), F.col("pn"))), "id", "pid"), sets, jaccard), "links1")
+    labels = connected_components(edges)
+    left = met.join(labels, "id", "left").withColumn("lab", F.coalesce("component", "id")).drop("component")
+    mixed = left.groupBy("t").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count("*").alias("k")).filter("l0 < l1").select("t", "k")
+    left = stored(left.join(mixed, "t"), "left")
+    few = left.filter(F.col("k") <= SMALL).select("t", "id", "n", "lab")
+    other = few.select("t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"))
+    pairs = ordered(few.join(other, "t").filter((F.col("id") < F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))), "id", "id2")
+    groups = stored(left.filter(F.col("k") > SMALL).select("pid", "pn", "id", "n", "lab").distinct(), "groups")
+    pairs = stored(pairs.union(ordered(_by_difference(groups, sets, percent, fits), "id", "id2")).distinct(), "pairs")
+    edges = stored(edges.union(_verified(pairs, sets, jaccard)), "links2")
+    labels = connected_components(edges)
     found = info.join(classes.select("sig", "rep"), "sig", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _verified(pairs: DataFrame, orders: DataFrame, sets: DataFrame, jaccard) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, jaccard) -> DataFrame:
     """Pairs (x, y) that pass the filters of orders B and C and then the comparison of their whole sets, as (a, b)."""
     side = lambda df, k: df.select(*[F.col(c).alias(c + k) for c in df.columns])
-    o, s = orders.select("id", "b", "c"), sets
+    o, s = sets.select("id", "b", "c"), sets.select("id", "items")
     both = pairs.join(side(o, "1"), F.col("x") == F.col("id1")).join(side(o, "2"), (F.col("y") == F.col("id2")) & F.arrays_overlap("b1", "b2") & F.arrays_overlap("c1", "c2"))
     both = both.select("x", "y").join(side(s, "1"), F.col("x") == F.col("id1")).join(side(s, "2"), (F.col("y") == F.col("id2")) & jaccard(F.col("items1"), F.col("items2")))
     return both.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _across(rest: DataFrame, orders: DataFrame, sets: DataFrame, fits, jaccard) -> DataFrame:
-    """Links between components among the lists that pivots could not settle.
-
-    Rows carry their filters and sets, so the whole test is the join condition and only links come out. A pair is
-    tested at the first prefix token that it shares. Lists of more than LIST_CHUNK members are dealt in chunks.
-    """
-    full = rest.select("t", "id", "n", "lab").join(rest.groupBy("t").agg(F.ceil(F.count("*") / LIST_CHUNK).cast("int").alias("parts")), "t").join(orders.select("id", "a", "b", "c"), "id").join(sets, "id")
-    full = stored(full, "across")
-    cols = ["id", "n", "lab", "a", "b", "c", "items"]
-    one = full.select("t", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(c + "1") for c in cols])
-    two = full.select("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(c + "2") for c in cols])
-    test = (F.col("id1") < F.col("id2")) & (F.col("lab1") != F.col("lab2")) & fits(F.col("n1"), F.col("n2")) & (F.get(F.array_intersect("a1", "a2"), F.lit(0)) == one["t"]) & F.arrays_overlap("b1", "b2") & F.arrays_overlap("c1", "c2") & jaccard(F.col("items1"), F.col("items2"))
-    return one.join(two, (one["t"] == two["t"]) & (one["part"] == two["part"]) & test).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+def _by_difference(groups: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
+    """Pairs (id, id2) of different components in a pivot's group that may link, found on tokens of their differences
+    from the pivot. groups: pid, pn, id, n, lab."""
+    mine, pivots = sets.select("id", "items"), sets.select(F.col("id").alias("pid"), F.col("items").alias("pitems"))
+    diff = groups.join(mine, "id").join(pivots, "pid").withColumn("diff", F.concat(F.array_except("items", "pitems"), F.array_except("pitems", "items"))).drop("items", "pitems")
+    d, c = F.size("diff"), (100 - percent) / (100 + percent)
+    diff = stored(diff.withColumn("far", (100 + percent) * d > (100 - percent) * (F.col("n") + F.col("pn"))).withColumn("need", d - F.floor((d + c * (F.col("pn") - F.col("n"))) / 2 - 1e-9)), "differences")
+    each = diff.select("pid", "id", "n", "lab", "far", "need", F.explode("diff").alias("t"))
+    df = each.groupBy("pid", "t").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = stored(each.join(df, ["pid", "t"]), "shared")
+    # tokens of one member come first in its order and match nothing
+    own = shared.groupBy("pid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.select("pid", "id", "n", "lab", (F.col("need") - F.size("diff")).alias("over")), ["pid", "id"])
+    take = F.col("over") + F.size("s")
+    first = own.filter(take > 0).select("pid", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"), F.explode(F.slice("s", 1, take.cast("int"))).alias("x")).select("pid", "id2", "n2", "lab2", "x.t")
+    far = shared.filter("far").select("pid", "t", "id", "n", "lab")
+    return far.join(first, ["pid", "t"]).filter((F.col("id") != F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))).select("id", "id2")
 
 
 def keep_one(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
