@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+import clipfleet.plans as _plans
+from clipfleet.plans.base import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+for _m in pkgutil.iter_modules(_plans.__path__):
+    if _m.name.startswith("q_"):
+        importlib.import_module(f"clipfleet.plans.{_m.name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
