@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder the cluster shares (spark.checkpoint.dir) and read again; a temporary one where it is
-    unset, as in tests."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _OWN[spark.sparkContext.applicationId] = root
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """df written to the scratch folder and read again: lineage ends there."""
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
