@@ -195,17 +195,21 @@ def _by_difference(groups: DataFrame, sets: DataFrame, percent: int, fits) -> Da
     from the pivot. groups: pid, pn, id, n, lab."""
     mine, pivots = sets.select("id", "items"), sets.select(F.col("id").alias("pid"), F.col("items").alias("pitems"))
     diff = groups.join(mine, "id").join(pivots, "pid").withColumn("diff", F.concat(F.array_except("items", "pitems"), F.array_except("pitems", "items"))).drop("items", "pitems")
-    d, c = F.size("diff"), (100 - percent) / (100 + percent)
-    diff = stored(diff.withColumn("far", (100 + percent) * d > (100 - percent) * (F.col("n") + F.col("pn"))).withColumn("need", d - F.floor((d + c * (F.col("pn") - F.col("n"))) / 2 - 1e-9)), "differences")
-    each = diff.select("pid", "id", "n", "lab", "far", "need", F.explode("diff").alias("t"))
+    d = F.size("diff")
+    least_shared = F.floor(((100 + percent) * d + (100 - percent) * (F.col("pn") - F.col("n"))) / (2.0 * (100 + percent))) + 1  # more than that many
+    diff = stored(diff.withColumn("far", (100 + percent) * d > (100 - percent) * (F.col("n") + F.col("pn"))).withColumn("need", d - least_shared + 1), "differences")
+    diff = diff.withColumn("d", F.size("diff"))
+    each = diff.select("pid", "id", "n", "d", "lab", "far", F.explode("diff").alias("t"))
     df = each.groupBy("pid", "t").agg(F.count("*").alias("k")).filter("k > 1")
     shared = stored(each.join(df, ["pid", "t"]), "shared")
-    # tokens of one member come first in its order and match nothing
-    own = shared.groupBy("pid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.select("pid", "id", "n", "lab", (F.col("need") - F.size("diff")).alias("over")), ["pid", "id"])
-    take = F.col("over") + F.size("s")
-    first = own.filter(take > 0).select("pid", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"), F.explode(F.slice("s", 1, take.cast("int"))).alias("x")).select("pid", "id2", "n2", "lab2", "x.t")
-    far = shared.filter("far").select("pid", "t", "id", "n", "lab")
-    return far.join(first, ["pid", "t"]).filter((F.col("id") != F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))).select("id", "id2")
+    # tokens of one member come first in its order and match nothing; `at` is a token's place in that order
+    own = shared.groupBy("pid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.select("pid", "id", "n", "d", "lab", "need"), ["pid", "id"])
+    alone = F.col("d") - F.size("s")
+    first = own.filter(F.col("need") > alone).select("pid", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("lab").alias("lab2"), alone.alias("alone"), F.posexplode(F.slice("s", 1, (F.col("need") - alone).cast("int"))).alias("at", "x")).select("pid", "id2", "n2", "d2", "lab2", (F.col("alone") + F.col("at")).alias("at"), "x.t")
+    far = shared.filter("far").select("pid", "t", "id", "n", "d", "lab")
+    # a first common token at that place leaves room for what a link of the two must share
+    room = (100 + percent) * (F.col("d") + F.col("d2")) - (100 - percent) * (F.col("n") + F.col("n2")) <= 2 * (100 + percent) * (F.col("d2") - F.col("at"))
+    return far.join(first, ["pid", "t"]).filter(room & (F.col("id") != F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))).select("id", "id2")
 
 
 def keep_one(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
