@@ -60,7 +60,8 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     best = stored(best.select("k", "leaf", "rank", "depth"), "leaves")
     path = best.select("k", "leaf", "rank", "depth", F.col("leaf").alias("node"))
     for j in reversed(range(len(jumps))):
-        path = path.union(path.join(jumps[j], ["k", "node"]).select("k", "leaf", "rank", F.col("depth") - (1 << j), F.col("anc").alias("node")))
+        more = path.join(jumps[j], ["k", "node"]).select("k", "leaf", "rank", (F.col("depth") - (1 << j)).alias("depth"), F.col("anc").alias("node"))
+        path = stored(path.union(more), f"path{j}")  # the plan would double with each level
     return path.join(rows, ["k", "node"]).select("tree", F.col("leaf").alias("path"), "rank", F.col("depth").alias("place"), "node", "role", "text")
 
 
