@@ -7,7 +7,9 @@ nearest pair of codewords.
 Search: for each query and half, codeword i has a lower bound of the distance to any vector of its region, from the
 hyperplanes between i and the other codewords. Multi-sequence traversal visits cells (i, j) in ascending order of the
 sum of squared bounds. Vectors with cosine >= c are within the squared distance 2 - 2c, so cells beyond it cannot hold
-a link: stopping there has recall 1, which is the target; a lower one can be set with `radius_share`.
+a link, and stopping there has recall 1. Mostly far fewer cells do: QUERIES vectors, chosen by hash, are compared with
+all others by brute force, and traversal stops where TARGET of their links would be found, with a margin. With
+target_recall=1 it stops at the bound itself.
 
 Verification: cells are split into chunks of vectors, and every (cell, chunk of members, chunk of queries) is one small
 group in which all cosines are computed in double precision. A group returns, for each query, the number of its links,
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from clipfleet.llm.common import connected_components, stored
 
 SAMPLE, CODEWORDS, CHUNK = 8192, 16, 1024
+QUERIES, TARGET, LEAST_SHARE, BINS = 512, 0.9999, 0.05, 64
 
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
@@ -128,6 +131,36 @@ def _cells(members: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim:
     return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", cell long, visits array<long>")
 
 
+def _share(members: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, threshold: float, target: float) -> float:
+    """Share of the bound 2 - 2 * threshold within which `target` of the links of QUERIES vectors lie, by brute force."""
+    some = members.filter(F.col("dim") == dim).orderBy(F.xxhash64("unit", "label")).select("label", "unit").limit(QUERIES).collect()
+    q = np.frombuffer(b"".join(r.unit for r in some), dtype=np.float64).reshape(-1, dim)
+    labels, h, radius2 = np.array([r.label for r in some], dtype=object), dim // 2, 2 - 2 * threshold
+    b1, b2 = lower_bounds(_distances(q[:, :h], books[0]), books[0]), lower_bounds(_distances(q[:, h:], books[1]), books[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros(BINS + 1, dtype=np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(-1, dim)
+            own = np.array(b.column(0).to_pylist(), dtype=object)
+            c = q @ x.T
+            i, j = np.nonzero((c >= threshold) & (c < 1 - 1e-12) & (labels[:, None] == own[None]))
+            if len(i):
+                y = x[j]
+                cost = b1[i, _distances(y[:, :h], books[0]).argmin(1)] + b2[i, _distances(y[:, h:], books[1]).argmin(1)]
+                bins += np.bincount(np.minimum(np.ceil(cost / radius2 * BINS).astype(int), BINS), minlength=BINS + 1)
+        yield pa.record_batch({"bin": pa.array(range(BINS + 1), pa.int32()), "n": pa.array(bins, pa.int64())})
+
+    found = members.filter(F.col("dim") == dim).select("label", "unit").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(BINS + 1)
+    for r in found:
+        counts[r.bin] = r.n
+    if not counts.sum():
+        return 0.25
+    reach = int(np.searchsorted(np.cumsum(counts) / counts.sum(), target)) + 1
+    return float(min(1.0, max(LEAST_SHARE, reach / BINS)))
+
+
 def _compare(threshold: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.rename(columns=lambda c: c.removeprefix("in_"))
@@ -154,20 +187,22 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int = CODEWORDS, sample: int = SAMPLE, radius_share: float = 1.0, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int = CODEWORDS, sample: int = SAMPLE, target_recall: float = TARGET, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = stored(unit_vectors(vectors, id_col, vector_col, label_col), "units")
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
     classes = good.groupBy("label", "dim", "unit").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), "*"), "members")
     common = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    books, dim = None, 0
+    books, dim, share = None, 0, 1.0
     if common is not None and common.dim >= 2:
         dim = common.dim
         some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("unit")).select("unit").limit(sample).collect()
         x = np.frombuffer(b"".join(r.unit for r in some), dtype=np.float64).reshape(-1, dim)
         books = codebook(x[:, : dim // 2], codewords), codebook(x[:, dim // 2 :], codewords)
-    placed = stored(_cells(classes, books, dim, radius_share * (2 - 2 * threshold)), "cells")
+        if target_recall < 1:
+            share = _share(classes, books, dim, threshold, target_recall)
+    placed = stored(_cells(classes, books, dim, share * (2 - 2 * threshold)), "cells")
     cell = ["label", "dim", "cell"]
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     base = placed.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int").alias("part"), "cls", "id", "weight", "unit")
