@@ -85,8 +85,10 @@ def unknown_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
         if sum(c.isdigit() for c in run[0]) < 4:
             continue
         a, z = run.span()
-        while a and text[a - 1].isascii() and text[a - 1].isalpha() and run.start() - a < 16:
+        while a and run.start() - a < 16 and (text[a - 1] == "-" or (text[a - 1].isascii() and text[a - 1].isalnum())):
             a -= 1
+        while text[a] == "-":
+            a += 1
         m = _TOKEN.match(text, a)
         if m and m.end() >= z and 6 <= m.end() - a <= 32 and not any(s < m.end() and a < e for _, s, e in base):
             out.append((a, m.end()))
