@@ -12,7 +12,7 @@ low_bits, low, high, samples   Elias-Fano code of the n_docs + 1 boundaries
 
 The code splits each boundary into `low_bits` low bits (packed) and a high part, which is written in unary: boundary i
 sets bit `(b_i >> low_bits) + i` of `high`. select1(i) finds the i-th set bit from `samples` (the place of each 64th one,
-32 bits) and a popcount scan of a few bytes, and gives b_i back: about 2 + low_bits bits a document instead of 64.
+32 bits) and a popcount scan of a few bytes, and gives b_i back: 2 to 3.5 + low_bits bits a document instead of 64.
 """
 
 from __future__ import annotations
