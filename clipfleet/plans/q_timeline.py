@@ -189,9 +189,10 @@ def write_srt(t: Tables):
     return C.srt(three_word_cues(t))
 
 
-@query(f"SELECT clip_id, i, {_frames('start_ms')} AS from_f, greatest(1, {_frames('end_ms')} - {_frames('start_ms')}) AS dur_f, upper(line) AS text FROM cues", STEPS)
+@query(f"SELECT clip_id, i, {_frames('start_ms')} AS from_f, greatest(1, {_frames('end_ms')} - {_frames('start_ms')}) AS dur_f, line AS text FROM cues", STEPS)
 def caption_props(t: Tables):
-    return C.caption_props(three_word_cues(t), FPS).select("clip_id", "i", "from_f", "dur_f", "text")
+    # engines differ on the capital of some letters, so the texts stay as they are
+    return C.caption_props(three_word_cues(t), FPS, upper=False).select("clip_id", "i", "from_f", "dur_f", "text")
 
 
 @query(f"SELECT clip_id, i, string_agg(concat(f, '+', greatest(1, {_frames('e')} - c - f)), ' ' ORDER BY idx) AS windows FROM (SELECT t.clip_id, t.i, t.idx, t.end_ms AS e, {_frames('q.start_ms')} AS c, greatest(0, {_frames('t.start_ms')} - {_frames('q.start_ms')}) AS f FROM triples t JOIN cues q ON q.clip_id = t.clip_id AND q.i = t.i) w GROUP BY clip_id, i", STEPS)
