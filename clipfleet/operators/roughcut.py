@@ -89,7 +89,7 @@ def drop_reasons(segments: DataFrame, labelled: DataFrame) -> DataFrame:
 def rough_cut(words: DataFrame, durations: DataFrame, trim: bool = True, gap_ms: int = 600, lead_ms: int = 60, tail_ms: int = 150) -> DataFrame:
     """(clip_id, i, start_ms, end_ms, keep, reason, text) of every clip; without trimming each clip is one keep."""
     labelled = label_words(words)
-    runs = keep_runs(labelled, gap_ms) if trim else keep_runs(labelled, gap_ms).limit(0)
+    runs = keep_runs(labelled, gap_ms).filter(F.lit(trim))
     segments = cut_pieces(pad_runs(runs, durations, lead_ms, tail_ms), durations)
     return segment_text(drop_reasons(segments, labelled), words)
 

@@ -22,13 +22,13 @@ class Tables:
         return fixture(self.spark, self.sf_dir, name)
 
 
-def query(sql: str | None = None, steps: dict[str, str] | None = None):
+def query(sql: str | None = None, steps: dict[str, str] | None = None, recursive: bool = False):
     """Register a function of Tables under its own name."""
 
     def put(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = with_sql(sql, steps)
+            ORACLE_SQL[f.__name__] = with_sql(sql, steps, recursive)
         return f
 
     return put

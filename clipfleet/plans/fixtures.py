@@ -89,7 +89,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: fixture(spark, sf_dir, t) for t in used})
 
 
-def with_sql(body: str, steps: dict[str, str] | None = None) -> str:
+def with_sql(body: str, steps: dict[str, str] | None = None, recursive: bool = False) -> str:
     """body as DuckDB SQL: the derived tables, then `steps`, stand before it as common table expressions."""
     all_steps = {n: _DUCK.get(n) or _BOTH[n] for n in _ORDER} | (steps or {})
     need, todo = set(), [body]
@@ -99,4 +99,4 @@ def with_sql(body: str, steps: dict[str, str] | None = None) -> str:
             if n not in need and re.search(rf"\b{n}\b", text) and all_steps[n] is not text:
                 need.add(n)
                 todo.append(all_steps[n])
-    return ("WITH " + ",\n".join(f"{n} AS ({all_steps[n]})" for n in all_steps if n in need) + "\n" if need else "") + body
+    return (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS ({all_steps[n]})" for n in all_steps if n in need) + "\n" if need else "") + body

@@ -111,8 +111,7 @@ def words_to_cues(t: Tables):
 
 
 #: One state for each prefix length i of a span: costs and cuts of the last four prefixes, which is as far as a cue reaches.
-_CHUNK_SQL = """WITH RECURSIVE @@, dp AS (
-  SELECT clip_id, span, 0 AS i, total, [CAST(0 AS DOUBLE)] AS costs, [CAST([] AS BIGINT[])] AS cuts, CAST([] AS BIGINT[]) AS chars, CAST([] AS BOOLEAN[]) AS brks, CAST([] AS BOOLEAN[]) AS commas FROM (SELECT DISTINCT clip_id, span, total FROM chunk_rows) z
+CHUNK_STATES = """  SELECT clip_id, span, 0 AS i, total, [CAST(0 AS DOUBLE)] AS costs, [CAST([] AS BIGINT[])] AS cuts, CAST([] AS BIGINT[]) AS chars, CAST([] AS BOOLEAN[]) AS brks, CAST([] AS BOOLEAN[]) AS commas FROM (SELECT DISTINCT clip_id, span, total FROM chunk_rows) z
   UNION ALL
   SELECT clip_id, span, i, total, list_concat(costs, [best.c])[-4:], list_concat(cuts, [best.p])[-4:], chars[-4:], brks[-5:], commas[-5:] FROM (
     SELECT *, list_reduce(options, lambda a, b: CASE WHEN b.c < a.c THEN b ELSE a END) AS best FROM (
@@ -120,19 +119,10 @@ _CHUNK_SQL = """WITH RECURSIVE @@, dp AS (
           c := costs[-s] + 2 + (s - 3) * (s - 3) + CASE WHEN s < 2 THEN 3 * (2 - s) ELSE 0 END + CASE WHEN s < i THEN CASE WHEN brks[-s] THEN -1.5 ELSE 0 END + CASE WHEN brks[-s - 1] THEN 2 ELSE 0 END - CASE WHEN commas[-s - 1] THEN 1 ELSE 0 END ELSE 0 END,
           p := list_append(cuts[-s], i - s)) END), lambda x: x IS NOT NULL) AS options
       FROM (SELECT d.clip_id, d.span, d.i + 1 AS i, d.total, d.costs, d.cuts, list_append(d.chars, r.chars) AS chars, list_append(d.brks, r.brk) AS brks, list_append(d.commas, r.comma) AS commas
-            FROM dp d JOIN chunk_rows r ON r.clip_id = d.clip_id AND r.span = d.span AND r.i = d.i + 1) step) opts) b
-)
-SELECT r.clip_id, r.idx, r.i = 1 OR list_contains(cuts[-1], r.i - 1) AS starts FROM dp JOIN chunk_rows r ON r.clip_id = dp.clip_id AND r.span = dp.span WHERE dp.i = dp.total"""
+            FROM dp d JOIN chunk_rows r ON r.clip_id = d.clip_id AND r.span = d.span AND r.i = d.i + 1) step) opts) b"""
 
 
-def _recursive(sql: str) -> str:
-    from clipfleet.plans.fixtures import with_sql
-
-    head = with_sql("SELECT * FROM chunk_rows", STEPS)
-    return sql.replace("WITH RECURSIVE @@", "WITH RECURSIVE " + head[len("WITH ") : head.rindex("\nSELECT * FROM chunk_rows")])
-
-
-@query()
+@query("""SELECT r.clip_id, r.idx, r.i = 1 OR list_contains(cuts[-1], r.i - 1) AS starts FROM dp JOIN chunk_rows r ON r.clip_id = dp.clip_id AND r.span = dp.span WHERE dp.i = dp.total""", STEPS | {"dp": CHUNK_STATES}, recursive=True)
 def chunk_words(t: Tables):
     from pyspark.sql import Window
 
@@ -211,7 +201,3 @@ def props_documents(t: Tables):
     docs = C.props_documents(C.caption_props(three_word_cues(t), FPS))
     return docs.select("clip_id", F.size(F.from_json("doc", "cues array<struct<i:bigint>>")["cues"]).cast("long").alias("n_cues"))
 
-
-from clipfleet.plans.base import ORACLE_SQL  # noqa: E402
-
-ORACLE_SQL["chunk_words"] = _recursive(_CHUNK_SQL)
