@@ -3,9 +3,9 @@
 Method
  1. Each document becomes a sorted set of 64-bit shingle hashes. Documents with equal sets form a class; its smallest
     id stands for it.
- 2. Three global token orders. A: the tokens of a fifth of the hash space first, by their exact document frequency, then
-    the others by hash. B and C: by two other hashes. Two sets with Jaccard >= t share a token among their first
-    n - ceil(t n) + 1 tokens under *every* order. For A only a fifth of the tokens is counted and shuffled; tokens of
+ 2. Three global token orders. A: the tokens of a part of the hash space first (a fifth for t = 0.9), by their exact document
+    frequency, then the others by hash. B and C: by two other hashes. Two sets with Jaccard >= t share a token among their first
+    n - ceil(t n) + 1 tokens under *every* order. For A only that part of the tokens is counted and shuffled; tokens of
     one document come first and match nothing, so a document whose prefix is full of them has no partner and is done.
  3. Tokens of the A prefix that two or more classes share make candidates; they must share B and C prefix tokens too
     (intersection of the filters) and fit in length before their whole sets are compared.
@@ -36,10 +36,22 @@ from pyspark.sql import functions as F
 from clipfleet.llm.common import connected_components, id_filter, passes, stored
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-COUNTED = np.uint64((1 << 64) // 5)  # tokens below it are counted for order A
 SMALL = 8
 
 
+def _counted(percent: int) -> int:
+    """Tokens below it are counted for order A: twice the share of tokens in a prefix, so that a prefix is mostly found
+    among tokens of one document."""
+    return min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100)
+
+
+def _late(percent: int):
+    """Whether the signed token t is not below _counted(percent) as an unsigned number."""
+    c = _counted(percent)
+    return F.expr(f"t < 0 OR t >= {c}" if c < 1 << 63 else f"t < 0 AND t >= {c - (1 << 64)}")
+
+
+
 class _Words(dict):
     """64-bit hashes of words, kept in a bounded table."""
 
@@ -109,7 +121,7 @@ def _tokens(docs: DataFrame, keep: tuple[int, np.ndarray], width: int, percent:
                     s = shingles(b.column(1)[int(i)].as_py(), width)
                     if len(s):
                         p = _prefix_length(len(s), percent)
-                        for k, v in (("id", int(ids[i])), ("n", len(s)), ("p", p), ("tokens", s[: max(p, int(np.searchsorted(s, COUNTED)))].view(np.int64))):
+                        for k, v in (("id", int(ids[i])), ("n", len(s)), ("p", p), ("tokens", s[: max(p, int(np.searchsorted(s, np.uint64(_counted(percent)))))].view(np.int64))):
                             out[k].append(v)
                 yield pa.record_batch({"id": pa.array(out["id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "p": pa.array(out["p"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64()))})
 
@@ -132,11 +144,11 @@ def _sets(docs: DataFrame, keep: tuple[int, np.ndarray], width: int, percent: in
     return docs.mapInArrow(run, "id long, b array<int>, c array<int>, items array<long>")
 
 
-def _postings(tokens: DataFrame) -> DataFrame:
+def _postings(tokens: DataFrame, percent: int) -> DataFrame:
     """(t, id, n, k): prefix tokens under order A that two or more documents have in their prefixes."""
     each = tokens.select(F.explode("tokens").alias("t"), "id")
     df = each.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
-    met = each.join(df, "t").groupBy("id").agg(F.collect_list(F.struct((F.expr(f"t < 0 OR t >= {int(COUNTED)}")).alias("late"), "k", "t")).alias("met"))
+    met = each.join(df, "t").groupBy("id").agg(F.collect_list(F.struct(_late(percent).alias("late"), "k", "t")).alias("met"))
     own = met.join(tokens.select("id", "n", "p", F.size("tokens").alias("e")), "id")
     need = F.col("p") - (F.col("e") - F.size("met"))  # what tokens of one document leave of the prefix
     first = own.filter(need > 0).select("id", "n", F.explode(F.slice(F.sort_array("met"), 1, need.cast("int"))).alias("x")).select("x.t", "id", "n")
@@ -155,7 +167,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     jaccard = lambda x, y: F.size(F.array_intersect(x, y)) * (100 + percent) >= percent * (F.size(x) + F.size(y))
 
-    now = stored(_postings(tokens), "postings")
+    now = stored(_postings(tokens, percent), "postings")
     score = now.groupBy("id").agg(F.sum("k").alias("score"))
     now = now.drop("k").join(score, "id")
     near = score.select("id")
