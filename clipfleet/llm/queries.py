@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.llm import bpe, chat_trees, embedding_dedup, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
 from clipfleet.llm.common import scratch_path, stored
+from clipfleet.llm.oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +84,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "n_examples")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
