@@ -7,14 +7,16 @@ nearest pair of codewords.
 Search: for each query and half, codeword i has a lower bound of the distance to any vector of its region, from the
 hyperplanes between i and the other codewords. Multi-sequence traversal visits cells (i, j) in ascending order of the
 sum of squared bounds. Vectors with cosine >= c are within the squared distance 2 - 2c, so cells beyond it cannot hold
-a link, and stopping there has recall 1. Mostly far fewer cells do: QUERIES vectors, chosen by hash, are compared with
-all others by brute force, and traversal stops where TARGET of their links would be found, with a margin. With
-target_recall=1 it stops at the bound itself.
+a link, and stopping there finds every link. With target_recall < 1 it stops earlier, where that mean recall over
+QUERIES vectors, chosen by hash and compared with all others by brute force, is reached; each vector with links weighs
+the same, and where fewer than LEAST_LINKED have any, it stops at the bound.
 
-Verification: cells are split into chunks of vectors, and every (cell, chunk of members, chunk of queries) is one small
-group in which all cosines are computed in double precision. A group returns, for each query, the number of its links,
-and for each vector the smallest id that it reaches inside the group: enough for exact counts and components, and never
-a row per pair. Equal vectors of a label are one weighted member.
+Verification: the cells of a label, in order, are dealt to blocks of about the same size; a large cell spans several. A
+query goes once to each block that holds a visited cell, whatever the number of these, and as links are symmetric only
+to blocks from its own on. Every (asking block, asked block) is one small group in which all cosines are computed in
+double precision. A group returns, for each vector, the number of its links and the smallest id that it reaches inside
+the group: enough for exact counts and components, and never a row per pair. Equal vectors of a label are one weighted
+member.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with
 nothing. Vectors of another length than the most frequent one are compared by length in one cell. Rows that share an id
@@ -29,13 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfleet.llm.common import connected_components, stored
 
 SAMPLE, CODEWORDS, CHUNK = 8192, 16, 1024
-QUERIES, TARGET, LEAST_SHARE, BINS = 512, 0.9999, 0.05, 64
+QUERIES, TARGET, LEAST_SHARE, LEAST_LINKED, BINS = 512, 0.9999, 0.05, 64, 64
+GROWTH, BLOCKS, SLAB = 8, 64, 512
 
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
@@ -132,14 +135,14 @@ def _cells(members: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim:
 
 
 def _share(members: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, threshold: float, target: float) -> float:
-    """Share of the bound 2 - 2 * threshold within which `target` of the links of QUERIES vectors lie, by brute force."""
+    """Share of the bound 2 - 2 * threshold that gives QUERIES vectors the mean recall `target`, by brute force."""
     some = members.filter(F.col("dim") == dim).orderBy(F.xxhash64("unit", "label")).select("label", "unit").limit(QUERIES).collect()
     q = np.frombuffer(b"".join(r.unit for r in some), dtype=np.float64).reshape(-1, dim)
     labels, h, radius2 = np.array([r.label for r in some], dtype=object), dim // 2, 2 - 2 * threshold
     b1, b2 = lower_bounds(_distances(q[:, :h], books[0]), books[0]), lower_bounds(_distances(q[:, h:], books[1]), books[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(BINS + 1, dtype=np.int64)
+        bins = np.zeros((len(q), BINS + 1), dtype=np.int64)
         for b in batches:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(-1, dim)
             own = np.array(b.column(0).to_pylist(), dtype=object)
@@ -148,46 +151,57 @@ def _share(members: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, t
             if len(i):
                 y = x[j]
                 cost = b1[i, _distances(y[:, :h], books[0]).argmin(1)] + b2[i, _distances(y[:, h:], books[1]).argmin(1)]
-                bins += np.bincount(np.minimum(np.ceil(cost / radius2 * BINS).astype(int), BINS), minlength=BINS + 1)
-        yield pa.record_batch({"bin": pa.array(range(BINS + 1), pa.int32()), "n": pa.array(bins, pa.int64())})
+                np.add.at(bins, (i, np.minimum(np.ceil(cost / radius2 * BINS).astype(int), BINS)), 1)
+        i, k = np.nonzero(bins)
+        yield pa.record_batch({"query": pa.array(i, pa.int32()), "bin": pa.array(k, pa.int32()), "n": pa.array(bins[i, k], pa.int64())})
 
-    found = members.filter(F.col("dim") == dim).select("label", "unit").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BINS + 1)
+    found = members.filter(F.col("dim") == dim).select("label", "unit").mapInArrow(run, "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((len(q), BINS + 1))
     for r in found:
-        counts[r.bin] = r.n
-    if not counts.sum():
-        return 0.25
-    reach = int(np.searchsorted(np.cumsum(counts) / counts.sum(), target)) + 1
+        counts[r.query, r.bin] = r.n
+    counts = counts[counts.any(1)]
+    if len(counts) < LEAST_LINKED:
+        return 1.0
+    reach = int(np.searchsorted((np.cumsum(counts, 1) / counts.sum(1)[:, None]).mean(0), target)) + 1
     return float(min(1.0, max(LEAST_SHARE, reach / BINS)))
 
 
 def _compare(threshold: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    none = pd.DataFrame({"cls": [], "n": [], "a": [], "b": []}).astype("int64")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.rename(columns=lambda c: c.removeprefix("in_"))
         if not len(left) or not len(right):
-            return pd.DataFrame({"cls": [], "n": [], "a": [], "b": []}).astype("int64")
+            return none
         m = lambda p: np.frombuffer(b"".join(p["unit"]), dtype=np.float64).reshape(len(p), -1)
-        link = (m(left) @ m(right).T >= threshold) & (left["cls"].to_numpy()[:, None] != right["cls"].to_numpy()[None])
+        x, y = m(left), m(right).T
+        slabs = lambda k: [slice(i, i + SLAB) for i in range(0, k, SLAB)]
+        link = np.concatenate([x[s] @ y >= threshold for s in slabs(len(left))])
+        link &= left["cls"].to_numpy()[:, None] != right["cls"].to_numpy()[None]
         q, c = link.any(1), link.any(0)
         if not q.any():
-            return pd.DataFrame({"cls": [], "n": [], "a": [], "b": []}).astype("int64")
+            return none
         link, left, right = link[q][:, c], left[q], right[c]
         lq, lc, big = left["id"].to_numpy(), right["id"].to_numpy(), np.iinfo(np.int64).max
-        n = link @ right["weight"].to_numpy()
+        least = lambda links, ids: np.concatenate([np.where(links[s], ids[None], big).min(1) for s in slabs(len(links))])
+        summed = lambda links, w: np.concatenate([links[s] @ w for s in slabs(len(links))])
+        n = summed(link, right["weight"].to_numpy())
+        # a block that asks itself has each pair from both sides
+        back = 0 if key[2] == key[3] else summed(link.T, left["weight"].to_numpy())
         while True:
-            nq = np.minimum(lq, np.where(link, lc[None], big).min(1))
-            nc = np.minimum(lc, np.where(link, nq[:, None], big).min(0))
+            nq = np.minimum(lq, least(link, lc))
+            nc = np.minimum(lc, least(link.T, nq))
             if (nq == lq).all() and (nc == lc).all():
                 break
             lq, lc = nq, nc
         one = pd.DataFrame({"cls": left["cls"].to_numpy(), "n": n, "a": left["id"].to_numpy(), "b": lq})
-        two = pd.DataFrame({"cls": right["cls"].to_numpy(), "n": 0, "a": right["id"].to_numpy(), "b": lc})
-        return pd.concat([one, two[two["a"] != two["b"]]])
+        two = pd.DataFrame({"cls": right["cls"].to_numpy(), "n": back, "a": right["id"].to_numpy(), "b": lc})
+        return pd.concat([one, two[(two["n"] > 0) | (two["a"] != two["b"])]])
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int = CODEWORDS, sample: int = SAMPLE, target_recall: float = TARGET, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int = CODEWORDS, sample: int = SAMPLE, target_recall: float = 1.0, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = stored(unit_vectors(vectors, id_col, vector_col, label_col), "units")
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
@@ -203,14 +217,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int
         if target_recall < 1:
             share = _share(classes, books, dim, threshold, target_recall)
     placed = stored(_cells(classes, books, dim, share * (2 - 2 * threshold)), "cells")
-    cell = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    base = placed.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int").alias("part"), "cls", "id", "weight", "unit")
-    ask = placed.select("label", "dim", F.explode("visits").alias("cell"), "cls", "id", "unit")
-    asked = ask.groupBy(*cell).agg(F.ceil(F.count("*") / chunk).cast("int").alias("q_parts"))
-    ask = ask.join(sizes, cell).join(asked, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("unit"), F.col("q_parts")).cast("int").alias("q_part"), "cls", "id", "unit")
-    base = base.join(asked, cell).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).drop("q_parts")
-    group = [*cell, "part", "q_part"]
+    cell, size = ["label", "dim", "cell"], max(chunk, min(GROWTH * chunk, classes.count() // BLOCKS))
+    before = Window.partitionBy("label", "dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over cells, not vectors
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("members")).withColumn("lo", F.coalesce(F.sum("members").over(before), F.lit(0)))
+    cells = stored(cells, "spans")
+    at = lambda place: F.floor(place / size).cast("int")
+    placed = placed.join(cells, cell).withColumn("own", at(F.col("lo") + F.pmod(F.xxhash64("unit"), F.col("members")))).select("label", "dim", "own", "cls", "id", "weight", "unit", "visits")
+    placed = stored(placed, "blocks")
+    to = cells.select(*cell, at(F.col("lo")).alias("first"), at(F.col("lo") + F.col("members") - 1).alias("last"))
+    asks = placed.select("label", "dim", "own", "cls", F.explode("visits").alias("cell")).join(to, cell).filter("last >= own")
+    asks = asks.select("label", "dim", "own", "cls", F.explode(F.sequence(F.greatest("own", "first"), F.col("last"))).alias("block")).distinct()
+    asks = stored(asks, "asks")
+    group = ["label", "dim", "own", "block"]
+    ask = asks.join(placed.select("cls", "id", "weight", "unit"), "cls").select(*group, "cls", "id", "weight", "unit")
+    base = placed.drop("visits").withColumnRenamed("own", "block").join(asks.select(*group).distinct(), ["label", "dim", "block"]).select(*group, "cls", "id", "weight", "unit")
     base = base.select(*[F.col(c).alias(f"in_{c}") for c in base.columns])
     found = ask.groupBy(*group).cogroup(base.groupBy(*[f"in_{c}" for c in group])).applyInPandas(_compare(threshold), "cls long, n long, a long, b long")
     found = stored(found, "links")

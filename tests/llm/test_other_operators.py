@@ -124,6 +124,23 @@ def test_calibrated_recall(spark, sf_dir):
     assert full > 500 and fast >= 0.99 * full
 
 
+def test_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(rng.normal(size=64)) + rng.normal(size=(1500, 64)) * 0.001
+    ones = unit(rng.normal(size=(1200, 64)))
+    away = unit(rng.normal(size=(1200, 64)))
+    away = unit(away - (away * ones).sum(1)[:, None] * ones)
+    cos = rng.uniform(0.931, 0.97, size=(1200, 1))
+    x = np.concatenate([unit(hot), ones, cos * ones + np.sqrt(1 - cos**2) * away])
+    df = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    assert all(got[k][0] == int(link[k].sum()) for k in range(len(x)))
+    assert all(got[1500 + 1200 + k][1] == got[1500 + k][1] for k in range(1200))
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(9), rng.random(7)
