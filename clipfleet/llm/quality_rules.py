@@ -1,8 +1,8 @@
 """Quality rules of documents, and the cross-document frequency of their lines.
 
 All of it is DataFrame functions. Lines are normalised (lower case, blanks joined) and hashed; a line's
-frequency on a host is the number of distinct documents there that hold it. Copies and near copies of a document count
-as one: beside a line, a document is known by the smallest hash of its other lines. Lines on more than `max_docs`
+frequency on a host is the number of distinct documents there that hold it. Documents with the same set of lines are
+copies and count as one: a document is known by a hash of its whole set of line hashes. Lines on more than `max_docs`
 documents of a host are removed; a document is depleted when fewer than `min_left` words, or less than `min_share` of
 its words, are left.
 
@@ -69,9 +69,9 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def frequent_lines(base: DataFrame, max_docs: int) -> DataFrame:
     """(doc_id, host, text_hash, h, w): the occurrences of lines above the limit on their host."""
     once = base.dropDuplicates(KEY)
-    low = lambda x: F.slice(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["h"]))), 1, 2)
-    line = once.filter(F.size("lines") > 0).select(*KEY, low(F.col("lines")).alias("low"), F.explode("lines").alias("y")).select(*KEY, "y.h", "y.w", F.coalesce(F.when(F.col("y.h") == F.get("low", F.lit(0)), F.get("low", F.lit(1))).otherwise(F.get("low", F.lit(0))), F.lit(0)).alias("rest"))
-    often = line.groupBy("host", "h", "rest").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("on_docs")).filter(F.col("on_docs") > max_docs)
+    whole = F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda y: y["h"]))))
+    line = once.filter(F.size("lines") > 0).select(*KEY, whole.alias("whole"), F.explode("lines").alias("y")).select(*KEY, "whole", "y.h", "y.w")
+    often = line.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("on_docs")).filter(F.col("on_docs") > max_docs)
     return line.select(*KEY, "h", "w").join(often.select("host", "h"), ["host", "h"])
 
 

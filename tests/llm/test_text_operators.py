@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -141,6 +143,19 @@ def test_frequent_lines_go_and_copies_count_once(spark):
     assert left.filter(left.source == "a").filter(left.text.contains("All rights")).count() == 0
 
 
+def test_lines_count_by_whole_documents(spark):
+    rng = random.Random(8)
+    body = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    lowest = min((f"notice number {k} of this host" for k in range(20000)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    second = "all rights are reserved by the host of this page"
+    rows = [(k, "\n".join([lowest, second, body(30), body(30), body(30)]), "en", "a", 0) for k in range(100)]
+    pool = [body(12) for _ in range(8)]
+    rows += [(200 + k, "\n".join(x), "en", "b", 0) for k, x in enumerate(itertools.combinations(pool, 5))]
+    got = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows), max_docs=20).collect()}
+    assert all(got[k].n_removed_words == len(f"{lowest} {second}".split()) and got[k].kept for k in range(100))
+    assert all(r.n_removed_words == 60 and not r.kept for i, r in got.items() if i >= 200)
+
+
 # --- n-gram join -----------------------------------------------------------------------------------
 
 
