@@ -4,7 +4,9 @@ Base patterns find e-mail and IP addresses, card and phone numbers. Bootstrappin
 are a lexical pattern. Base entities are seed instances; other identifier-like tokens (with several digits) are unknown
 ones. Spark holds the graph of patterns and distinct instances and scores it in rounds: a pattern's score is the share
 of its instances' confidence, an instance's confidence is the noisy-or of its patterns' scores, seeds staying at 1. A
-pattern needs `min_seeds` distinct seeds; patterns at `min_score` or more, after the last round, turn the unknown
+pattern needs `min_seeds` distinct seeds; after the first round, instances with a confidence of `min_score` or more are
+seeds too, so patterns that never stand before a base entity can qualify. Where a single word stands before an instance
+on its line, the line's start is part of the pattern. Patterns at `min_score` or more, after the last round, turn the unknown
 instances behind them into spans of kind `id`. Copies of a document add nothing to the graph, as edges are distinct.
 
 The texts are read once; the graph holds hashes only. Null texts are empty; repeated rows get their own result; offsets
@@ -31,7 +33,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?![A-Za-z0-9])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-._/])(?=[A-Za-z._/-]{0,32}[0-9])[A-Za-z0-9]+(?:[-._/][A-Za-z0-9]+)*")
 _WORD = re.compile(r"[^\W\d_]+")
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("pattern", pa.int64())])
 CONTEXT = 64  # code points to the left in which the words of a pattern are looked for
@@ -79,27 +81,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def unknown_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans: 6 to 32 code points, 4 digits or more."""
+    """Identifier-like tokens outside the base spans: 6 to 32 code points, 4 digits or more; single - . _ / may part them."""
     out = []
-    for run in re.finditer(r"[0-9]+(?:[A-Za-z-]*[0-9]+)*", text):
-        if sum(c.isdigit() for c in run[0]) < 4:
-            continue
-        a, z = run.span()
-        while a and run.start() - a < 16 and (text[a - 1] == "-" or (text[a - 1].isascii() and text[a - 1].isalnum())):
-            a -= 1
-        while text[a] == "-":
-            a += 1
-        m = _TOKEN.match(text, a)
-        if m and m.end() >= z and 6 <= m.end() - a <= 32 and not any(s < m.end() and a < e for _, s, e in base):
-            out.append((a, m.end()))
+    for m in _TOKEN.finditer(text):
+        a, z = m.span()
+        if 6 <= z - a <= 32 and sum("0" <= c <= "9" for c in m[0]) >= 4 and not any(s < z and a < e for _, s, e in base):
+            out.append((a, z))
     return out
 
 
 def pattern_before(text: str, start: int, words: int = 2) -> str | None:
-    """The last words to the left of start, in lower case; None if there are fewer on this line."""
-    line = text[max(0, start - CONTEXT) : start].rpartition("\n")[2]
+    """The last words to the left of start, in lower case, after ^ for the line's start if there are fewer; None without a word."""
+    line = text[max(0, start - CONTEXT) : start]
+    whole, line = start <= CONTEXT or "\n" in line, line.rpartition("\n")[2]
     found = _WORD.findall(line.lower())
-    return " ".join(found[-words:]) if len(found) >= words else None
+    if len(found) >= words:
+        return " ".join(found[-words:])
+    return " ".join(["^", *found]) if found and whole else None
 
 
 def _hash(value: str) -> int:
@@ -126,17 +124,19 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind int, start int, end int, instance long, pattern long>>").select(F.monotonically_increasing_id().alias("row"), "*")
 
 
-def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
+def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.6) -> DataFrame:
     """(pattern, score) of patterns with enough seeds. edges: distinct (pattern, instance, seed)."""
     edges = stored(edges, "graph")
-    confidence = None
+    known = edges.filter("seed = 1").select("instance").distinct().withColumn("confidence", F.lit(1.0))
+    known = confidence = stored(known, "known")
     for k in range(rounds):
-        held = edges.withColumn("c", F.col("seed").cast("double")) if confidence is None else edges.join(confidence, "instance", "left").withColumn("c", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0))))
-        scores = held.groupBy("pattern").agg((F.sum("c") / F.count("*")).alias("score"), F.sum("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+        held = edges.join(confidence, "instance", "left").withColumn("c", F.coalesce("confidence", F.lit(0.0)))
+        scores = held.groupBy("pattern").agg((F.sum("c") / F.count("*")).alias("score"), F.sum((F.col("c") >= min_score).cast("int")).alias("seeds")).filter(F.col("seeds") >= min_seeds)
         scores = stored(scores.select("pattern", "score"), f"scores{k}")
         if k + 1 < rounds:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-            confidence = edges.join(scores, "pattern").groupBy("instance").agg((1 - doubt).alias("confidence"))
+            found = edges.join(scores, "pattern").groupBy("instance").agg((1 - doubt).alias("confidence"))
+            confidence = found.union(known).groupBy("instance").agg(F.max("confidence").alias("confidence"))
     return scores
 
 
@@ -145,7 +145,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min
     rows = stored(scan(docs, id_col, text_col), "personal")
     each = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     edges = each.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max((F.col("kind") < 4).cast("int")).alias("seed"))
-    good = score_patterns(edges, rounds, min_seeds).filter(F.col("score") >= min_score).select("pattern")
+    good = score_patterns(edges, rounds, min_seeds, min_score).filter(F.col("score") >= min_score).select("pattern")
     added = each.filter("kind = 4").join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     base = F.transform(F.filter("spans", lambda s: s["kind"] < 4), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     both = rows.withColumn("base", base).join(added, "row", "left")

@@ -285,6 +285,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_known_identifiers_induce_new_patterns(spark):
+    rows = [(k, f"Then write to member email u{k}@mail.example.com for more.", "en", "a", 0) for k in range(20)]
+    rows += [(50 + k, f"Please use member email PX.100{k}.77 now.", "en", "a", 0) for k in range(5)]
+    rows += [(60 + k, f"Her passport number PX.100{k}.77 is old.", "en", "a", 0) for k in range(5)]
+    rows += [(70 + k, f"A form\nPassport: PX.100{k}.77\nEnd", "en", "a", 0) for k in range(5)]
+    rows += [(80, "His passport number ZQ_9988/1 is new.", "en", "a", 0), (81, "A form\nPassport: X1234567\nEnd", "en", "a", 0), (90, "The parcel number 99887766 left the house.", "en", "a", 0)]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all(len(found[k + j]) == 1 for k in (50, 60, 70) for j in range(5))
+    assert found[80] == [(4, 20, 29)] and found[81] == [(4, 17, 25)] and found[90] == []
+
+
 def test_base_secrets():
     rng = random.Random(4)
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
