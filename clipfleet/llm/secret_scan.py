@@ -47,11 +47,16 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def looks_random(value: str) -> bool:
-    """At least 4 digits and 4 letters, and 3 bits a character or more."""
+    """At least 4 letters and 3 bits a character, and either 4 digits or more, or a change between upper case, lower
+    case and digits at 3 of 10 places or more, as in random keys with few digits."""
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
-    if digits < 4 or letters < 4:
+    if letters < 4:
         return False
+    if digits < 4:
+        classes = [c.isdigit() + 2 * c.isupper() + 4 * c.islower() for c in value]
+        if 10 * sum(a != b and a > 0 < b for a, b in zip(classes, classes[1:], strict=False)) < 3 * (len(value) - 1):
+            return False
     n = len(value)
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= 3.0
 
