@@ -4,25 +4,55 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one where it is unset and Spark is local, as in
+    tests. On a cluster without it executors would write to their own disks, so that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _OWN[app]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the scratch folder and read again: lineage ends there."""
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+    """df written to the scratch folder and read again: lineage ends there, and lost executors cost nothing before it.
+
+    Within `rounds` the table is deleted at the block's end, or, if it outlives the block, at that of the next one.
+    """
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    notes = _OPEN[: len(_OPEN) - outlives]
+    if notes:
+        notes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that `stored` wrote inside, when the block ends without an error."""
+    _OPEN.append([])
+    try:
+        yield
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _OPEN[-1]:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    finally:
+        _OPEN.pop()
