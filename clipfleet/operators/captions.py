@@ -1,7 +1,8 @@
 """Captions: words to cues, glossary fixes, emphasis, and caption documents.
 
 Spans end at sentence ends and pauses; within a span cues are the cheapest partition by a small dynamic programme, which
-is the only part that runs in Python, grouped by span. Everything else is windows, joins and array functions.
+runs in Python over the stream of words that the spans' window leaves sorted. The rest is windows, joins and array
+functions, but for the glossary's rewriting.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +74,42 @@ def chunk_words(words: DataFrame, max_words: int = 4, min_words: int = 2, max_ch
     if min_words == max_words == 1:  # every word a cue
         return spans.withColumn("cue", (F.row_number().over(_by_clip()) - 1).cast("long")).drop("span")
     stops = frozenset(breaks)
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        part = partition_span(pdf["chars"].tolist(), pdf["norm"].tolist(), pdf["comma"].tolist(), max_words, min_words, max_chars, aim, stops)
-        return pd.DataFrame({"clip_id": pdf["clip_id"], "idx": pdf["idx"], "part": part})
-
-    slim = spans.select("clip_id", "span", "idx", F.length("word").alias("chars"), "norm", F.rtrim("word").rlike("[,;:]$").alias("comma"))
-    parts = slim.groupBy("clip_id", "span").applyInPandas(split, "clip_id long, idx long, part long")
-    rows = spans.join(parts, ["clip_id", "idx"])
-    w = _by_clip()
-    new = F.coalesce((F.col("span") != F.lag("span").over(w)) | (F.col("part") != F.lag("part").over(w)), F.lit(False)).cast("long")
-    return rows.withColumn("new", new).withColumn("cue", F.sum("new").over(w)).drop("new", "part", "span")
+    names = spans.columns
+    slim = spans.withColumn("__chars", F.length("word")).withColumn("__comma", F.rtrim("word").rlike("[,;:]$")).sortWithinPartitions("clip_id", "idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cues, clip, span, first, part = [], [], None, None, 0, ([], [], [])
+
+        def close() -> None:
+            nonlocal first, part
+            if part[0]:
+                numbers = partition_span(*part, max_words, min_words, max_chars, aim, stops)
+                cues.extend(first + k for k in numbers)
+                first, part = first + numbers[-1] + 1, ([], [], [])
+
+        def full() -> Iterator[pa.RecordBatch]:
+            while held and len(cues) >= held[0].num_rows:
+                b = held.pop(0)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names if c != "span"], pa.array(cues[: b.num_rows], pa.int64())], [*[c for c in names if c != "span"], "cue"])
+                del cues[: b.num_rows]
+
+        for b in batches:
+            held.append(b)
+            for c, s, n, norm, comma in zip(*(b.column(k).to_pylist() for k in ("clip_id", "span", "__chars", "norm", "__comma")), strict=True):
+                if s != span or c != clip:
+                    close()
+                    if c != clip:
+                        first = 0
+                    clip, span = c, s
+                part[0].append(n)
+                part[1].append(norm)
+                part[2].append(comma)
+            yield from full()
+        close()
+        yield from full()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema if f.name != "span")
+    return slim.mapInArrow(run, kinds + ", cue long")
 
 
 def words_to_cues(chunked: DataFrame, terms: DataFrame | None = None, karaoke: bool = True) -> DataFrame:
@@ -127,7 +153,7 @@ def fix_text(text: Column, fixes: list[tuple[str, str]]) -> Column:
 
     for wrong, right in sorted(fixes, key=lambda f: -len(f[0])):
         key = r"\s+".join(re.escape(p) for p in wrong.split())
-        text = F.regexp_replace(text, rf"(?iu)\b{key}\b", right.replace("\\", "\\\\").replace("$", "\\$"))
+        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{Nd}}_]){key}(?![\p{{L}}\p{{Nd}}_])", right.replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.functions.dims import FILLERS, STOP_WORDS
 from clipfleet.functions.exprs import normalize_token
-
-BUCKET_MS = 10_000
+from clipfleet.operators.intervals import BUCKET_MS, join_intervals, over_buckets
 
 
 def _by_clip():
@@ -65,22 +64,18 @@ def cut_pieces(pads: DataFrame, durations: DataFrame) -> DataFrame:
     return rows.select("clip_id", i.cast("long").alias("i"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "keep")
 
 
-def _over_buckets(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / BUCKET_MS), F.floor(F.col("end_ms") / BUCKET_MS))))
-
-
 def segment_text(segments: DataFrame, words: DataFrame) -> DataFrame:
     """segments with `text`: the words whose centre lies in [start, end), in order."""
     centre = words.select("clip_id", F.floor((F.col("start_ms") + F.col("end_ms")) / 2 / BUCKET_MS).alias("bucket"), (F.col("start_ms") + F.col("end_ms")).alias("twice"), "idx", "word")
-    met = _over_buckets(segments.select("clip_id", "i", "start_ms", "end_ms")).join(centre, ["clip_id", "bucket"]).filter("2 * start_ms <= twice AND twice < 2 * end_ms")
+    met = over_buckets(segments.select("clip_id", "i", "start_ms", "end_ms")).join(centre, ["clip_id", "bucket"]).filter("2 * start_ms <= twice AND twice < 2 * end_ms")
     text = met.groupBy("clip_id", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ").alias("text"))
     return segments.join(text, ["clip_id", "i"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def drop_reasons(segments: DataFrame, labelled: DataFrame) -> DataFrame:
     """segments with `reason`: for drops filler before false-start before silence, by overlapping labelled words."""
-    marks = _over_buckets(labelled.filter("label IS NOT NULL").select("clip_id", "start_ms", "end_ms", "label")).select("clip_id", "bucket", F.col("start_ms").alias("ms"), F.col("end_ms").alias("me"), F.when(F.col("label") == "filler", 2).otherwise(1).alias("rank"))
-    met = _over_buckets(segments.filter("NOT keep").select("clip_id", "i", "start_ms", "end_ms")).join(marks, ["clip_id", "bucket"]).filter("ms < end_ms AND me > start_ms")
+    marks = over_buckets(labelled.filter("label IS NOT NULL").select("clip_id", "start_ms", "end_ms", "label")).select("clip_id", "bucket", F.col("start_ms").alias("ms"), F.col("end_ms").alias("me"), F.when(F.col("label") == "filler", 2).otherwise(1).alias("rank"))
+    met = over_buckets(segments.filter("NOT keep").select("clip_id", "i", "start_ms", "end_ms")).join(marks, ["clip_id", "bucket"]).filter("ms < end_ms AND me > start_ms")
     rank = met.groupBy("clip_id", "i").agg(F.max("rank").alias("rank"))
     reason = F.when(F.col("keep"), "").when(F.col("rank") == 2, "filler").when(F.col("rank") == 1, "false-start").otherwise("silence")
     return segments.join(rank, ["clip_id", "i"], "left").withColumn("reason", reason).drop("rank")
@@ -145,7 +140,7 @@ def silence_transcript(regions: DataFrame) -> DataFrame:
 
 def active_at(overlays: DataFrame, probes: DataFrame) -> DataFrame:
     """Overlays with start <= t < end for each probe (clip_id, t_ms)."""
-    return probes.join(overlays, "clip_id").filter("start_ms <= t_ms AND t_ms < end_ms")
+    return join_intervals(probes.withColumn("te", F.col("t_ms")), overlays, "t_ms", "te", "start_ms", "end_ms").filter("t_ms < end_ms").drop("te")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -157,11 +152,18 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 def propose_windows(words: DataFrame, queries: DataFrame, lead_ms: int = 0, tail_ms: int = 0, min_ms: int = 0, gap_ms: int = 600) -> DataFrame:
     """(query_id, clip_id, start_ms, end_ms, exact): the first run equal to the phrase, else the first..last keyword of
-    the pause-free cluster with the most distinct keywords, padded, clamped and stretched. queries is a small dimension."""
-    q = F.broadcast(query_tokens(queries))  # as many rows as the queries have words
-    tokens = words.select("clip_id", "idx", "norm", "start_ms", "end_ms").join(q, "norm")
-    exact = tokens.groupBy("query_id", "clip_id", (F.col("idx") - F.col("pos")).alias("i"), "m").agg(F.count("*").alias("k")).filter("k = m").groupBy("query_id", "clip_id").agg(F.min("i").alias("i"), F.max("m").alias("m")).select("query_id", "clip_id", "i", (F.col("i") + F.col("m") - 1).alias("j"))
+    pause-free cluster with the most distinct keywords, padded, clamped and stretched.
+
+    Runs are looked for at places that hold a phrase's first three tokens, and only there compared whole.
+    """
+    q = query_tokens(queries)
     w = _by_clip()
+    head = lambda k: F.max(F.when(F.col("pos") == k, F.col("norm"))).alias(f"q{k}")
+    heads = q.groupBy("query_id", "m").agg(head(0), head(1), head(2))
+    three = words.select("clip_id", "idx", F.col("norm").alias("q0"), F.lead("norm").over(w).alias("n1"), F.lead("norm", 2).over(w).alias("n2"))
+    places = three.join(heads, "q0").filter("(q1 IS NULL OR q1 = n1) AND (q2 IS NULL OR q2 = n2)").select("query_id", "m", "clip_id", F.col("idx").alias("i"))
+    whole = places.join(q.select("query_id", "pos", "norm"), "query_id").withColumn("idx", F.col("i") + F.col("pos")).join(words.select("clip_id", "idx", "norm"), ["clip_id", "idx", "norm"])
+    exact = whole.groupBy("query_id", "clip_id", "i", "m").agg(F.count("*").alias("k")).filter("k = m").groupBy("query_id", "clip_id").agg(F.min("i").alias("i"), F.max("m").alias("m")).select("query_id", "clip_id", "i", (F.col("i") + F.col("m") - 1).alias("j"))
     opens = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms).cast("long"), F.lit(0))
     clusters = words.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(w))
     hits = clusters.select("clip_id", "idx", "norm", "cluster").join(q.filter("keyword").select("query_id", "norm").distinct(), "norm")

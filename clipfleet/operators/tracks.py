@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfleet.functions.exprs import half_even
+from clipfleet.operators.intervals import as_of, join_intervals
 
 
 def track_from_detections(boxes: DataFrame, frames: DataFrame, fps: int, width: int, height: int, sample_fps: int = 5) -> DataFrame:
@@ -38,7 +39,7 @@ def resample_track(track: DataFrame, fps: int = 15) -> DataFrame:
     grid = grid.withColumn("t", F.least("t", F.col("t1").cast("double")))
     nxt = Window.partitionBy("clip_id").orderBy("t_ms")
     legs = sure.select("clip_id", F.col("t_ms").alias("ta"), F.lead("t_ms").over(nxt).alias("tb"), "cx", "cy", F.lead("cx").over(nxt).alias("cx1"), F.lead("cy").over(nxt).alias("cy1"))
-    met = grid.join(legs, "clip_id").filter("ta <= t AND (tb IS NULL OR t < tb)")
+    met = as_of(grid, legs.filter("tb IS NULL OR tb > ta"), "t", "ta").select("clip_id", "g", "t", "mark.*")
     lerp = lambda a, b: F.when(F.col("tb").isNull(), F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * (F.col("t") - F.col("ta")) / (F.col("tb") - F.col("ta")))
     return met.select("clip_id", "g", F.col("t").alias("t_ms"), lerp("cx", "cx1").alias("cx"), lerp("cy", "cy1").alias("cy"))
 
@@ -46,7 +47,7 @@ def resample_track(track: DataFrame, fps: int = 15) -> DataFrame:
 def smooth(values: np.ndarray, dt: float, limit: float, tau: float = 0.6) -> np.ndarray:
     """Exponential means forward, then backward; then steps held to +-limit forward, then backward."""
     keep = float(np.exp(-dt / tau))
-    out = values.astype(float).copy()
+    out = values.astype(float).tolist()
     for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
         for i in order:
             j = i - 1 if order.step > 0 else i + 1
@@ -55,7 +56,7 @@ def smooth(values: np.ndarray, dt: float, limit: float, tau: float = 0.6) -> np.
         for i in order:
             j = i - 1 if order.step > 0 else i + 1
             out[i] = min(max(out[i], out[j] - limit), out[j] + limit)
-    return out
+    return np.array(out)
 
 
 def simplify(t: np.ndarray, v: np.ndarray, tolerance: float) -> np.ndarray:
@@ -131,9 +132,10 @@ def sample_crop(windows: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (clip_id, t_ms) with x and y between keyframes at t_start_ms, ends held, in thousandths of a pixel."""
     w = Window.partitionBy("clip_id").orderBy("k")
     legs = windows.select("clip_id", "k", F.col("t_start_ms").alias("ta"), F.lead("t_start_ms").over(w).alias("tb"), "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), (F.lag("k").over(w).isNull()).alias("first"))
-    met = probes.join(legs, "clip_id").filter("(ta <= t_ms OR first) AND (tb IS NULL OR t_ms < tb)")
+    legs = legs.filter("tb IS NULL OR tb > ta OR first").withColumn("at", F.when(F.col("first"), F.lit(float("-inf"))).otherwise(F.col("ta")))
+    met = as_of(probes, legs, "t_ms", "at").select("clip_id", "t_ms", "mark.*")
     share = F.when(F.col("tb").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("t_ms") - F.col("ta")))
-    lerp = lambda a, b: F.when(F.col("tb").isNull(), F.col(a) * 1000).otherwise(F.col(a) * 1000 + F.floor((F.col(b) - F.col(a)) * 1000 * share / (F.col("tb") - F.col("ta")))).cast("long")
+    lerp = lambda a, b: F.when(F.col("tb").isNull(), F.col(a) * 1000).otherwise(F.col(a) * 1000 + F.floor((F.col(b) - F.col(a)) * 1000 * share / F.greatest(F.col("tb") - F.col("ta"), F.lit(1)))).cast("long")
     return met.select("clip_id", "t_ms", lerp("x", "x1").alias("mx"), lerp("y", "y1").alias("my"))
 
 
@@ -141,6 +143,7 @@ def subject_occupancy(windows: DataFrame, track: DataFrame, pad: int = 0) -> Dat
     """windows with the median box (bx0..by1, widened by pad) of the confident samples in each closed interval; a plan
     of one window takes all samples."""
     n = F.count("*").over(Window.partitionBy("clip_id"))
-    rows = windows.withColumn("n", n).join(track.filter("conf > 0 AND bx0 IS NOT NULL"), "clip_id").filter("n = 1 OR (t_ms >= t_start_ms AND t_ms <= t_end_ms)")
+    seen, counted = track.filter("conf > 0 AND bx0 IS NOT NULL").select("clip_id", "t_ms", "bx0", "by0", "bx1", "by1"), windows.withColumn("n", n)
+    rows = counted.filter("n = 1").join(seen, "clip_id").unionByName(join_intervals(counted.filter("n > 1"), seen.withColumn("te", F.col("t_ms")), "t_start_ms", "t_end_ms", "t_ms", "te").drop("te"))
     keys = ["clip_id", "k", "t_start_ms", "t_end_ms", "x", "y", "w", "h"]
     return rows.groupBy(*keys).agg(*[(F.median(c) + d * pad).alias(c) for c, d in (("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1))])

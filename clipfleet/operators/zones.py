@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.functions.dims import ANCHORS, DODGE, generic_insets
 from clipfleet.functions.exprs import clamp, half_even
+from clipfleet.operators.intervals import join_intervals
 
 
 def mask_bands(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +64,8 @@ def main_component(runs: DataFrame, rounds: int = 200) -> DataFrame:
     row in the middle of all safe rows, the middle pixel by count.
 
     Runs are vertices; runs of neighbouring rows that overlap are edges. The smallest label spreads until nothing
-    changes; a tall thin part takes a round for each row, and each round is written to the shared folder.
+    changes, by edges and by jumps to the label's own label; each round is written to the shared folder. More than `rounds`
+    of them are an error.
     """
     from clipfleet.sources.scratch import stored
 
@@ -77,10 +79,12 @@ def main_component(runs: DataFrame, rounds: int = 200) -> DataFrame:
         new = labels.join(near, ["mask_id", "v"], "left").select("mask_id", "v", F.least("lab", F.coalesce("low", "lab")).alias("lab"), F.col("lab").alias("old"))
         jump = labels.select("mask_id", F.col("v").alias("lab"), F.col("lab").alias("far"))
         new = stored(new.join(jump, ["mask_id", "lab"]).select("mask_id", "v", F.least("lab", "far").alias("lab"), "old"), "labels")
-        still = new.filter("lab = old").count() == new.count()
+        moved = new.agg(F.count_if(F.col("lab") != F.col("old"))).first()[0]
         labels = new.select("mask_id", "v", "lab")
-        if still:
+        if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     rows = v.withColumn("len", F.col("x1") - F.col("x0"))
     w = Window.partitionBy("mask_id")
     middle = rows.select("mask_id", "y").distinct().withColumn("k", F.row_number().over(w.orderBy("y")) - 1).withColumn("c", F.count("*").over(w)).filter(F.col("k") == F.floor(F.col("c") / 2)).select("mask_id", "y")
@@ -105,11 +109,31 @@ def zone_clears(rects: DataFrame, bands: DataFrame, key: list[str]) -> DataFrame
     return rects.join(rows, key, "left").select(*key, (F.coalesce("covered", F.lit(0)) >= F.col("y1") - F.col("y0")).alias("clear"))
 
 
+def resolve_none(sizes: DataFrame) -> DataFrame:
+    """sizes (width, height, ...) with the whole frame as the zone of both purposes."""
+    zero = F.lit(0).cast("long")
+    return sizes.withColumn("purpose", F.explode(F.array(F.lit("subject"), F.lit("text")))).select("*", zero.alias("x0"), zero.alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"))
+
+
+def resolve_custom(sizes: DataFrame, polygons: DataFrame, notches: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Bands and rejects, as of `carve`, of drawn zones at output sizes (key, zone, width, height; key is unique).
+
+    polygons: zone, canvas_w, canvas_h, x, y, a row for each corner; notches: zone, nx0, ny0, nx1, ny1, on the same
+    canvas. Places are scaled, rounded half to even and held to the frame.
+    """
+    box = polygons.groupBy("zone", "canvas_w", "canvas_h").agg(F.min("x").alias("bx0"), F.min("y").alias("by0"), F.max("x").alias("bx1"), F.max("y").alias("by1"))
+    at = lambda c, size: clamp(half_even(F.col(c) * F.col("width" if size == "w" else "height") / F.col(f"canvas_{size}").cast("double")), F.lit(0), F.col("width" if size == "w" else "height")).cast("long")
+    sized = sizes.select(key, "zone", "width", "height").join(box, "zone")
+    boxes = sized.select(key, at("bx0", "w").alias("x0"), at("by0", "h").alias("y0"), at("bx1", "w").alias("x1"), at("by1", "h").alias("y1"))
+    cuts = sized.join(notches, "zone").select(key, at("nx0", "w").alias("nx0"), at("ny0", "h").alias("ny0"), at("nx1", "w").alias("nx1"), at("ny1", "h").alias("ny1"))
+    return carve(boxes, cuts, key)
+
+
 def resolve_generic(sizes: DataFrame) -> DataFrame:
-    """(aspect, purpose, width, height, x0, y0, x1, y1): generic zones at output sizes (aspect, width, height)."""
+    """(purpose, x0, y0, x1, y1) beside the columns of sizes (aspect, width, height, ...): generic zones at those sizes."""
     z = sizes.join(F.broadcast(generic_insets(sizes.sparkSession)), "aspect")  # 14 rows
     at = lambda pct, size, far: clamp(half_even((100 - F.col(pct) if far else F.col(pct)) * F.col(size) / F.lit(100.0)), F.lit(0), F.col(size)).cast("long")
-    return z.select("aspect", "purpose", "width", "height", at("il", "width", False).alias("x0"), at("it", "height", False).alias("y0"), at("ir", "width", True).alias("x1"), at("ib", "height", True).alias("y1"))
+    return z.select(*sizes.columns, "purpose", at("il", "width", False).alias("x0"), at("it", "height", False).alias("y0"), at("ir", "width", True).alias("x1"), at("ib", "height", True).alias("y1"))
 
 
 def carve(boxes: DataFrame, notches: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +189,7 @@ def caption_boxes(bands: DataFrame, key: str = "zone", centred: bool = False, ma
 def avoid_rects(cues: DataFrame, windows: DataFrame) -> DataFrame:
     """(clip_id, i, rx, ry, rw, rh): rectangles on screen for a positive time of each cue (clip_id, i, start_ms, end_ms)."""
     w = windows.select("clip_id", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"), "rx", "ry", "rw", "rh")
-    return cues.join(w, "clip_id").filter(F.least("end_ms", "we") > F.greatest("start_ms", "ws")).select("clip_id", "i", "rx", "ry", "rw", "rh")
+    return join_intervals(cues.select("clip_id", "i", "start_ms", "end_ms"), w, "start_ms", "end_ms", "ws", "we").filter(F.least("end_ms", "we") > F.greatest("start_ms", "ws")).select("clip_id", "i", "rx", "ry", "rw", "rh")
 
 
 def boxes_avoiding(cues: DataFrame, rects: DataFrame, boxes: DataFrame, position: str = "lower-third") -> DataFrame:

@@ -13,8 +13,8 @@ _WORDS = """SELECT clip_id, CAST(idx AS BIGINT) AS idx, word,
   CAST(coalesce(sum(dur_ms + gap_ms) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms,
   CAST(coalesce(sum(dur_ms + gap_ms) OVER (PARTITION BY clip_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + dur_ms AS BIGINT) AS end_ms,
   {norm} AS norm FROM (SELECT *, 120 + 40 * length(word) AS dur_ms, {gap} AS gap_ms FROM ({source}) t) g"""
-_SPARK_WORDS = _WORDS.format(norm="""regexp_replace(lower(word), "[^a-z0-9']+", '')""", gap=_GAP.format(end="word rlike '[.!?]$'"), source=r"SELECT doc_id AS clip_id, posexplode(filter(split(text, '[ \\n\\t\\r]+'), x -> x <> '')) AS (idx, word) FROM documents WHERE lang = 'en'")
-_DUCK_WORDS = _WORDS.format(norm="regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g')", gap=_GAP.format(end="regexp_matches(word, '[.!?]$')"), source=r"SELECT clip_id, unnest(range(len(a))) AS idx, unnest(a) AS word FROM (SELECT doc_id AS clip_id, list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '') AS a FROM documents WHERE lang = 'en') d")
+_SPARK_WORDS = _WORDS.format(norm="""regexp_replace(lower(word), "[^a-z0-9']+", '')""", gap=_GAP.format(end="word rlike '[.!?]$'"), source=r"SELECT doc_id AS clip_id, posexplode(filter(split(text, '[ \\n\\t\\r]+'), x -> x <> '')) AS (idx, word) FROM documents")
+_DUCK_WORDS = _WORDS.format(norm="regexp_replace(lower(word), '[^a-z0-9'']+', '', 'g')", gap=_GAP.format(end="regexp_matches(word, '[.!?]$')"), source=r"SELECT clip_id, unnest(range(len(a))) AS idx, unnest(a) AS word FROM (SELECT doc_id AS clip_id, list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '') AS a FROM documents) d")
 
 _BOTH = {
     "durations": "SELECT clip_id, CAST(max(end_ms) + clip_id % 4 * 500 AS BIGINT) AS duration_ms FROM words GROUP BY clip_id",
@@ -66,15 +66,15 @@ _SPARK = {
     "words": _SPARK_WORDS,
     "pages_parsed": r"""SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
   transform(filter(split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>'), (x, i) -> i > 0), x -> btrim(regexp_replace(regexp_replace(x, '<[^>]*>', ' '), '[ \\n\\t\\r]+', ' '))) AS paragraphs FROM pages""",
-    "window_queries": "SELECT item_id AS query_id, concat_ws(' ', slice(split(text, ' '), 1, 2)) AS phrase FROM benchmark WHERE item_id < 10",
-    "mask_runs": "SELECT CAST(n_nationkey AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(4 + n_nationkey % 3 * 2 AS BIGINT) AS x0, CAST(CASE WHEN y >= 40 THEN 45 - n_nationkey % 5 ELSE 60 END AS BIGINT) AS x1 FROM nation LATERAL VIEW explode(sequence(2, 61)) t AS y",
+    "window_queries": "SELECT item_id AS query_id, text AS phrase FROM benchmark",
+    "mask_runs": "SELECT CAST(s_suppkey AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(4 + s_suppkey % 3 * 2 AS BIGINT) AS x0, CAST(CASE WHEN y >= 40 THEN 45 - s_suppkey % 5 ELSE 60 END AS BIGINT) AS x1 FROM supplier LATERAL VIEW explode(sequence(2, 61)) t AS y",
 }
 _DUCK = {
     "words": _DUCK_WORDS,
     "pages_parsed": r"""SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
   list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g'))) AS paragraphs FROM pages""",
-    "window_queries": "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase FROM benchmark WHERE item_id < 10",
-    "mask_runs": "SELECT CAST(n_nationkey AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(4 + n_nationkey % 3 * 2 AS BIGINT) AS x0, CAST(CASE WHEN y >= 40 THEN 45 - n_nationkey % 5 ELSE 60 END AS BIGINT) AS x1 FROM nation, unnest(range(2, 62)) t(y)",
+    "window_queries": "SELECT item_id AS query_id, text AS phrase FROM benchmark",
+    "mask_runs": "SELECT CAST(s_suppkey AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(4 + s_suppkey % 3 * 2 AS BIGINT) AS x0, CAST(CASE WHEN y >= 40 THEN 45 - s_suppkey % 5 ELSE 60 END AS BIGINT) AS x1 FROM supplier, unnest(range(2, 62)) t(y)",
 }
 _ORDER = ["words", "durations", "g", "silence_log", "clips", "subject_track", "detections", "qc_elements", "overlays", "target_history", "style_layers", "pages_parsed", "window_queries", "mask_runs"]
 

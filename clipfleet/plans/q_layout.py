@@ -89,10 +89,24 @@ def band_ring(t: Tables):
     return Z.band_ring(Z.mask_bands(t.mask_runs)[0])
 
 
-@query("SELECT mask_id, y, x0, x1 FROM mask_runs WHERE y > 4")
+# masks with a hole (two runs in the rows 20 to 24), specks at the top and right, and a bar that touches corners only
+_SPECKS = """SELECT mask_id, y, x0, CASE WHEN y BETWEEN 20 AND 24 THEN 20 ELSE x1 END AS x1 FROM mask_runs UNION ALL SELECT mask_id, y, 30, x1 FROM mask_runs WHERE y BETWEEN 20 AND 24
+  UNION ALL SELECT DISTINCT mask_id, 0, 1, 3 FROM mask_runs UNION ALL SELECT mask_id, y, 80 + y % 2, 90 FROM mask_runs WHERE y BETWEEN 10 AND 15 AND mask_id % 2 = 0 UNION ALL SELECT DISTINCT mask_id, 62, 60, 70 FROM mask_runs"""
+
+
+@query("SELECT mask_id, y, x0, x1 FROM reach", STEPS | {
+    "specks": _SPECKS,
+    "middle": "SELECT mask_id, y FROM (SELECT mask_id, y, row_number() OVER (PARTITION BY mask_id ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY mask_id) AS c FROM (SELECT DISTINCT mask_id, y FROM specks) d) e WHERE k = c // 2",
+    "seed": "SELECT mask_id, y, x0, x1 FROM (SELECT s.*, sum(x1 - x0) OVER (PARTITION BY mask_id ORDER BY x0) - (x1 - x0) AS before, sum(x1 - x0) OVER (PARTITION BY mask_id) // 2 AS half FROM specks s JOIN middle USING (mask_id, y)) m WHERE before <= half AND half < before + x1 - x0",
+    "reach": "SELECT mask_id, y, x0, x1 FROM seed UNION SELECT s.mask_id, s.y, s.x0, s.x1 FROM reach r JOIN specks s ON s.mask_id = r.mask_id AND abs(s.y - r.y) = 1 AND s.x0 < r.x1 AND r.x0 < s.x1",
+}, recursive=True)
 def main_component(t: Tables):
-    loose = t.mask_runs.select("mask_id", F.lit(0).cast("long").alias("y"), F.lit(1).cast("long").alias("x0"), F.lit(3).cast("long").alias("x1")).distinct()
-    return Z.main_component(t.mask_runs.filter("y > 4").union(loose))
+    long = lambda x, name: (F.lit(x) if isinstance(x, int) else x).cast("long").alias(name)
+    holed = F.col("y").between(20, 24)
+    one = lambda y, x0, x1: t.mask_runs.select("mask_id", long(y, "y"), long(x0, "x0"), long(x1, "x1")).distinct()
+    runs = t.mask_runs.select("mask_id", "y", "x0", F.when(holed, F.lit(20).cast("long")).otherwise(F.col("x1")).alias("x1")).union(t.mask_runs.filter(holed).select("mask_id", "y", long(30, "x0"), "x1"))
+    bar = t.mask_runs.filter(F.col("y").between(10, 15) & (F.col("mask_id") % 2 == 0)).select("mask_id", "y", long(80 + F.col("y") % 2, "x0"), long(90, "x1"))
+    return Z.main_component(runs.union(one(0, 1, 3)).union(bar).union(one(62, 60, 70)))
 
 
 @query("SELECT clip_id, ord FROM qc_elements e WHERE EXISTS (SELECT 1 FROM zone_bands b WHERE e.x0 >= b.x0 AND e.x0 < b.x1 AND e.y0 >= b.y0 AND e.y0 < b.y1)", STEPS)
@@ -109,28 +123,68 @@ def zone_clears(t: Tables):
     return r.withColumn("k", F.concat_ws(":", *key)).join(met, "k").select(*key, "clear")
 
 
-_matrix = [(a, w, h) for a in dims.RESOLUTIONS for w, h in dims.RESOLUTIONS[a]]
 _insets = [(a, p, *x[a]) for p, x in (("subject", dims.SUBJECT_INSETS), ("text", dims.TEXT_INSETS)) for a in x]
 _edge = lambda pct, size: f"greatest(0, least(CAST(round_even({pct} * {size} / 100.0, 0) AS BIGINT), {size}))"
 
 
-@query(f"SELECT aspect, purpose, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, {_edge('il', 'width')} AS x0, {_edge('it', 'height')} AS y0, {_edge('(100 - ir)', 'width')} AS x1, {_edge('(100 - ib)', 'height')} AS y1, n FROM (SELECT m.aspect, width, height, purpose, it, ir, ib, il FROM (SELECT aspect AS aspect, width, height FROM {dims.values_sql(_matrix, 'aspect, width, height')}) m JOIN (SELECT * FROM {dims.values_sql(_insets, 'aspect, purpose, it, ir, ib, il')}) i ON i.aspect = m.aspect) z JOIN (SELECT aspect, count(*) AS n FROM clips GROUP BY aspect) c USING (aspect)")
+@query(f"SELECT clip_id, purpose, src_w AS width, src_h AS height, {_edge('il', 'src_w')} AS x0, {_edge('it', 'src_h')} AS y0, {_edge('(100 - ir)', 'src_w')} AS x1, {_edge('(100 - ib)', 'src_h')} AS y1 FROM clips JOIN (SELECT * FROM {dims.values_sql(_insets, 'aspect, purpose, it, ir, ib, il')}) i USING (aspect)")
 def resolve_zones(t: Tables):
-    sizes = t.spark.createDataFrame(_matrix, "aspect string, width long, height long")
-    used = t.clips.groupBy("aspect").agg(F.count("*").alias("n"))
-    return Z.resolve_generic(sizes).join(used, "aspect")
+    return Z.resolve_generic(sizes(t)).drop("aspect")
 
 
-@query("SELECT mask_id, x0, y0, x1, y1 FROM mask_bands_", STEPS)
-def carve_notches(t: Tables):
+@query("SELECT clip_id, p AS purpose, src_w AS width, src_h AS height, CAST(0 AS BIGINT) AS x0, CAST(0 AS BIGINT) AS y0, src_w AS x1, src_h AS y1 FROM clips, (VALUES ('subject'), ('text')) v(p)")
+def resolve_zones_none(t: Tables):
+    return Z.resolve_none(sizes(t)).drop("aspect")
+
+
+def sizes(t: Tables):
+    return t.clips.select("clip_id", "aspect", F.col("src_w").alias("width"), F.col("src_h").alias("height"))
+
+
+def more_notches(t: Tables):
+    """Notches of masks: the cut right sides, one on the left for odd masks, and whole rows for each fifth."""
     b = Z.mask_bands(t.mask_runs)[0]
     n = Z.band_notches(b).select("mask_id", F.col("x0").alias("nx0"), F.col("y0").alias("ny0"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"))
-    return Z.carve(Z.zone_summary(b).drop("area"), n, "mask_id")[0]
+    own = lambda where, x0, y0, x1, y1: b.filter(where).groupBy("mask_id").agg(x0.alias("nx0"), F.lit(y0).cast("long").alias("ny0"), x1.alias("nx1"), F.lit(y1).cast("long").alias("ny1"))
+    return Z.zone_summary(b).drop("area"), n.union(own("mask_id % 2 = 1", F.min("x0"), 10, F.min("x0") + 3, 20)).union(own("mask_id % 5 = 0", F.min("x0") - 1, 50, F.max("x1") + 1, 53))
+
+
+_carved = """SELECT {key}, x0, min(y) AS y0, x1, max(y) + 1 AS y1 FROM (SELECT *, y - row_number() OVER (PARTITION BY {key}, x0, x1 ORDER BY y) AS island FROM (
+  SELECT b.{key}, y, max(CASE WHEN nx0 <= b.x0 AND nx1 < b.x1 THEN greatest(b.x0, nx1) WHEN nx0 <= b.x0 THEN b.x1 ELSE b.x0 END) AS x0, min(CASE WHEN nx1 >= b.x1 AND nx0 > b.x0 THEN least(b.x1, nx0) ELSE b.x1 END) AS x1
+  FROM (SELECT *, unnest(range(y0, y1)) AS y FROM {boxes}) b LEFT JOIN {notches} n ON n.{key} = b.{key} AND ny0 <= y AND y < ny1 GROUP BY b.{key}, y) r WHERE x1 > x0) s GROUP BY {key}, x0, x1, island"""
+_BOXES = "SELECT mask_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM mask_bands_ GROUP BY mask_id"
+_NOTCHED = """SELECT b.mask_id, b.x1 AS nx0, b.y0 AS ny0, z.x1 AS nx1, b.y1 AS ny1 FROM mask_bands_ b JOIN mask_boxes z ON z.mask_id = b.mask_id WHERE b.x1 < z.x1
+  UNION ALL SELECT mask_id, x0, 10, x0 + 3, 20 FROM mask_boxes WHERE mask_id % 2 = 1 UNION ALL SELECT mask_id, x0 - 1, 50, x1 + 1, 53 FROM mask_boxes WHERE mask_id % 5 = 0"""
+
+
+@query(_carved.format(key="mask_id", boxes="mask_boxes", notches="mask_notches"), STEPS | {"mask_boxes": _BOXES, "mask_notches": _NOTCHED})
+def carve_notches(t: Tables):
+    return Z.carve(*more_notches(t), "mask_id")[0]
+
+
+_scaled = lambda c, size, canvas: f"greatest(0, least(CAST(round_even({c} * {size} / CAST({canvas} AS DOUBLE), 0) AS BIGINT), {size}))"
+
+
+# each clip takes the zone that was drawn for one of the masks on a canvas of 64 x 64, at its own size over ten
+@query(_carved.format(key="clip_id", boxes="zone_boxes", notches="zone_cuts"), STEPS | {
+    "mask_boxes": _BOXES, "mask_notches": _NOTCHED,
+    "drawn": "SELECT clip_id, CAST(src_w // 10 AS BIGINT) AS w, CAST(src_h // 10 AS BIGINT) AS h, m.* FROM clips JOIN mask_boxes m ON m.mask_id = clip_id % 7 + 1",
+    "zone_boxes": f"SELECT clip_id, {_scaled('x0', 'w', 64)} AS x0, {_scaled('y0', 'h', 64)} AS y0, {_scaled('x1', 'w', 64)} AS x1, {_scaled('y1', 'h', 64)} AS y1 FROM drawn",
+    "zone_cuts": f"SELECT clip_id, {_scaled('nx0', 'w', 64)} AS nx0, {_scaled('ny0', 'h', 64)} AS ny0, {_scaled('nx1', 'w', 64)} AS nx1, {_scaled('ny1', 'h', 64)} AS ny1 FROM drawn JOIN mask_notches USING (mask_id)",
+})
+def resolve_zones_custom(t: Tables):
+    boxes, notches = more_notches(t)
+    corners = F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")]))
+    drawn = boxes.select(F.col("mask_id").alias("zone"), F.lit(64).alias("canvas_w"), F.lit(64).alias("canvas_h"), corners.alias("c")).select("zone", "canvas_w", "canvas_h", "c.*")
+    clips = t.clips.select("clip_id", (F.col("clip_id") % 7 + 1).alias("zone"), F.floor(F.col("src_w") / 10).alias("width"), F.floor(F.col("src_h") / 10).alias("height"))
+    return Z.resolve_custom(clips, drawn, notches.withColumnRenamed("mask_id", "zone"), "clip_id")[0]
 
 
-@query("SELECT position, x, y, w, h, n FROM cap_boxes, (SELECT count(*) AS n FROM cues) c", STEPS)
+@query(f"""SELECT mask_id, position, CAST(a + m AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(b - m - (a + m) AS BIGINT) AS w, CAST(y1 - y AS BIGINT) AS h FROM (SELECT *, round_even((b - a) * 4 / 100.0, 0) AS m FROM (
+  SELECT p.mask_id, p.position, p.y, p.y1, (SELECT max(x0) FROM mask_bands_ z WHERE z.mask_id = p.mask_id AND z.y0 < p.y1 AND z.y1 > p.y) AS a, (SELECT min(x1) FROM mask_bands_ z WHERE z.mask_id = p.mask_id AND z.y0 < p.y1 AND z.y1 > p.y) AS b
+  FROM (SELECT mask_id, position, round_even(y0 + lo * (y1 - y0) / 100.0, 0) AS y, round_even(y0 + hi * (y1 - y0) / 100.0, 0) AS y1 FROM mask_boxes, {dims.values_sql(dims.ANCHORS, 'position, lo, hi')}) p) q) r""", STEPS | {"mask_boxes": _BOXES})
 def caption_box(t: Tables):
-    return Z.caption_boxes(bands(t)).drop("zone").crossJoin(three_word_cues(t).agg(F.count("*").alias("n")))  # one row
+    return Z.caption_boxes(Z.mask_bands(t.mask_runs)[0], "mask_id")
 
 
 @query("SELECT clip_id, i, px AS rx, py AS ry, pw AS rw, ph AS rh FROM cue_rects", STEPS)

@@ -40,8 +40,9 @@ def _pieces(pads: str) -> str:
 STEPS |= {
     "pieces": _pieces("pads"),
     "wide_pieces": _pieces("wide_pads"),
-    "texts": "SELECT p.clip_id, p.i, string_agg(word, ' ' ORDER BY idx) AS text FROM pieces p JOIN words w ON p.clip_id = w.clip_id AND 2 * p.start_ms <= w.start_ms + w.end_ms AND w.start_ms + w.end_ms < 2 * p.end_ms GROUP BY p.clip_id, p.i",
-    "marks": "SELECT p.clip_id, p.i, max(CASE WHEN label = 'filler' THEN 2 ELSE 1 END) AS rank FROM pieces p JOIN labelled m ON p.clip_id = m.clip_id AND label IS NOT NULL AND m.start_ms < p.end_ms AND m.end_ms > p.start_ms WHERE NOT keep GROUP BY p.clip_id, p.i",
+    "buckets": "SELECT clip_id, i, keep, start_ms, end_ms, unnest(range(start_ms // 10000, end_ms // 10000 + 1)) AS b FROM pieces",
+    "texts": "SELECT p.clip_id, p.i, string_agg(word, ' ' ORDER BY idx) AS text FROM buckets p JOIN words w ON p.clip_id = w.clip_id AND p.b = (w.start_ms + w.end_ms) // 20000 AND 2 * p.start_ms <= w.start_ms + w.end_ms AND w.start_ms + w.end_ms < 2 * p.end_ms GROUP BY p.clip_id, p.i",
+    "marks": "SELECT p.clip_id, p.i, max(CASE WHEN label = 'filler' THEN 2 ELSE 1 END) AS rank FROM buckets p JOIN (SELECT *, unnest(range(start_ms // 10000, end_ms // 10000 + 1)) AS b FROM labelled WHERE label IS NOT NULL) m ON p.clip_id = m.clip_id AND p.b = m.b AND m.start_ms < p.end_ms AND m.end_ms > p.start_ms WHERE NOT keep GROUP BY p.clip_id, p.i",
     "segments": "SELECT p.*, CASE WHEN keep THEN '' WHEN rank = 2 THEN 'filler' WHEN rank = 1 THEN 'false-start' ELSE 'silence' END AS reason, coalesce(text, '') AS text FROM pieces p LEFT JOIN texts USING (clip_id, i) LEFT JOIN marks USING (clip_id, i)",
     "events_": r"SELECT clip_id, line_no, contains(line, 'silence_start:') AS opens, CAST(round_even(CAST(regexp_extract(line, 'silence_(?:start|end):\s*(-?[0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE) * 1000, 0) AS BIGINT) AS ms FROM silence_log",
     "paired": "SELECT clip_id, line_no, ms, opens, lag(opens) OVER w AS was, lag(ms) OVER w AS prev, lead(opens) OVER w IS NULL AS last FROM events_ WINDOW w AS (PARTITION BY clip_id ORDER BY line_no)",
@@ -51,10 +52,11 @@ STEPS |= {
   SELECT clip_id, coalesce(max(e) OVER (PARTITION BY clip_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, s AS e FROM held
   UNION ALL SELECT d.clip_id, coalesce(max(h.e), 0), max(d.duration_ms) FROM durations d LEFT JOIN held h ON d.clip_id = h.clip_id GROUP BY d.clip_id) u WHERE e - s >= 100""",
     "q_tokens": r"SELECT query_id, unnest(range(len(q))) AS pos, unnest(q) AS norm, len(q) AS m, len(list_filter(q, lambda x: x NOT IN (" + _IN(STOP_WORDS) + r"))) = 0 AS all_stop FROM (SELECT query_id, list_filter(list_transform(regexp_split_to_array(phrase, '\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9'']+', '', 'g')), lambda x: x <> '') AS q FROM window_queries) t",
-    "exacts": "SELECT query_id, clip_id, min(i) AS i, min(i) + max(m) - 1 AS j FROM (SELECT query_id, clip_id, idx - pos AS i, m FROM words JOIN q_tokens USING (norm) GROUP BY query_id, clip_id, idx - pos, m HAVING count(*) = m) e GROUP BY query_id, clip_id",
+    "starts": "SELECT query_id, clip_id, w.idx AS i, m FROM (SELECT *, lead(norm) OVER v AS n1, lead(norm, 2) OVER v AS n2 FROM words WINDOW v AS (PARTITION BY clip_id ORDER BY idx)) w JOIN (SELECT query_id, any_value(m) AS m, max(norm) FILTER (pos = 0) AS q0, max(norm) FILTER (pos = 1) AS q1, max(norm) FILTER (pos = 2) AS q2 FROM q_tokens GROUP BY query_id) q ON norm = q0 AND (q1 IS NULL OR n1 = q1) AND (q2 IS NULL OR n2 = q2)",
+    "exacts": "SELECT query_id, clip_id, min(i) AS i, min(i) + max(m) - 1 AS j FROM (SELECT s.query_id, s.clip_id, s.i, s.m FROM starts s JOIN q_tokens q ON q.query_id = s.query_id JOIN words w ON w.clip_id = s.clip_id AND w.idx = s.i + q.pos AND w.norm = q.norm GROUP BY ALL HAVING count(*) = s.m) e GROUP BY query_id, clip_id",
     "clusters": "SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY idx) AS cluster FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY clip_id ORDER BY idx) > 600 THEN 1 ELSE 0 END AS o FROM words) t",
     "cluster_hits": f"SELECT query_id, clip_id, cluster, count(DISTINCT norm) AS d, min(idx) AS i, max(idx) AS j FROM clusters JOIN (SELECT DISTINCT query_id, norm FROM q_tokens WHERE all_stop OR norm NOT IN ({_IN(STOP_WORDS)})) k USING (norm) GROUP BY query_id, clip_id, cluster",
-    "spans_": "SELECT query_id, clip_id, i, j, true AS exact FROM exacts UNION ALL SELECT query_id, clip_id, i, j, false FROM (SELECT *, row_number() OVER (PARTITION BY query_id, clip_id ORDER BY d DESC, cluster) AS r FROM cluster_hits) h WHERE r = 1 AND (query_id, clip_id) NOT IN (SELECT (query_id, clip_id) FROM exacts)",
+    "spans_": "SELECT query_id, clip_id, i, j, true AS exact FROM exacts UNION ALL SELECT query_id, clip_id, i, j, false FROM (SELECT *, row_number() OVER (PARTITION BY query_id, clip_id ORDER BY d DESC, cluster) AS r FROM cluster_hits ANTI JOIN exacts USING (query_id, clip_id)) h WHERE r = 1",
     "span_times": """SELECT query_id, s.clip_id, exact, lo, hi, greatest(lo, a.start_ms - 100) AS s, least(hi, b.end_ms + 100) AS e FROM spans_ s JOIN words a ON a.clip_id = s.clip_id AND a.idx = s.i JOIN words b ON b.clip_id = s.clip_id AND b.idx = s.j
   JOIN (SELECT clip_id, arg_min(start_ms, idx) AS lo, arg_max(end_ms, idx) AS hi FROM words GROUP BY clip_id) x ON x.clip_id = s.clip_id""",
     "grown": "SELECT *, greatest(lo, s - (1500 - (e - s)) // 2) AS s1 FROM span_times WHERE e - s < 1500",
@@ -123,9 +125,9 @@ def silence_transcript(t: Tables):
     return R.silence_transcript(R.speech_regions(R.read_silence_log(t.silence_log), t.durations, 100))
 
 
-@query("SELECT w.clip_id, w.start_ms AS t_ms, o.i, o.kind FROM words w JOIN overlays o ON w.clip_id = o.clip_id AND o.start_ms <= w.start_ms AND w.start_ms < o.end_ms WHERE w.idx % 5 = 0")
+@query("SELECT w.clip_id, w.start_ms AS t_ms, o.i, o.kind FROM words w JOIN overlays o ON w.clip_id = o.clip_id AND o.start_ms <= w.start_ms AND w.start_ms < o.end_ms")
 def active_at(t: Tables):
-    probes = t.words.filter("idx % 5 = 0").select("clip_id", F.col("start_ms").alias("t_ms"))
+    probes = t.words.select("clip_id", F.col("start_ms").alias("t_ms"))
     return R.active_at(t.overlays, probes).select("clip_id", "t_ms", "i", "kind")
 
 

@@ -36,9 +36,9 @@ def stream_target_changes(t: Tables):
     return streamed(t.target_history, F.least(F.floor(F.col("seq") / 4), F.lit(2)), S.target_changes)
 
 
-@query()
+@query("SELECT clip_id, min(start_ms) AS start_ms, max(start_ms) AS end_ms, count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY start_ms) AS session FROM (SELECT clip_id, start_ms, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY clip_id ORDER BY start_ms) > 600 THEN 1 ELSE 0 END AS o FROM words) a) b GROUP BY clip_id, session")
 def stream_pause_sessions(t: Tables):
     w = t.words.select("clip_id", F.timestamp_millis("start_ms").alias("at"), "start_ms")
-    return streamed(w, F.least(F.floor(F.col("start_ms") / 60000), F.lit(2)), lambda s: S.pause_sessions(s))
-
-
+    # a word of no clip, an hour after all others, lets the watermark close their sessions
+    last = w.agg((F.max("start_ms") + 3_600_000).alias("start_ms")).select(F.lit(None).cast("long").alias("clip_id"), F.timestamp_millis("start_ms").alias("at"), "start_ms")
+    return streamed(w.union(last), F.least(F.floor(F.col("start_ms") / 60000), F.lit(2)), lambda s: S.pause_sessions(s))

@@ -71,8 +71,8 @@ def kept_spans(t: Tables):
 
 @query(f"SELECT clip_id, idx, {_cut('start_ms', 'w.clip_id')} AS cut_f, {_over('start_ms', 'end_ms', 'w.clip_id')} AS kept FROM words w", STEPS)
 def source_to_cut(t: Tables):
-    rows = t.words.join(L.kept_spans(base_cut_of(t)), "clip_id", "left")
-    return rows.select("clip_id", "idx", L.source_to_cut(F.col("start_ms"), FPS).alias("cut_f"), L.kept_overlap(F.col("start_ms"), F.col("end_ms"), FPS).alias("kept"))
+    rows = L.to_cut(t.words.select("clip_id", "idx", "start_ms", "end_ms"), base_cut_of(t), FPS, "idx")
+    return rows.select("clip_id", "idx", F.col("start_f").alias("cut_f"), "kept")
 
 
 @query("SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_f, end_f, i) - 1 AS i, start_f, end_f, line, outside = 0 AS timed FROM moved WHERE end_f - start_f >= 1", STEPS)
@@ -145,9 +145,16 @@ def emphasis(t: Tables):
 _FIXES = [("of the", "OF-THE"), ("the", "THE"), ("for", "4")]
 
 
-@query(r"SELECT doc_id AS clip_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bof\s+the\b', 'OF-THE', 'g'), '(?i)\bthe\b', 'THE', 'g'), '(?i)\bfor\b', '4', 'g') AS text FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\x01-\x7f]*$')")
+def _fix_sql(text: str, key: str, right: str) -> str:
+    """key as a whole word, its ends spelled out; chr(1) marks a match, so that one that shares a blank with it is found
+    by the second pass."""
+    one = rf"'(^|[^\p{{L}}\p{{Nd}}_]){key}($|[^\p{{L}}\p{{Nd}}_])', concat('\1', chr(1), '\2'), 'gi'"
+    return f"replace(regexp_replace(regexp_replace({text}, {one}), {one}), chr(1), '{right}')"
+
+
+@query(f"SELECT doc_id AS clip_id, {_fix_sql(_fix_sql(_fix_sql('text', r'of[\s\x0B]+the', 'OF-THE'), 'the', 'THE'), 'for', '4')} AS text FROM documents")
 def fix_text(t: Tables):
-    return t.documents.filter("lang = 'en'").filter(F.col("text").rlike(r"^[\x01-\x7f]*$")).select(F.col("doc_id").alias("clip_id"), C.fix_text(F.col("text"), _FIXES).alias("text"))
+    return t.documents.select(F.col("doc_id").alias("clip_id"), C.fix_text(F.col("text"), _FIXES).alias("text"))
 
 
 # keys without overlap: the pair pass comes first, the single words after it

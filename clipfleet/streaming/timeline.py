@@ -35,7 +35,8 @@ def silence_pairs(events: DataFrame) -> DataFrame:
 
 
 def pause_sessions(words: DataFrame, gap_ms: int = 600, late_ms: int = 60_000) -> DataFrame:
-    """(clip_id, start_ms, end_ms, n): runs of words (clip_id, at timestamp) without a pause of gap_ms."""
+    """(clip_id, start_ms, end_ms, n): runs of words (clip_id, at timestamp) whose starts are gap_ms
+    apart at most."""
     w = F.session_window("at", f"{gap_ms} milliseconds")
     rows = words.withWatermark("at", f"{late_ms} milliseconds").groupBy("clip_id", w.alias("w")).agg(F.count("*").alias("n"))
     ms = lambda c: F.unix_millis(c)

@@ -106,8 +106,8 @@ def test_srt(spark):
 def test_source_to_cut(spark):
     seg = spark.createDataFrame([(1, 0, 400, 3000, True), (1, 1, 3000, 3500, False), (1, 2, 3500, 6000, True)], "clip_id long, i long, start_ms long, end_ms long, keep boolean")
     base = timeline.base_cut(seg, 30)
-    at = spark.createDataFrame([(1, t) for t in (0, 400, 1400, 3200, 3500, 9000)], "clip_id long, t long").join(timeline.kept_spans(base), "clip_id")
-    assert [r.f for r in at.orderBy("t").select("t", timeline.source_to_cut(F.col("t"), 30).alias("f")).collect()] == [0, 0, 30, 78, 78, 153]
+    at = spark.createDataFrame([(1, t, t, t + 1) for t in (0, 400, 1400, 3200, 3500, 9000)], "clip_id long, i long, start_ms long, end_ms long")
+    assert [r.start_f for r in timeline.to_cut(at, base, 30).orderBy("i").collect()] == [0, 0, 30, 78, 78, 153]
 
 
 def test_crop_and_targets(spark):
