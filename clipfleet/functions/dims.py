@@ -38,6 +38,14 @@ TEXT_INSETS = {"full-portrait": (18, 16, 28, 10), "portrait": (13, 9, 18, 9), "w
 # fixed values: caption anchors as percent of the zone's height, and where to look next when one is blocked
 ANCHORS = (("upper-third", 6, 34), ("center", 36, 64), ("lower-third", 66, 94))
 DODGE = {"lower-third": ("lower-third", "upper-third", "center"), "upper-third": ("upper-third", "lower-third", "center"), "center": ("center", "upper-third", "lower-third")}
+# fixed values: places of a caption in its width, fonts, and kinds of elements that must stay in the safe zone
+H_OFFSETS = ("clear-notch", "center")
+FONTS = (
+    "Archivo", "Inter", "IBM Plex Mono",
+    "Helvetica", "Helvetica Neue", "Arial", "Arial Black", "Avenir Next", "Futura", "Gill Sans",
+    "Impact", "Verdana", "Georgia", "Times New Roman", "Courier New", "Menlo", "Trebuchet MS",
+)
+PROTECTED_KINDS = ("caption", "logo", "cta", "text", "graphic")
 # fixed values: keys of a caption style with type
 STYLE_KEYS = (("font_family", "string"), ("font_size", "long"), ("font_weight", "long"), ("fill_color", "string"), ("stroke_color", "string"), ("stroke_width", "long"), ("emphasis_color", "string"), ("uppercase", "boolean"), ("position", "string"), ("h_offset", "string"), ("bg_enabled", "boolean"), ("bg_color", "string"), ("bg_radius", "long"), ("max_words", "long"), ("min_words", "long"), ("max_chars", "long"), ("max_gap_s", "double"), ("emphasize_glossary_terms", "boolean"), ("target_words", "long"), ("break_words", "string"), ("karaoke", "boolean"))
 

@@ -216,15 +216,28 @@ def word_windows(fps: int) -> Column:
 
 
 def caption_props(cues: DataFrame, fps: int, upper: bool = True) -> DataFrame:
-    """(clip_id, i, from_f, dur_f, text, emphasis, windows): what a renderer needs for each kept cue."""
+    """(clip_id, i, from_f, dur_f, text, words, emphasis, windows, start_ms, end_ms): what a renderer needs for each kept
+    cue."""
     line = F.array_join("words", " ")
     start = to_frames(F.col("start_ms"), fps)
-    return cues.filter("keep").select("clip_id", "i", start.alias("from_f"), F.greatest(F.lit(1), to_frames(F.col("end_ms"), fps) - start).cast("long").alias("dur_f"), (F.upper(line) if upper else line).alias("text"), "emphasis", word_windows(fps).alias("windows"))
+    words = F.transform("words", F.upper) if upper else F.col("words")
+    return cues.filter("keep").select("clip_id", "i", start.alias("from_f"), F.greatest(F.lit(1), to_frames(F.col("end_ms"), fps) - start).cast("long").alias("dur_f"), (F.upper(line) if upper else line).alias("text"), words.alias("words"), "emphasis", word_windows(fps).alias("windows"), "start_ms", "end_ms")
 
 
-def props_documents(props: DataFrame) -> DataFrame:
-    """(clip_id, doc): one JSON document of each clip's props, cues in order."""
-    return props.groupBy("clip_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("i", "from_f", "dur_f", "text"))).alias("cues"))).alias("doc"))
+def props_documents(props: DataFrame, safe_boxes: DataFrame | None = None, cue_boxes: DataFrame | None = None) -> DataFrame:
+    """(clip_id, doc): one JSON document of each clip's props, cues in order, with words, emphasis and word timings.
+
+    safe_boxes (clip_id, x, y, w, h) is the default box of a clip; cue_boxes (clip_id, i, x, y, w, h) holds for single
+    cues that dodge something.
+    """
+    box = F.struct(F.col("x"), F.col("y"), F.col("w").alias("width"), F.col("h").alias("height"))
+    none = F.lit(None).cast("struct<x:bigint,y:bigint,width:bigint,height:bigint>")
+    rows = props.join(cue_boxes.select("clip_id", "i", box.alias("box")), ["clip_id", "i"], "left") if cue_boxes is not None else props.withColumn("box", none)
+    timings = F.transform("windows", lambda w: F.struct(w["from"].alias("from"), w["dur"].alias("durationInFrames")))
+    cue = F.struct("i", F.col("from_f").alias("from"), F.col("dur_f").alias("durationInFrames"), (F.col("start_ms") / 1000).alias("startSeconds"), (F.col("end_ms") / 1000).alias("endSeconds"), "text", "words", "emphasis", timings.alias("wordTimings"), "box")
+    docs = rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    docs = docs.join(safe_boxes.select("clip_id", box.alias("safeBox")), "clip_id", "left") if safe_boxes is not None else docs.withColumn("safeBox", none)
+    return docs.select("clip_id", F.to_json(F.struct("safeBox", "cues")).alias("doc"))
 
 
 def preview_samples(cues: DataFrame, n: int) -> DataFrame:

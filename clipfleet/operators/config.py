@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfleet.functions.dims import ASPECTS, STYLE_KEYS
+from clipfleet.functions.dims import ANCHORS, ASPECTS, FONTS, H_OFFSETS, STYLE_KEYS, TIERS
 
-# fixed values: defaults of a manifest's knobs, in milliseconds and percent
+# fixed values: pattern of identities and profiles; defaults of a manifest's knobs, in milliseconds and percent
+NAME = "^[a-z0-9][a-z0-9-]*$"
 MANIFEST_DEFAULTS = {"silence_gap_ms": 600, "keep_pad_lead_ms": 60, "keep_pad_tail_ms": 150, "occlusion_pct": 10, "face_danger_pct": 20, "intrusion_pct": 0}
 
 
@@ -23,7 +24,13 @@ def merge_layers(layers: DataFrame) -> DataFrame:
 def style_reasons() -> Column:
     """What is wrong with a style row (null keys are not set), as an array."""
     out = lambda c, lo, hi: F.when((F.col(c) < lo) | (F.col(c) > hi), F.lit(c))
-    return F.array_compact(F.array(out("font_size", 24, 240), out("stroke_width", 0, 40), out("bg_radius", 0, 400), F.when((F.col("min_words") < 1) | (F.col("max_words") < F.col("min_words")), F.lit("words")), F.when((F.col("target_words") != 0) & ((F.col("target_words") < F.col("min_words")) | (F.col("target_words") > F.col("max_words"))), F.lit("target_words"))))
+    one_of = lambda c, known: F.when(F.col(c).isNotNull() & ~F.lower(c).isin(*[k.lower() for k in known]), F.lit(c))
+    return F.array_compact(F.array(out("font_size", 24, 240), out("stroke_width", 0, 40), out("bg_radius", 0, 400), F.when((F.col("min_words") < 1) | (F.col("max_words") < F.col("min_words")), F.lit("words")), F.when((F.col("target_words") != 0) & ((F.col("target_words") < F.col("min_words")) | (F.col("target_words") > F.col("max_words"))), F.lit("target_words")), one_of("font_family", FONTS), one_of("position", [a for a, _, _ in ANCHORS]), one_of("h_offset", H_OFFSETS)))
+
+
+def style_rejects(layers: DataFrame) -> DataFrame:
+    """(clip_id, k): keys of style rows (clip_id, priority, k, v) that no style has."""
+    return layers.filter(~F.col("k").isin(*dict(STYLE_KEYS))).select("clip_id", "k").distinct()
 
 
 def read_manifests(manifests: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -47,6 +54,9 @@ def manifest_reasons() -> Column:
         F.when(F.col("target_aspect").isNotNull() & ~F.col("target_aspect").isin(*known), F.lit("aspect")),
         F.when(F.size(F.array_except(F.map_keys("knobs"), allowed)) > 0, F.lit("unknown key")),
         F.when(F.exists(F.map_values("knobs"), lambda v: v < 0), F.lit("below 0")),
+        F.when(F.col("identity").isNotNull() & (F.col("identity") != "") & ~F.col("identity").rlike(NAME), F.lit("identity pattern")),
+        F.when(F.col("profile").isNotNull() & ~F.col("profile").rlike(NAME), F.lit("profile pattern")),
+        F.when(F.col("target_resolution").isNotNull() & ~F.col("target_resolution").isin("auto", *TIERS), F.lit("resolution")),
     ))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from clipfleet.operators import config as K
 from clipfleet.plans.base import Tables, query
-from clipfleet.plans.q_layout import BANDS, NOTCHES, STEPS, placed
+from clipfleet.plans.q_layout import STEPS, Z, placed
 from clipfleet.plans.q_roughcut import R
+from clipfleet.plans.q_timeline import three_word_cues
 from clipfleet.sources import documents as D
 
 
@@ -44,11 +45,33 @@ def read_occupancy(t: Tables):
 
 @query("SELECT clip_id, i, start_ms, end_ms, keep, reason FROM segments", STEPS)
 def decision_round_trip(t: Tables):
-    fields = ["i", "start_ms", "end_ms", "keep", "reason"]
-    docs = D.pack_decisions(R.rough_cut(t.words, t.durations), fields)
+    docs = D.pack_segments(R.rough_cut(t.words, t.durations))
     return D.unpack_decisions(docs, "i bigint, start_ms bigint, end_ms bigint, keep boolean, reason string", {"keep": True, "reason": ""})
 
 
+@query("SELECT clip_id, CAST(coalesce(sum(CASE WHEN keep THEN end_ms - start_ms END), 0) AS BIGINT) AS kept_ms, max(end_ms) AS source_ms, count(*) AS n FROM segments GROUP BY clip_id", STEPS)
+def decision_heads(t: Tables):
+    d = F.from_json("doc", "count bigint, kept_duration_ms bigint, source_duration_ms bigint")
+    return D.pack_segments(R.rough_cut(t.words, t.durations)).select("clip_id", d["kept_duration_ms"].alias("kept_ms"), d["source_duration_ms"].alias("source_ms"), d["count"].alias("n"))
+
+
+@query("SELECT c.clip_id, c.i, c.start_ms, c.end_ms, line, c.i % 2 = 0 AS timed, CASE WHEN c.i % 2 = 0 THEN times ELSE '' END AS times FROM cues c JOIN (SELECT clip_id, i, string_agg(concat(start_ms, '-', end_ms), ' ' ORDER BY idx) AS times FROM triples GROUP BY clip_id, i) w ON w.clip_id = c.clip_id AND w.i = c.i", STEPS)
+def cue_round_trip(t: Tables):
+    cues = three_word_cues(t)
+    rows = D.unpack_cues(D.pack_cues(cues.filter("i % 2 = 0"), karaoke=True).union(D.pack_cues(cues.filter("i % 2 = 1"))))
+    times = F.array_join(F.transform("word_times", lambda w: F.concat_ws("-", w["s"], w["e"])), " ")
+    return rows.select("clip_id", "i", "start_ms", "end_ms", F.array_join("words", " ").alias("line"), (F.size("word_times") > 0).alias("timed"), times.alias("times"))
+
+
+@query("SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'full-portrait' ELSE aspect END AS aspect, 'auto' AS resolution, 'static' AS mode, CASE WHEN clip_id % 2 = 0 THEN 'x' ELSE 'none' END AS lock, clip_id % 5 = 0 AS custom, greatest(1, clip_id % 4) * 1000 AS scale_m, least(1000, clip_id % 6 * 250) AS pan_m, clip_id % 7 <> 0 AS proposed FROM clips")
+def reframe_round_trip(t: Tables):
+    c = F.col("clip_id")
+    model = F.struct((c % 4).cast("double").alias("scale"), (c % 6 * 0.25).alias("pan_x"), F.lit(None).cast("double").alias("pan_y"))
+    rows = t.clips.select("clip_id", F.when(c % 3 > 0, F.col("aspect")).alias("aspect"), F.lit(None).cast("string").alias("resolution"), F.lit(None).cast("string").alias("mode"), F.when(c % 2 == 0, "x").alias("lock"), (c % 5 == 0).alias("custom"), model.alias("framing"), F.when(c % 7 > 0, model).alias("proposal"))
+    milli = lambda x: F.rint(x * 1000).cast("long")
+    return D.unpack_reframe(D.pack_reframe(rows)).select("clip_id", "aspect", "resolution", "mode", "lock", "custom", milli(F.col("framing.scale")).alias("scale_m"), milli(F.col("framing.pan_x")).alias("pan_m"), F.col("proposal").isNotNull().alias("proposed"))
+
+
 @query("SELECT clip_id, i, kind, start_ms, end_ms, placement, transition, fade_ms FROM overlays")
 def overlay_round_trip(t: Tables):
     fields = ["i", "kind", "start_ms", "end_ms", "placement", "transition", "fade_ms"]
@@ -56,13 +79,14 @@ def overlay_round_trip(t: Tables):
     return D.unpack_decisions(docs, "i bigint, kind string, start_ms bigint, end_ms bigint, placement string, transition string, fade_ms bigint", {"placement": "full-bleed"})
 
 
-@query("SELECT e.clip_id, e.ord, z.x0, z.y0, z.x1, z.y1 FROM qc_elements e JOIN zone_bands z ON e.x0 >= z.x0 AND e.x1 <= z.x1 AND e.y0 >= z.y0 AND e.y1 <= z.y1", STEPS)
+@query("SELECT 'band' AS part, mask_id, x0, y0, x1, y1 FROM mask_bands_ UNION ALL SELECT 'notch', b.mask_id, b.x1, b.y0, z.x1, b.y1 FROM mask_bands_ b JOIN (SELECT mask_id, max(x1) AS x1 FROM mask_bands_ GROUP BY mask_id) z ON z.mask_id = b.mask_id WHERE b.x1 < z.x1", STEPS)
 def read_safezone_specs(t: Tables):
-    rect = lambda rows: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), r[1:], strict=True)]) for r in rows])
-    docs = t.spark.range(1).select(F.lit("reels").alias("zone"), F.to_json(F.struct(rect(BANDS).alias("bands"), rect(NOTCHES).alias("notch_rects"))).alias("doc"))
-    b = D.read_safezone_specs(docs)[0].select(*[F.col(c).alias("z" + c) for c in ("x0", "y0", "x1", "y1")])
-    met = t.qc_elements.join(F.broadcast(b), (F.col("x0") >= F.col("zx0")) & (F.col("x1") <= F.col("zx1")) & (F.col("y0") >= F.col("zy0")) & (F.col("y1") <= F.col("zy1")))  # two bands
-    return met.select("clip_id", "ord", *[F.col("z" + c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    b = Z.mask_bands(t.mask_runs)[0]
+    rect = lambda df, name: df.groupBy("mask_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias(name))
+    docs = rect(b, "bands").join(rect(Z.band_notches(b), "notch_rects"), "mask_id", "left").select(F.col("mask_id").alias("zone"), F.to_json(F.struct("bands", "notch_rects")).alias("doc"))
+    found, cuts = D.read_safezone_specs(docs)
+    part = lambda df, name: df.select(F.lit(name).alias("part"), F.col("zone").alias("mask_id"), "x0", "y0", "x1", "y1")
+    return part(found, "band").union(part(cuts, "notch"))
 
 
 @query("SELECT clip_id, CAST(max(CASE WHEN k = 'max_chars' THEN priority * 1000 + CAST(v AS BIGINT) END) % 1000 AS BIGINT) AS max_chars, bool_or(CASE WHEN k = 'karaoke' THEN true END) AS karaoke FROM (SELECT clip_id, priority, k, CASE WHEN k = 'max_chars' THEN v ELSE '0' END AS v FROM style_layers WHERE k IN ('max_chars', 'karaoke')) s GROUP BY clip_id")
@@ -70,26 +94,31 @@ def merge_style_layers(t: Tables):
     return K.merge_layers(t.style_layers).select("clip_id", "max_chars", "karaoke")
 
 
-@query("SELECT c_custkey AS clip_id, concat_ws('|', CASE WHEN c_custkey % 300 < 24 OR c_custkey % 300 > 240 THEN 'font_size' END, CASE WHEN c_custkey % 50 > 40 THEN 'stroke_width' END, CASE WHEN c_custkey % 4 < 1 OR 3 < c_custkey % 4 THEN 'words' END, CASE WHEN c_custkey % 6 <> 0 AND (c_custkey % 6 < c_custkey % 4 OR c_custkey % 6 > 3) THEN 'target_words' END) AS reasons FROM customer")
+@query("SELECT c_custkey AS clip_id, concat_ws('|', CASE WHEN c_custkey % 300 < 24 OR c_custkey % 300 > 240 THEN 'font_size' END, CASE WHEN c_custkey % 50 > 40 THEN 'stroke_width' END, CASE WHEN c_custkey % 4 < 1 OR 3 < c_custkey % 4 THEN 'words' END, CASE WHEN c_custkey % 6 <> 0 AND (c_custkey % 6 < c_custkey % 4 OR c_custkey % 6 > 3) THEN 'target_words' END, CASE WHEN c_custkey % 7 = 0 THEN 'font_family' END, CASE WHEN c_custkey % 8 = 0 THEN 'position' END, CASE WHEN c_custkey % 9 = 0 THEN 'h_offset' END) AS reasons FROM customer")
 def validate_styles(t: Tables):
     c = F.col("c_custkey")
-    rows = t.customer.select(c.alias("clip_id"), (c % 300).alias("font_size"), (c % 50).alias("stroke_width"), F.lit(0).alias("bg_radius"), (c % 4).alias("min_words"), F.lit(3).alias("max_words"), (c % 6).alias("target_words"))
+    rows = t.customer.select(c.alias("clip_id"), (c % 300).alias("font_size"), (c % 50).alias("stroke_width"), F.lit(0).alias("bg_radius"), (c % 4).alias("min_words"), F.lit(3).alias("max_words"), (c % 6).alias("target_words"), F.when(c % 7 == 0, "Comic").when(c % 7 == 1, "ARIAL").otherwise("IBM Plex Mono").alias("font_family"), F.when(c % 8 == 0, "left").when(c % 8 > 4, "center").alias("position"), F.when(c % 9 == 0, "right").otherwise("clear-notch").alias("h_offset"))
     return rows.select("clip_id", F.array_join(K.style_reasons(), "|").alias("reasons"))
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS clip_id, 'not_a_key' AS k FROM customer WHERE c_custkey % 7 = 0")
+def style_rejects(t: Tables):
+    return K.style_rejects(t.style_layers)
+
+
 def manifests(t: Tables):
     c = F.col("c_custkey")
     n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name"))
     rows = t.customer.join(n, "c_nationkey")
     knobs = F.when(c % 3 == 0, F.create_map(F.lit("silence_gap_ms"), (c % 7 * 100).cast("long"))).when(c % 3 == 1, F.create_map(F.lit("intrusion_pct"), (c % 5 - 1).cast("long"))).otherwise(F.create_map(F.lit("odd"), F.lit(1).cast("long")))
-    return rows.select(c.alias("clip_id"), F.when(c % 11 > 0, F.lower("n_name")).alias("identity"), F.when(c % 4 == 0, "reels-9x16").when(c % 4 == 1, "feed-1x1").alias("profile"), F.when(c % 5 == 0, "square").when(c % 5 == 1, "odd").alias("target_aspect"), F.when(c % 5 == 0, "4k").alias("target_resolution"), knobs.alias("knobs"))
+    return rows.select(c.alias("clip_id"), F.when(c % 13 == 0, F.col("n_name")).when(c % 11 > 0, F.translate(F.lower("n_name"), " _", "--")).alias("identity"), F.when(c % 4 == 0, "reels-9x16").when(c % 4 == 1, "feed-1x1").alias("profile"), F.when(c % 5 == 0, "square").when(c % 5 == 1, "odd").alias("target_aspect"), F.when(c % 5 == 0, "4k").alias("target_resolution"), knobs.alias("knobs"))
 
 
 def profiles(t: Tables):
     return t.spark.createDataFrame([("reels-9x16", "full-portrait"), ("feed-1x1", "square"), ("story-9x16", "full-portrait")], "profile string, p_aspect string")
 
 
-_M = """SELECT c_custkey AS k, CASE WHEN c_custkey % 11 > 0 THEN lower(n_name) END AS identity, CASE c_custkey % 4 WHEN 0 THEN 'reels-9x16' WHEN 1 THEN 'feed-1x1' END AS profile, CASE c_custkey % 5 WHEN 0 THEN 'square' WHEN 1 THEN 'odd' END AS ta FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+_M = """SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN n_name WHEN c_custkey % 11 > 0 THEN translate(lower(n_name), ' _', '--') END AS identity, CASE c_custkey % 4 WHEN 0 THEN 'reels-9x16' WHEN 1 THEN 'feed-1x1' END AS profile, CASE c_custkey % 5 WHEN 0 THEN 'square' WHEN 1 THEN 'odd' END AS ta FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 
 @query("""SELECT k AS clip_id, identity, coalesce(profile, CASE coalesce(ta, '') WHEN 'square' THEN 'feed-1x1' END) AS profile, coalesce(ta, CASE profile WHEN 'reels-9x16' THEN 'full-portrait' WHEN 'feed-1x1' THEN 'square' END) AS aspect, CASE WHEN k % 5 = 0 THEN '4k' ELSE 'auto' END AS resolution,
@@ -98,9 +127,10 @@ def read_manifests(t: Tables):
     return K.read_manifests(manifests(t), profiles(t)).select("clip_id", "identity", "profile", "aspect", "resolution", "silence_gap_ms", "intrusion_pct")
 
 
-@query("SELECT k AS clip_id, concat_ws('|', CASE WHEN identity IS NULL THEN 'identity' END, CASE WHEN profile IS NULL AND ta IS NULL THEN 'target or profile' END, CASE WHEN ta = 'odd' THEN 'aspect' END, CASE WHEN k % 3 = 2 THEN 'unknown key' END, CASE WHEN k % 3 = 1 AND k % 5 = 0 THEN 'below 0' END) AS reasons FROM manifests_", {"manifests_": _M})
+@query("SELECT k AS clip_id, concat_ws('|', CASE WHEN identity IS NULL THEN 'identity' END, CASE WHEN profile IS NULL AND ta IS NULL THEN 'target or profile' END, CASE WHEN ta = 'odd' THEN 'aspect' END, CASE WHEN k % 3 = 2 THEN 'unknown key' END, CASE WHEN k % 3 = 1 AND k % 5 = 0 THEN 'below 0' END, CASE WHEN k % 13 = 0 THEN 'identity pattern' END, CASE WHEN k % 5 = 0 AND k % 17 = 0 THEN 'resolution' END) AS reasons FROM manifests_", {"manifests_": _M})
 def validate_manifests(t: Tables):
-    return manifests(t).select("clip_id", F.array_join(K.manifest_reasons(), "|").alias("reasons"))
+    rows = manifests(t).withColumn("target_resolution", F.when(F.col("clip_id") % 17 == 0, F.upper("target_resolution")).otherwise(F.col("target_resolution")))
+    return rows.select("clip_id", F.array_join(K.manifest_reasons(), "|").alias("reasons"))
 
 
 @query("""SELECT name, CASE WHEN ok THEN d END AS date, CASE WHEN ok THEN token END AS token, CASE WHEN ok THEN hook END AS hook, CASE WHEN ok THEN concat(d, '-', lower(token), '-', trim(regexp_replace(lower(hook), '[^a-z0-9]+', '-', 'g'), '-'), '.mp4') END AS file, CASE WHEN NOT ok THEN 'no match' END AS reason FROM (

@@ -18,8 +18,8 @@ NOTCHES = [("reels", 915, 1117, 1045, 1470)]
 _NAMES = "zone string, x0 long, y0 long, x1 long, y1 long"
 
 _over = lambda b: f"greatest(0, least(q.x1, {b}.x1) - greatest(q.x0, {b}.x0)) * greatest(0, least(q.y1, {b}.y1) - greatest(q.y0, {b}.y0))"
-_best = lambda kind: f"""SELECT clip_id, ord, over_ord, common * 1000000 // area AS overlap_ppm FROM (SELECT c.clip_id, c.ord, o.ord AS over_ord, (c.x1 - c.x0) * (c.y1 - c.y0) AS area, greatest(0, least(c.x1, o.x1) - greatest(c.x0, o.x0)) * greatest(0, least(c.y1, o.y1) - greatest(c.y0, o.y0)) AS common,
-  row_number() OVER (PARTITION BY c.clip_id, c.ord, c.x0, c.y0, c.x1, c.y1 ORDER BY greatest(0, least(c.x1, o.x1) - greatest(c.x0, o.x0)) * greatest(0, least(c.y1, o.y1) - greatest(c.y0, o.y0)) DESC, o.ord) AS r
+_best = lambda kind: f"""SELECT clip_id, ord, over_ord, common * 1000000 // area AS overlap_ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM (SELECT c.clip_id, c.ord, c.x0, c.y0, c.x1, c.y1, c.t_ms, c.t_end_ms, o.ord AS over_ord, (c.x1 - c.x0) * (c.y1 - c.y0) AS area, greatest(0, least(c.x1, o.x1) - greatest(c.x0, o.x0)) * greatest(0, least(c.y1, o.y1) - greatest(c.y0, o.y0)) AS common,
+  row_number() OVER (PARTITION BY c.clip_id, c.ord, c.x0, c.y0, c.x1, c.y1, c.t_ms, c.t_end_ms ORDER BY greatest(0, least(c.x1, o.x1) - greatest(c.x0, o.x0)) * greatest(0, least(c.y1, o.y1) - greatest(c.y0, o.y0)) DESC, o.ord) AS r
   FROM qc_elements c JOIN qc_elements o ON o.clip_id = c.clip_id AND o.kind = '{kind}' AND (c.t_ms IS NULL OR o.t_ms IS NULL OR (c.t_ms <= coalesce(o.t_end_ms, o.t_ms) AND o.t_ms <= coalesce(c.t_end_ms, c.t_ms))) WHERE c.kind = 'caption') b WHERE r = 1 AND common > 0"""
 
 STEPS = TIME | {
@@ -29,10 +29,10 @@ STEPS = TIME | {
     "endangered": f"SELECT e.*, CASE WHEN area <= 0 THEN 0 ELSE 1000000 - CAST(safe AS BIGINT) * 1000000 // area END AS danger_ppm, area > 0 AND notch > 0 AS hits_notch FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area, (SELECT sum({_over('b')}) FROM zone_bands b) AS safe, (SELECT max({_over('n')}) FROM zone_notches n) AS notch FROM qc_elements q) e",
     "over_face": _best("face"),
     "over_overlay": _best("overlay"),
-    "found": """SELECT clip_id, ord, 'danger-intrusion' AS kind, 'error' AS severity, danger_ppm AS ppm FROM endangered WHERE kind NOT IN ('face', 'overlay') AND danger_ppm > 0
-  UNION ALL SELECT clip_id, ord, 'face-in-danger', 'warning', danger_ppm FROM endangered WHERE kind = 'face' AND danger_ppm >= 200000
-  UNION ALL SELECT clip_id, ord, 'caption-over-face', 'warning', overlap_ppm FROM over_face WHERE overlap_ppm >= 100000
-  UNION ALL SELECT clip_id, ord, 'caption-over-overlay', 'warning', overlap_ppm FROM over_overlay WHERE overlap_ppm >= 100000""",
+    "found": """SELECT clip_id, ord, 'danger-intrusion' AS kind, 'error' AS severity, danger_ppm AS ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM endangered WHERE kind NOT IN ('face', 'overlay') AND danger_ppm > 0
+  UNION ALL SELECT clip_id, ord, 'face-in-danger', 'warning', danger_ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM endangered WHERE kind = 'face' AND danger_ppm >= 200000
+  UNION ALL SELECT clip_id, ord, 'caption-over-face', 'warning', overlap_ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM over_face WHERE overlap_ppm >= 100000
+  UNION ALL SELECT clip_id, ord, 'caption-over-overlay', 'warning', overlap_ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM over_overlay WHERE overlap_ppm >= 100000""",
     "placed": """SELECT *, CAST(CASE placement WHEN 'full-bleed' THEN 0 WHEN 'bottom-half' THEN 0 ELSE greatest(0, least(rx, 1080)) END AS BIGINT) AS px, CAST(CASE placement WHEN 'full-bleed' THEN 0 WHEN 'bottom-half' THEN 960 ELSE greatest(0, least(ry, 1920)) END AS BIGINT) AS py,
   CAST(CASE placement WHEN 'full-bleed' THEN 1080 WHEN 'bottom-half' THEN 1080 ELSE greatest(1, least(rw, 1080 - greatest(0, least(rx, 1080)))) END AS BIGINT) AS pw, CAST(CASE placement WHEN 'full-bleed' THEN 1920 WHEN 'bottom-half' THEN 960 ELSE greatest(1, least(rh, 1920 - greatest(0, least(ry, 1920)))) END AS BIGINT) AS ph FROM overlays""",
     "cap_boxes": f"""SELECT position, CAST(a + m AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(b - m - (a + m) AS BIGINT) AS w, CAST(y1 - y AS BIGINT) AS h, pref FROM (SELECT *, round_even((b - a) * 4 / 100.0, 0) AS m FROM (
@@ -204,17 +204,17 @@ def danger_fraction(t: Tables):
 
 @query("SELECT clip_id, ord, over_ord, overlap_ppm FROM over_face", STEPS)
 def caption_over_face(t: Tables):
-    return Q.caption_over(t.qc_elements, "face")
+    return Q.caption_over(t.qc_elements, "face").select("clip_id", "ord", "over_ord", "overlap_ppm")
 
 
 @query("SELECT clip_id, ord, over_ord, overlap_ppm FROM over_overlay", STEPS)
 def caption_over_overlay(t: Tables):
-    return Q.caption_over(t.qc_elements, "overlay")
+    return Q.caption_over(t.qc_elements, "overlay").select("clip_id", "ord", "over_ord", "overlap_ppm")
 
 
 @query("SELECT clip_id, ord, kind, severity, CAST(ppm AS BIGINT) AS ppm FROM found", STEPS)
 def qc_violations(t: Tables):
-    return Q.violations(t.qc_elements, bands(t), notches(t))
+    return Q.violations(t.qc_elements, bands(t), notches(t)).select("clip_id", "ord", "kind", "severity", "ppm")
 
 
 _count = lambda k: f"CAST(count(*) FILTER (WHERE f.kind = '{k}') AS BIGINT) AS {k.replace('-', '_')}"
@@ -226,10 +226,40 @@ def qc_report(t: Tables):
     return Q.qc_report(Q.violations(t.qc_elements, bands(t), notches(t)), t.qc_elements)
 
 
-@query("SELECT e.clip_id, coalesce(string_agg(concat('[', severity, '] ', kind, ' #', ord, ' ', ppm), chr(10) ORDER BY ord, kind, concat('[', severity, '] ', kind, ' #', ord, ' ', ppm)) FILTER (WHERE f.clip_id IS NOT NULL), '') AS summary, count(f.clip_id) AS n FROM (SELECT DISTINCT clip_id FROM qc_elements) e LEFT JOIN found f ON f.clip_id = e.clip_id GROUP BY e.clip_id", STEPS)
+_told = "concat_ws(':', f.kind, f.ord, f.ppm, x0, y0, x1, y1, coalesce(t_ms, -1), coalesce(t_end_ms, -1))"
+
+
+@query(f"""SELECT e.clip_id, coalesce(string_agg(concat('[', severity, '] ', f.kind, ' #', f.ord, ' ', ppm), chr(10) ORDER BY f.ord, f.kind, concat('[', severity, '] ', f.kind, ' #', f.ord, ' ', ppm)) FILTER (WHERE f.clip_id IS NOT NULL), '') AS summary,
+coalesce(string_agg({_told}, ' ' ORDER BY {_told}) FILTER (WHERE f.clip_id IS NOT NULL), '') AS told, count(f.clip_id) AS n
+FROM (SELECT DISTINCT clip_id FROM qc_elements) e LEFT JOIN found f ON f.clip_id = e.clip_id GROUP BY e.clip_id""", STEPS)
 def qc_documents(t: Tables):
     docs = Q.qc_documents(Q.violations(t.qc_elements, bands(t), notches(t)), t.qc_elements)
-    return docs.select("clip_id", "summary", F.size(F.from_json("doc", "violations array<struct<kind:string>>")["violations"]).cast("long").alias("n"))
+    d = F.from_json("doc", "count bigint, violations array<struct<ord:bigint,kind:string,rect:struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>,t:double,t_end:double,ppm:bigint>>")
+    ms = lambda x: F.coalesce(F.rint(x * 1000).cast("long"), F.lit(-1))
+    told = F.transform(d["violations"], lambda v: F.concat_ws(":", v["kind"], v["ord"], v["ppm"], *[v["rect"][c] for c in ("x0", "y0", "x1", "y1")], ms(v["t"]), ms(v["t_end"])))
+    return docs.select("clip_id", "summary", F.array_join(F.array_sort(told), " ").alias("told"), d["count"].alias("n"))
+
+
+@query("SELECT clip_id, ord, CASE WHEN ord % 5 = 1 AND kind = 'face' THEN 'face as element' ELSE 'unknown kind' END AS reason FROM qc_elements WHERE (ord % 5 = 1 AND kind IN ('face', 'overlay')) OR ord % 5 = 3")
+def qc_rejects(t: Tables):
+    role = F.when(F.col("ord") % 5 == 1, "element").otherwise(F.when(F.col("kind").isin("face", "overlay"), F.col("kind")).otherwise("element"))
+    return Q.rejects(t.qc_elements.withColumn("role", role).withColumn("kind", F.when(F.col("ord") % 5 == 3, "sticker").otherwise(F.col("kind"))))
+
+
+_px = lambda c, to, size: f"CAST(round_even({c} * {to} / CAST({size} AS DOUBLE), 0) AS BIGINT)"
+
+
+@query(f"SELECT s.clip_id, row_number() OVER (PARTITION BY s.clip_id ORDER BY t_ms) - 1 AS ord, {_px('bx0', 1080, 'src_w')} AS x0, {_px('by0', 1920, 'src_h')} AS y0, {_px('bx1', 1080, 'src_w')} AS x1, {_px('by1', 1920, 'src_h')} AS y1, t_ms FROM subject_track s JOIN clips c ON c.clip_id = s.clip_id WHERE bx0 IS NOT NULL")
+def qc_faces_from(t: Tables):
+    return Q.faces_from(t.subject_track, t.clips, 1080, 1920).select("clip_id", "ord", "x0", "y0", "x1", "y1", "t_ms")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS clip_id, k AS ord, CASE k WHEN 0 THEN 'logo' ELSE 'cta' END AS kind, c_custkey % 900 AS x0, 10 * k AS y0, c_custkey % 900 + 80 AS x1, 10 * k + c_custkey % 50 AS y1, CASE k WHEN 0 THEN c_name ELSE '' END AS label FROM customer, range(2) r(k) WHERE k < c_custkey % 3")
+def qc_static_elements(t: Tables):
+    c = F.col("c_custkey").cast("long")
+    box = lambda k, kind, label: F.struct(F.lit(kind).alias("kind"), (c % 900).alias("x"), F.lit(10 * k).cast("long").alias("y"), F.lit(80).cast("long").alias("width"), (c % 50).alias("height"), label.alias("label"))
+    boxes = F.slice(F.array(box(0, "logo", F.col("c_name")), box(1, "cta", F.lit(None).cast("string"))), 1, (c % 3).cast("int"))
+    return Q.static_elements(t.customer.select(c.alias("clip_id"), boxes.alias("elements"))).select("clip_id", "ord", "kind", "x0", "y0", "x1", "y1", "label")
 
 
 _f = lambda x: f"CAST(round_even({x} * 30 / 1000.0, 0) AS BIGINT)"

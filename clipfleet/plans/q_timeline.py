@@ -203,8 +203,17 @@ def preview_samples(t: Tables):
     return C.preview_samples(three_word_cues(t), 5)
 
 
-@query("SELECT clip_id, count(*) AS n_cues FROM cues GROUP BY clip_id", STEPS)
-def props_documents(t: Tables):
-    docs = C.props_documents(C.caption_props(three_word_cues(t), FPS))
-    return docs.select("clip_id", F.size(F.from_json("doc", "cues array<struct<i:bigint>>")["cues"]).cast("long").alias("n_cues"))
+_timed = f"SELECT clip_id, i, string_agg(concat(f, '+', greatest(1, {_frames('e')} - c - f)), ' ' ORDER BY idx) AS windows FROM (SELECT t.clip_id, t.i, t.idx, t.end_ms AS e, {_frames('q.start_ms')} AS c, greatest(0, {_frames('t.start_ms')} - {_frames('q.start_ms')}) AS f FROM triples t JOIN cues q ON q.clip_id = t.clip_id AND q.i = t.i) w GROUP BY clip_id, i"
+
 
+@query(f"SELECT q.clip_id, count(*) AS n_cues, 100 AS safe_x, string_agg(concat_ws('|', q.i, {_frames('start_ms')}, greatest(1, {_frames('end_ms')} - {_frames('start_ms')}), line, n_words, windows, CASE WHEN q.i % 3 = 0 THEN q.i + 7 ELSE -1 END), chr(10) ORDER BY q.i) AS told FROM cues q JOIN timed_ w ON w.clip_id = q.clip_id AND w.i = q.i GROUP BY q.clip_id", STEPS | {"timed_": _timed})
+def props_documents(t: Tables):
+    cues = three_word_cues(t)
+    long = lambda x: F.lit(x).cast("long")
+    own = cues.filter("i % 3 = 0").select("clip_id", "i", (F.col("i") + 7).alias("x"), long(1).alias("y"), long(2).alias("w"), long(3).alias("h"))
+    safe = t.durations.select("clip_id", long(100).alias("x"), long(1).alias("y"), long(2).alias("w"), long(3).alias("h"))
+    docs = C.props_documents(C.caption_props(cues, FPS, upper=False), safe, own)
+    d = F.from_json("doc", "safeBox struct<x:bigint>, cues array<struct<i:bigint,`from`:bigint,durationInFrames:bigint,text:string,words:array<string>,wordTimings:array<struct<`from`:bigint,durationInFrames:bigint>>,box:struct<x:bigint>>>")
+    times = lambda q: F.array_join(F.transform(q["wordTimings"], lambda w: F.concat_ws("+", w["from"], w["durationInFrames"])), " ")
+    told = F.transform(d["cues"], lambda q: F.concat_ws("|", q["i"], q["from"], q["durationInFrames"], q["text"], F.size(q["words"]), times(q), F.coalesce(q["box"]["x"], F.lit(-1))))
+    return docs.select("clip_id", F.size(d["cues"]).cast("long").alias("n_cues"), d["safeBox"]["x"].alias("safe_x"), F.array_join(told, "\n").alias("told"))

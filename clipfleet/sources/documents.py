@@ -85,15 +85,60 @@ def write_occupancy(windows: DataFrame, width: int, height: int, field: str = "a
     return windows.groupBy("clip_id").agg(F.to_json(F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"), F.array_sort(F.collect_list(each)).alias(field))).alias("doc"))
 
 
-def pack_decisions(rows: DataFrame, fields: list[str], order: str = "i", key: str = "clip_id") -> DataFrame:
-    """(key, doc): the rows of each key as one document with a count, in order."""
+def pack_decisions(rows: DataFrame, fields: list[str], order: str = "i", key: str = "clip_id", head: dict[str, Column] | None = None) -> DataFrame:
+    """(key, doc): the rows of each key as one document, in order, with their count and the aggregates of `head`."""
     each = F.struct(order, *[f for f in fields if f != order])
-    return rows.groupBy(key).agg(F.to_json(F.struct(F.count("*").alias("count"), F.array_sort(F.collect_list(each)).alias("rows"))).alias("doc"))
+    head = {"count": F.count("*"), **(head or {})}
+    top = rows.groupBy(key).agg(*[c.alias(n) for n, c in head.items()], F.array_sort(F.collect_list(each)).alias("rows"))
+    return top.select(key, F.to_json(F.struct(*head, "rows")).alias("doc"))
+
+
+def pack_segments(segments: DataFrame) -> DataFrame:
+    """(clip_id, doc) of segments, with the kept and the source's duration in the head."""
+    kept = F.coalesce(F.sum(F.when(F.col("keep"), F.col("end_ms") - F.col("start_ms"))), F.lit(0))
+    return pack_decisions(segments, ["i", "start_ms", "end_ms", "keep", "reason", "text"], head={"kept_duration_ms": kept, "source_duration_ms": F.max("end_ms")})
+
+
+def pack_cues(cues: DataFrame, karaoke: bool = False) -> DataFrame:
+    """(clip_id, doc) of cues: the words as one text, and the words' times (wt) with karaoke only."""
+    rows = cues.withColumn("text", F.array_join("words", " ")).withColumn("wt", F.when(F.lit(karaoke) & (F.size("word_times") > 0), F.transform("word_times", lambda w: F.array(w["s"], w["e"]))))
+    return pack_decisions(rows, ["i", "start_ms", "end_ms", "keep", "text", "emphasis", "wt"], head={"cue_count": F.count("*"), "karaoke": F.first(F.lit(karaoke))})
+
+
+def unpack_cues(docs: DataFrame) -> DataFrame:
+    """Cues of documents: words by the list if there is one, else by the text; times that don't fit the words, and
+    emphasis outside them, are dropped; cues are kept unless they say otherwise."""
+    rows = unpack_decisions(docs, "i bigint, start_ms bigint, end_ms bigint, keep boolean, text string, words array<string>, emphasis array<bigint>, wt array<array<bigint>>", {"keep": True})
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = rows.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(split))
+    times = F.when(F.size("wt") == F.size("words"), F.transform("wt", lambda w: F.struct(F.get(w, F.lit(0)).alias("s"), F.get(w, F.lit(1)).alias("e"))))
+    inside = F.array_sort(F.array_distinct(F.filter("emphasis", lambda k: (k >= 0) & (k < F.size("words")))))
+    return rows.select("clip_id", "i", "start_ms", "end_ms", "words", F.coalesce(inside, F.array().cast("array<bigint>")).alias("emphasis"), "keep", F.coalesce(times, F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("word_times"))
+
+
+_FRAMING = "struct<scale:double,pan_x:double,pan_y:double>"
+# fixed values: what a crop definition is without saying so
+REFRAME_DEFAULTS = {"aspect": "full-portrait", "resolution": "auto", "mode": "static", "lock": "none"}
+
+
+def pack_reframe(rows: DataFrame) -> DataFrame:
+    """(clip_id, doc) of crop definitions (clip_id, aspect, resolution, mode, lock, custom, framing, proposal)."""
+    doc = F.struct(F.struct("aspect", "resolution").alias("target"), "mode", "lock", "custom", "framing", "proposal")
+    return rows.select("clip_id", F.to_json(doc).alias("doc"))
+
+
+def unpack_reframe(docs: DataFrame) -> DataFrame:
+    """Crop definitions of documents; missing fields take their defaults, scale and pan are held to their ranges."""
+    d = F.from_json("doc", f"target struct<aspect:string,resolution:string>, mode string, lock string, custom boolean, framing {_FRAMING}, proposal {_FRAMING}")
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.5))))
+    model = lambda m: F.struct(F.greatest(F.lit(1.0), F.coalesce(m["scale"], F.lit(1.0))).alias("scale"), unit(m["pan_x"]).alias("pan_x"), unit(m["pan_y"]).alias("pan_y"))
+    or_else = lambda c, k: F.coalesce(c, F.lit(REFRAME_DEFAULTS[k])).alias(k)
+    return docs.select("clip_id", or_else(d["target"]["aspect"], "aspect"), or_else(d["target"]["resolution"], "resolution"), or_else(d["mode"], "mode"), or_else(d["lock"], "lock"), F.coalesce(d["custom"], F.lit(False)).alias("custom"), model(d["framing"]).alias("framing"), F.when(d["proposal"].isNotNull(), model(d["proposal"])).alias("proposal"))
 
 
 def unpack_decisions(docs: DataFrame, schema: str, defaults: dict[str, object] | None = None, key: str = "clip_id") -> DataFrame:
     """The rows of documents by a schema like `i bigint, keep boolean`; missing fields take their defaults."""
-    kind = ",".join(f"{n}:{t}" for n, t in (part.strip().split(" ", 1) for part in schema.split(",")))
+    kind = ",".join(f"{n}:{t}" for n, t in (part.strip().split(" ", 1) for part in schema.split(", ")))
     rows = docs.select(key, F.explode(F.from_json("doc", f"rows array<struct<{kind}>>")["rows"]).alias("r")).select(key, "r.*")
     return rows.fillna(defaults) if defaults else rows
 
