@@ -1,42 +1,20 @@
-"""What the operators of this subpackage share: scratch tables, a bit filter and connected components."""
+"""What the operators of this subpackage share: a bit filter, joins on hot keys and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = r"\x20\x09-\x0D"
-_OWN: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _OWN[app]
-
+from clipfleet.sources.scratch import rounds, scratch_path, stored
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["BLANKS", "connected_components", "id_filter", "join_hot", "n_words_of", "passes", "rounds", "salted", "scratch_path", "stored", "words_of"]
 
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
+BLANKS = r"\x20\x09-\x0D"
 
 
 def words_of(text: Column) -> Column:
@@ -59,10 +37,10 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
 
 
-def id_filter(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
+def id_filter(ids: DataFrame, column: str) -> tuple[tuple[int, np.ndarray], bool]:
     """Bits set for every id: a prefilter without misses, of 16 MB at most whatever the number of ids.
 
-    With more than about 2 million ids it lets more others pass; an exact join follows in any case.
+    The second value says whether it is dense, so that many others pass; an exact join should follow then.
     """
     n = ids.count()
     bits = int(min(FILTER_BITS_MAX, max(FILTER_BITS_MIN, int(n).bit_length() + 6)))
@@ -88,7 +66,7 @@ def id_filter(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
     step = 1 << (FILTER_CHUNK - 3)
     for r in found.collect():  # at most 2^27 bits
         out[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(r.bits, dtype=np.uint8)
-    return bits, out
+    return (bits, out), n > 1 << (bits - 3)
 
 
 def passes(ids: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
@@ -96,10 +74,38 @@ def passes(ids: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
     return (table[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
 
 
+# --- joins on keys that many rows share --------------------------------------------------------
+
+HOT_SHARE, SALT_ROWS = 2000, 256
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows left-joined with table, which has each key once and in `count` its number of rows.
+
+    Keys of more than a HOT_SHARE-th of all rows are fewer than HOT_SHARE, whatever the input, and are broadcast; the
+    others are shuffled.
+    """
+    least = total // HOT_SHARE + 1
+    hot = F.broadcast(table.filter(F.col(count) > least).drop(count))
+    cold = table.filter(F.col(count) <= least).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """rows and table with `salt`, to be joined on [key, "salt"]; table has each key once. A key with many rows is dealt
+    to several tasks by a hash of `by`, and its row of table copied to each. The keys so treated hold more than a
+    HOT_SHARE-th of all rows each, so they are few and broadcast."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(SALT_ROWS, rows.count() // HOT_SHARE))
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("__n") / SALT_ROWS).alias("__salts")))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    copied = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt, copied
+
+
 # --- connected components ----------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id that has an edge (a, b); component is the smallest id reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges stand still. Each step is
@@ -121,17 +127,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
 
-    now = stored(edges.filter("a != b").select("a", "b").distinct(), "edges")
-    seen = state(now)
-    for _ in range(rounds):
-        if not seen.n:
-            break
-        now = stored(star(star(now, True), False), "edges")
-        got = state(now)
-        if got == seen:
-            break
-        seen = got
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("b").alias("id")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    with rounds(edges.sparkSession):
+        now = stored(edges.filter("a != b").select("a", "b").distinct(), "edges")
+        seen = state(now)
+        for _ in range(most_rounds):
+            if not seen.n:
+                break
+            now = stored(star(star(now, True), False), "edges")
+            got = state(now)
+            if got == seen:
+                break
+            seen = got
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        roots = now.select(F.col("b").alias("id")).distinct()
+        found = now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        return stored(found, "components", outlives=True)

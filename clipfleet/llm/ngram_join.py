@@ -9,13 +9,17 @@ Method
     one document come first and match nothing, so a document whose prefix is full of them has no partner and is done.
  3. Tokens of the A prefix that two or more classes share make candidates; they must share B and C prefix tokens too
     (intersection of the filters) and fit in length before their whole sets are compared.
- 4. Groups never expand into all pairs. Every posting list compares its members with one pivot p (the one whose tokens
-    are most shared). Two members that both link to p are in one component. Otherwise one of them, x, is farther from p
-    than a link allows, |x ^ p| > c (|x| + |p|) with c = (1 - t) / (1 + t), and a link of x and y needs
+ 4. Groups never expand into all pairs. Every posting list compares its members with one pivot p, and components merge.
+    Two members whose labels still differ cannot both have the pivot's; one that has not, x, is farther from p than a
+    link allows, |x ^ p| > c (|x| + |p|) with c = (1 - t) / (1 + t), and a link of x and y needs
     |x ^ y| <= c (|x| + |y|), so their differences from p share more than (|y ^ p| + c (|p| - |y|)) / 2 tokens: over
-    about half of y's. Hence x and y meet on one of the rarest |y ^ p| - that many tokens of y's difference. An inverted
-    index on differences finds all such pairs: edits that documents don't share never meet, whatever the group's size.
-    Lists of SMALL members or fewer are compared directly. No link is lost.
+    about half of y's. Hence x and y meet on one of the rarest |y ^ p| - that many tokens of y's difference. Tokens that
+    stand before the first common one in either difference belong to x ^ y, so together they are c (|x| + |y|) or
+    fewer: only so many of a difference's rarest tokens are posted, few as they are beside a long difference. These
+    lists (one for all tokens that the same members hold) are treated like the first ones: where the pairs are SMALL a member or fewer, they are compared
+    directly; another takes the member nearest to the pivot as its own pivot, and so on until no list holds two labels. A list
+    lacks its group's pivot, so it is smaller; lists of the same members are one. Each pass costs its postings only, and
+    no link is lost.
 
 Long-lived results are written to the shared folder; the graph part uses `common.connected_components`.
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import connected_components, id_filter, passes, stored
+from clipfleet.llm.common import connected_components, id_filter, join_hot, passes, rounds, salted, stored
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SMALL = 8
@@ -158,41 +162,81 @@ def _postings(tokens: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link when 100 |A and B| >= percent |A or B|."""
+    with rounds(docs.sparkSession):
+        return stored(_components(docs, percent, width, id_col, text_col), "near", outlives=True)
+
+
+def _components(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     info = stored(_signatures(docs, width), "shingles")
-    classes = stored(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     named = docs.filter("doc_id IS NOT NULL")
-    tokens = stored(_tokens(named, id_filter(classes, "rep"), width, percent), "tokens")
+    keep, dense = id_filter(classes, "rep")
+    tokens = _tokens(named, keep, width, percent)
+    if dense:  # many others pass the bits then
+        tokens = tokens.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    tokens = stored(tokens, "tokens")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     jaccard = lambda x, y: F.size(F.array_intersect(x, y)) * (100 + percent) >= percent * (F.size(x) + F.size(y))
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
 
     now = stored(_postings(tokens, percent), "postings")
     score = now.groupBy("id").agg(F.sum("k").alias("score"))
     now = now.drop("k").join(score, "id")
     near = score.select("id")
-    sets = stored(_sets(named, id_filter(near, "id"), width, percent).join(near, "id", "left_semi"), "sets")
+    sets = stored(_sets(named, id_filter(near, "id")[0], width, percent).join(near, "id", "left_semi"), "sets")
     now = stored(now, "lists")
     pivot = now.groupBy("t").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("pn"))).alias("p")).select("t", (-F.col("p.minus")).alias("pid"), "p.pn")
     met = stored(now.join(pivot, "t").filter("id != pid").select("t", "id", "n", "pid", "pn"), "met")
-    ordered = lambda df, x, y: df.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
-    edges = stored(_verified(ordered(met.filter(fits(F.col("n"), F.col("pn"))), "id", "pid"), sets, jaccard), "links1")
-    labels = connected_components(edges)
-    left = met.join(labels, "id", "left").withColumn("lab", F.coalesce("component", "id")).drop("component")
+    labels = connected_components(_verified(ordered(met.filter(fits(F.col("n"), F.col("pn"))), "id", "pid"), sets, jaccard))
+    left = _labelled(met, labels, "id", "lab")
     mixed = left.groupBy("t").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count("*").alias("k")).filter("l0 < l1").select("t", "k")
     left = stored(left.join(mixed, "t"), "left")
     few = left.filter(F.col("k") <= SMALL).select("t", "id", "n", "lab")
     other = few.select("t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"))
-    pairs = ordered(few.join(other, "t").filter((F.col("id") < F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))), "id", "id2")
-    groups = stored(left.filter(F.col("k") > SMALL).select("pid", "pn", "id", "n", "lab").distinct(), "groups")
-    pairs = stored(pairs.union(ordered(_by_difference(groups, sets, percent, fits), "id", "id2")).distinct(), "pairs")
-    edges = stored(edges.union(_verified(pairs, sets, jaccard)), "links2")
-    labels = connected_components(edges)
-    found = info.join(classes.select("sig", "rep"), "sig", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    pairs = stored(ordered(few.join(other, "t").filter((F.col("id") < F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))), "id", "id2"), "pairs")
+    groups = stored(left.filter(F.col("k") > SMALL).select(F.col("pid").alias("gid"), "pid", "pn", "id", "n").distinct(), "groups")
+    labels = _merged(labels, _verified(pairs, sets, jaccard))
+    while True:
+        groups, pivots = salted(_labelled(groups, labels, "id", "lab"), _labelled(groups.select("pid").distinct(), labels, "pid", "plab"), "pid", "id")
+        groups = stored(groups.join(pivots, ["pid", "salt"]), "groups")
+        mixed = groups.filter("lab != plab").select("gid").distinct()
+        groups = stored(groups.join(mixed, "gid", "left_semi"), "groups")
+        if groups.isEmpty():
+            break
+        lists = _by_difference(groups, sets, percent)
+        few = lists.filter("few")
+        one = few.filter("far").select("gid", "t", "id", "n", "lab", "over")
+        two = few.filter("first").select("gid", "t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"), F.col("over").alias("over2"))
+        pairs = ordered(one.join(two, ["gid", "t"]).filter((F.col("over") + F.col("over2") <= 0) & (F.col("id") != F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))), "id", "id2")
+        groups = stored(_next_groups(lists.filter("NOT few")), "groups")
+        to_pivot = ordered(groups.filter((F.col("lab") != F.col("plab")) & fits(F.col("n"), F.col("pn"))), "id", "pid")
+        pairs = stored(pairs.union(to_pivot).distinct(), "pairs")
+        labels = _merged(labels, _verified(pairs, sets, jaccard))
+        groups = groups.select("gid", "pid", "pn", "id", "n")
+    # one row for each class; a class with a large share of all rows is not sent to one task
+    named_classes = classes.select("sig", "copies", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component", "rep").alias("component"))
+    found = join_hot(info, named_classes, "sig", "copies", info.count())
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the component of `key`, which is its own one without links."""
+    return rows.join(labels.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, component) after further edges (a, b); components are merged as wholes."""
+    e = _labelled(_labelled(edges, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    roots = connected_components(e)
+    if roots.isEmpty():
+        return labels
+    old = labels.join(roots.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    return stored(old.union(roots.join(labels, "id", "left_anti").select("id", "component")), "labels")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, jaccard) -> DataFrame:
     """Pairs (x, y) that pass the filters of orders B and C and then the comparison of their whole sets, as (a, b)."""
     side = lambda df, k: df.select(*[F.col(c).alias(c + k) for c in df.columns])
@@ -202,26 +246,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, jaccard) -> DataFrame:
     return both.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _by_difference(groups: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
-    """Pairs (id, id2) of different components in a pivot's group that may link, found on tokens of their differences
-    from the pivot. groups: pid, pn, id, n, lab."""
+def _by_difference(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(gid, t, id, n, lab, d, at, far, first, k, few): members of groups on tokens of their differences from
+    the pivot, in lists where a member of another label than the pivot's (far) can meet one that looks for partners there (first).
+    groups: gid, pid, pn, id, n, lab, plab. k is a list's length, d a difference's, `at` the place in it of a
+    class of tokens, t; few says
+    that far and first members make SMALL pairs a member or fewer."""
     mine, pivots = sets.select("id", "items"), sets.select(F.col("id").alias("pid"), F.col("items").alias("pitems"))
-    diff = groups.join(mine, "id").join(pivots, "pid").withColumn("diff", F.concat(F.array_except("items", "pitems"), F.array_except("pitems", "items"))).drop("items", "pitems")
+    groups, pivots = salted(groups.drop("salt"), pivots, "pid", "id")
+    diff = groups.join(mine, "id").join(pivots, ["pid", "salt"]).withColumn("diff", F.concat(F.array_except("items", "pitems"), F.array_except("pitems", "items"))).drop("items", "pitems")
     d = F.size("diff")
     least_shared = F.floor(((100 + percent) * d + (100 - percent) * (F.col("pn") - F.col("n"))) / (2.0 * (100 + percent))) + 1  # more than that many
-    diff = stored(diff.withColumn("far", (100 + percent) * d > (100 - percent) * (F.col("n") + F.col("pn"))).withColumn("need", d - least_shared + 1), "differences")
-    diff = diff.withColumn("d", F.size("diff"))
-    each = diff.select("pid", "id", "n", "d", "lab", "far", F.explode("diff").alias("t"))
-    df = each.groupBy("pid", "t").agg(F.count("*").alias("k")).filter("k > 1")
-    shared = stored(each.join(df, ["pid", "t"]), "shared")
-    # tokens of one member come first in its order and match nothing; `at` is a token's place in that order
-    own = shared.groupBy("pid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.select("pid", "id", "n", "d", "lab", "need"), ["pid", "id"])
+    diff = stored(diff.select("gid", "id", "n", "lab", d.alias("d"), (F.col("lab") != F.col("plab")).alias("far"), (d - least_shared + 1).alias("need"), "diff"), "differences")
+    each = diff.select("gid", "id", F.explode("diff").alias("token"))
+    # tokens that the same members hold are one class t: they stand together in every order, and count together
+    holders = F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string")
+    df = each.groupBy("gid", "token").agg(F.count("*").alias("k"), F.xxhash64(holders).alias("t")).filter("k > 1")
+    # tokens of one member come first in its order and match nothing
+    own = each.join(df, ["gid", "token"]).groupBy("gid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.drop("diff"), ["gid", "id"])
     alone = F.col("d") - F.size("s")
-    first = own.filter(F.col("need") > alone).select("pid", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("lab").alias("lab2"), alone.alias("alone"), F.posexplode(F.slice("s", 1, (F.col("need") - alone).cast("int"))).alias("at", "x")).select("pid", "id2", "n2", "d2", "lab2", (F.col("alone") + F.col("at")).alias("at"), "x.t")
-    far = shared.filter("far").select("pid", "t", "id", "n", "d", "lab")
-    # a first common token at that place leaves room for what a link of the two must share
-    room = (100 + percent) * (F.col("d") + F.col("d2")) - (100 - percent) * (F.col("n") + F.col("n2")) <= 2 * (100 + percent) * (F.col("d2") - F.col("at"))
-    return far.join(first, ["pid", "t"]).filter(room & (F.col("id") != F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))).select("id", "id2")
+    heads = F.filter(F.transform("s", lambda x, i: F.struct((alone + i).alias("at"), x["t"].alias("t"), F.coalesce(x != F.get("s", i - 1), F.lit(True)).alias("head"))), lambda x: x["head"] & (percent * x["at"] <= (100 - percent) * F.col("n")))
+    rows = own.select("gid", "id", "n", "lab", "d", "far", "need", F.explode(heads).alias("x"))
+    rows = rows.select("gid", "x.t", "id", "n", "lab", "d", "far", "x.at", (F.col("x.at") < F.col("need")).alias("first"))
+    rows = stored(rows.filter("far OR first"), "shared")
+    # what stands before a first common token belongs to one of the two only: over(x) + over(y) <= 0 for a link
+    rows = rows.withColumn("over", (100 + percent) * F.col("at") - (100 - percent) * F.col("n"))
+    least = lambda c: F.min(F.when(F.col(c), F.col("over")))
+    low = rows.groupBy("gid", "t").agg(least("far").alias("f"), least("first").alias("p")).filter("f + p <= 0")
+    rows = rows.join(low, ["gid", "t"]).filter("(far AND over + p <= 0) OR (first AND over + f <= 0)").drop("f", "p")
+    n_of = lambda c: F.sum(F.expr(c).cast("long"))
+    kept = rows.groupBy("gid", "t").agg(F.count("*").alias("k"), n_of("far").alias("f"), n_of("first").alias("p"), n_of("over <= 0").alias("low"), F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("members")).filter("f > 0 AND p > 0 AND l0 < l1")
+    few = (F.col("f") * F.col("p") <= SMALL * F.col("k")) | (F.col("low") <= SMALL)
+    return stored(rows.join(kept.select("gid", "t", "k", few.alias("few"), "members"), ["gid", "t"]), "meetings")
+
+
+def _next_groups(lists: DataFrame) -> DataFrame:
+    """(gid, pid, pn, plab, id, n, lab): each list as a group of its own, about its member nearest to the old pivot."""
+    heads = lists.groupBy("gid", "t", "k", "members").agg(F.min(F.struct("d", "n", "id", "lab")).alias("p"))
+    heads = heads.groupBy("k", "members").agg(F.min(F.struct("p", "gid", "t")).alias("h"))  # lists of the same members are one
+    heads = heads.select("h.gid", "h.t", F.xxhash64("k", "members").alias("next"), F.col("h.p.id").alias("pid"), F.col("h.p.n").alias("pn"), F.col("h.p.lab").alias("plab"))
+    rows = lists.join(heads, ["gid", "t"]).filter("id != pid")
+    return rows.select(F.col("next").alias("gid"), "pid", "pn", "plab", "id", "n", "lab")
 
 
 def keep_one(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
