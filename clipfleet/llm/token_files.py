@@ -18,6 +18,7 @@ sets bit `(b_i >> low_bits) + i` of `high`. select1(i) finds the i-th set bit fr
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -90,15 +91,6 @@ class Boundaries:
         chunk = int.from_bytes(self._low[first >> 3 : (first + self.bits + 7) >> 3], "little")
         return top << self.bits | chunk >> (first & 7) & ((1 << self.bits) - 1)
 
-    def all(self, n: int) -> np.ndarray:
-        """The first n boundaries, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:n]
-        out = (ones - np.arange(n)) << self.bits
-        if self.bits:
-            flat = np.unpackbits(np.frombuffer(self._low, dtype=np.uint8), bitorder="little")[: n * self.bits].reshape(n, self.bits)
-            out |= flat.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return out
-
 
 # --- encoding --------------------------------------------------------------------------------
 
@@ -106,7 +98,7 @@ class Boundaries:
 class BlankSplitEncoder:
     """Ids of whole texts by a `tokenizers` file whose pre-tokens never hold blanks.
 
-    Texts are cut at blanks, and the ids of each distinct piece come from the library once and are kept in a bounded
+    Strings of special tokens in a text become those tokens, as in the library. Texts are cut at blanks, and the ids of each distinct piece come from the library once and are kept in a bounded
     table, so the cost follows the distinct pieces. It holds for tokenizers that drop blanks and treat the pieces apart
     (tests compare it with the library on whole texts).
     """
@@ -116,22 +108,26 @@ class BlankSplitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype, self.keep, self.longest = dtype, keep, longest
         self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
 
+    @staticmethod
+    def _letters(x: str) -> bool:
+        """Whether x is letters only, and stays so in lower case (a capital I with a dot gives a mark there)."""
+        return x.isalpha() and (x.isascii() or unicodedata.normalize("NFC", x).lower().isalpha())
+
     def _learn(self, new: list[str]) -> None:
         """Words of letters are encoded together, each with the one token that ends it; `word,` and `word.` follow from
         their parts, as the pre-tokenizer parts letters from the rest; all other pieces go to the library one by one."""
-        known = self.known
+        known, letters = self.known, self._letters
         plain, marked, rest = set(), [], []
         for x in new:
-            if x.isalpha():
+            if letters(x):
                 plain.add(x)
-            elif x[-1] in ",." and x[:-1].isalpha():
+            elif x[-1] in ",." and letters(x[:-1]):
                 marked.append(x)
                 if x[:-1] not in known:
                     plain.add(x[:-1])
@@ -241,7 +237,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 ef = Boundaries(r["low_bits"], r["low"], r["high"], r["samples"])
                 ids = np.frombuffer(r["ids"], dtype=f"<u{r['id_width']}").astype("<u4")
                 n = r["n_docs"]
-                at = ef.all(n + 1) if n > 64 else np.array([ef.select(i) for i in range(n + 1)])
+                at = np.fromiter(map(ef.select, range(n + 1)), dtype=np.int64, count=n + 1)
                 cuts = [ids[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
                 first = r["base"] + r["start_in_shard"]
                 out = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "start": pa.array(first + at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64())}
