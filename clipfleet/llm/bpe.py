@@ -4,7 +4,10 @@ A pre-token's bytes form a linked list of parts. For each mergeable pair its ran
 part; a bitmap of two levels (words of 256 bits) has a bit for every bucket that is not empty, so the lowest rank is found by
 two find-first-set steps. A merge takes the leftmost place of the lowest rank, joins two parts and queues the
 pairs to its left and right. Places whose pair has changed meanwhile are stale and skipped. The cost is O(n log n) at
-most in the length of the pre-token, which suits very long ones.
+most in the length of the pre-token, which suits very long ones. From 4,096 bytes on a bucket is a heap of places.
+
+Null texts are empty and give no ids. Repeated rows are encoded each; extra columns are left out. Very long texts are
+encoded whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

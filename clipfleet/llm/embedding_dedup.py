@@ -1,7 +1,7 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Index: each half of a unit vector has a codebook of its own (k-means on a sample of at most SAMPLE vectors, chosen by
-hash; the bound is a parameter), and the product grid has codebook^2 cells. Every vector is indexed in the cell of its
+hash; the bound is a parameter), and the product grid has codebook^2 cells; codebooks grow with the table. Every vector is indexed in the cell of its
 nearest pair of codewords.
 
 Search: for each query and half, codeword i has a lower bound of the distance to any vector of its region, from the
@@ -26,6 +26,7 @@ are one vertex in the graph, each with its own count. An empty table gives an em
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.llm.common import connected_components, stored
 
-SAMPLE, CODEWORDS, CHUNK = 8192, 16, 1024
+SAMPLE, LEAST_CODEWORDS, CHUNK = 8192, 16, 1024
 QUERIES, TARGET, LEAST_SHARE, LEAST_LINKED, BINS = 512, 0.9999, 0.05, 64, 64
 GROWTH, BLOCKS, SLAB = 8, 64, 512
 
@@ -81,6 +82,12 @@ def codebook(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
+def codewords_for(vectors: int) -> int:
+    """Codewords of each half, so that cells grow with the square root of the number of vectors: a power of two at or
+    above its fourth root."""
+    return max(LEAST_CODEWORDS, 1 << math.ceil(math.log2(max(vectors, 1)) / 4))
+
+
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None], 0)
 
@@ -201,7 +208,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int = CODEWORDS, sample: int = SAMPLE, target_recall: float = 1.0, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int | None = None, sample: int = SAMPLE, target_recall: float = 1.0, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = stored(unit_vectors(vectors, id_col, vector_col, label_col), "units")
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
@@ -213,7 +220,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int
         dim = common.dim
         some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("unit")).select("unit").limit(sample).collect()
         x = np.frombuffer(b"".join(r.unit for r in some), dtype=np.float64).reshape(-1, dim)
-        books = codebook(x[:, : dim // 2], codewords), codebook(x[:, dim // 2 :], codewords)
+        k = codewords or codewords_for(classes.count())
+        books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
         if target_recall < 1:
             share = _share(classes, books, dim, threshold, target_recall)
     placed = stored(_cells(classes, books, dim, share * (2 - 2 * threshold)), "cells")

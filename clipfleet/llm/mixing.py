@@ -9,6 +9,8 @@ of a source are ranked, and rank r takes the r-th block of `block` words from th
 hashed order, a second time in another order if the target exceeds the size. The stream is cut at the target, so a
 source's words differ from it by less than one word, and no document is taken more than `most` times (1 or 2).
 
+The slots order the result: `mixed_documents` puts documents in slot order, `mixed_blocks` returns the blocks themselves.
+
 Ranks and positions are prefix sums in two levels (buckets first), so no window holds a whole source.
 
 Sizes are words `[^\\x20\\x09-\\x0D]+`; null texts have none. Null sources are one source, last in order. Repeated rows
@@ -98,24 +100,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def taken(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row: the words that the mix takes, repeats counted."""
+    """doc_id, source, text_hash, size, source_size, target and taken of every row (the words that the mix takes, repeats
+    counted), with the first slot that takes it and the number of blocks it goes to."""
     rows, pieces = mix(docs, **parameters)
-    per = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(per, "row", "left").select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    per = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_blocks"))
+    return rows.join(per, "row", "left").select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
 
 
-def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix as rows of docs: a row for each pass over a document; where the target cuts one, the text's words up to
-    the cut, with the blanks between them. Rows without words are not taken."""
-    rows, pieces = mix(docs, **parameters)
-    per = pieces.groupBy("row", "pass").agg(F.sum("words").alias("__words"))
-    per = rows.join(per, "row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__key"), "size", "__words")
+def _with_texts(docs: DataFrame, rows: DataFrame, per: DataFrame) -> DataFrame:
+    """docs joined with the rows of `per` that take them, and `__worded`: the text's words with the blanks before each."""
+    per = rows.join(per, "row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__key"), F.col("size").alias("__size"), *[F.col(c) for c in per.columns if c.startswith("__")])
     key = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
     once = docs.withColumn("__h", F.xxhash64("text")).withColumn("__k", key).dropDuplicates(["doc_id", "__h", "__k"])
     both = once.join(per, once["doc_id"].eqNullSafe(per["__id"]) & (once["__h"] == per["__hash"]) & (once["__k"] == per["__key"]))
-    worded = F.regexp_extract_all("text", F.lit(f"[{BLANKS}]*[^{BLANKS}]+"), F.lit(0))
-    short = F.array_join(F.slice(worded, 1, F.col("__words").cast("int")), "")
-    out = both.withColumn("text", F.when(F.col("__words") < F.col("size"), short).otherwise(F.col("text")))
+    return both.withColumn("__worded", F.regexp_extract_all("text", F.lit(f"[{BLANKS}]*[^{BLANKS}]+"), F.lit(0)))
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix as rows of docs: a row for each pass over a document; where the target cuts one, the text's words up to
+    the cut, with the blanks between them. Rows without words are not taken.
+
+    Partitions are hashed samples of the mix, each in the order of the schedule's slots, so that a reader who stops after
+    any part of a file has seen the sources near their target shares.
+    """
+    rows, pieces = mix(docs, **parameters)
+    per = pieces.groupBy("row", "pass").agg(F.sum("words").alias("__words"), F.min("slot").alias("__slot"))
+    both = _with_texts(docs, rows, per.drop("pass"))
+    short = F.array_join(F.slice("__worded", 1, F.col("__words").cast("int")), "")
+    out = both.withColumn("text", F.when(F.col("__words") < F.col("__size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.sortWithinPartitions("__slot", "__h").select(*docs.columns)
+
+
+def mixed_blocks(docs: DataFrame, **parameters) -> DataFrame:
+    """(slot, source, doc_id, text): the mix as blocks of equal size. The rows of a slot together hold `block` words of
+    its source (fewer in a source's last block); slots in ascending order are the mix."""
+    rows, pieces = mix(docs, **parameters)
+    per = pieces.select("row", F.col("slot").alias("__slot"), F.col("first").alias("__first"), F.col("words").alias("__words"))
+    part = F.array_join(F.slice("__worded", (F.col("__first") + 1).cast("int"), F.col("__words").cast("int")), "")
+    return _with_texts(docs, rows, per).select(F.col("__slot").alias("slot"), "source", "doc_id", part.alias("text"))

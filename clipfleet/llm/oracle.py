@@ -28,10 +28,9 @@ once AS (SELECT doc_id, host, text, any_value(ls) AS ls FROM base GROUP BY doc_i
 hashed AS (SELECT doc_id, host, text, len(regexp_extract_all(y, '{WORD}')) AS w,
     ('0x' || left(md5(regexp_replace(lower(array_to_string(regexp_extract_all(y, '{WORD}'), ' ')), '[\\x20\\x09-\\x0D]+', ' ', 'g')), 15))::BIGINT AS h
     FROM (SELECT doc_id, host, text, unnest(ls) AS y FROM once)),
-low AS (SELECT doc_id, host, text, list_sort(list(DISTINCT h)) AS hs FROM hashed GROUP BY doc_id, host, text),
-line AS (SELECT hashed.*, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, 0) AS rest FROM hashed JOIN low
-    ON hashed.doc_id IS NOT DISTINCT FROM low.doc_id AND hashed.host = low.host AND hashed.text = low.text),
-often AS (SELECT host, h FROM line GROUP BY host, h HAVING count(DISTINCT rest) > {quality_rules.MAX_DOCS}),
+whole AS (SELECT doc_id, host, text, list_sort(list(DISTINCT h)) AS hs FROM hashed GROUP BY doc_id, host, text),
+line AS (SELECT hashed.*, hs FROM hashed JOIN whole ON hashed.doc_id IS NOT DISTINCT FROM whole.doc_id AND hashed.host = whole.host AND hashed.text = whole.text),
+often AS (SELECT host, h FROM line GROUP BY host, h HAVING count(DISTINCT hs) > {quality_rules.MAX_DOCS}),
 removed AS (SELECT doc_id, host, text, sum(w)::BIGINT AS n FROM line JOIN often USING (host, h) GROUP BY doc_id, host, text),
 judged AS (SELECT base.*, coalesce(n, 0)::BIGINT AS n_removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base LEFT JOIN removed
     ON base.doc_id IS NOT DISTINCT FROM removed.doc_id AND base.host = removed.host AND base.text = removed.text)
@@ -86,15 +85,17 @@ base AS ({_found(0, r'''(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 UNION ALL {_found(1, "AKIA[A-Z0-9]+", 0, "length(value) >= 20")}
 UNION ALL {_found(2, "[0-9a-f]+", 0, "length(value) >= 24")}),
 long AS ({_found(3, "[A-Za-z0-9+/_-]+", 0, "length(value) >= 20")}),
-other AS (SELECT * FROM long WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 4
+classed AS (SELECT *, list_transform(string_split(value, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 WHEN c BETWEEN 'a' AND 'z' THEN 3 ELSE 0 END) AS cs FROM long),
+other AS (SELECT * EXCLUDE (cs) FROM classed long WHERE length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 4 AND (length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4
+        OR 10 * len(list_filter(range(1, len(cs)), lambda i: cs[i] > 0 AND cs[i + 1] > 0 AND cs[i] <> cs[i + 1])) >= 3 * (len(cs) - 1))
     AND list_aggregate(string_split(value, ''), 'entropy') >= 3.0 AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = long.r AND base.a < long.z AND long.a < base.z)),
 every AS (FROM base UNION ALL FROM other),
-owners AS (SELECT value, count(DISTINCT owner) AS n FROM every GROUP BY value),
-told AS (SELECT r, k, a, z, n, ({_NAMES})[k + 1] || ':' || a || ':' || z AS s FROM every JOIN owners USING (value) WHERE k < 3 OR n = 1),
+owners AS (SELECT value, count(DISTINCT every.owner) AS n_owners, least(count(DISTINCT coalesce(doc_id::VARCHAR, 'null')), count(DISTINCT text)) AS n_repos FROM every JOIN d USING (r) GROUP BY value),
+told AS (SELECT r, k, a, z, n_owners, n_repos, n_owners >= {secret_scan.EXAMPLE_OWNERS} OR n_repos >= {secret_scan.EXAMPLE_REPOS} AS example, ({_NAMES})[k + 1] || ':' || a || ':' || z AS s FROM every JOIN owners USING (value) WHERE k < 3 OR NOT example),
 per AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-    string_agg(s, ',' ORDER BY a, k, z) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY a, k, z) AS spans, count(*) FILTER (n >= 3) AS n_examples FROM told GROUP BY r)
+    string_agg(s, ',' ORDER BY a, k, z) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY a, k, z) AS spans, count(*) FILTER (example) AS n_examples, max(n_owners) AS n_owners, max(n_repos) AS n_repos FROM told GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
-    coalesce(spans, '') AS spans, coalesce(n_examples, 0) AS n_examples FROM d LEFT JOIN per USING (r)
+    coalesce(spans, '') AS spans, coalesce(n_examples, 0) AS n_examples, coalesce(n_owners, 0) AS n_owners, coalesce(n_repos, 0) AS n_repos FROM d LEFT JOIN per USING (r)
 """
 
 ORACLE_SQL = {"op2_quality_rules": QUALITY_RULES, "op3_ngram_join": NGRAM_JOIN, "op4_reply_trees": REPLY_TREES, "op5_embedding_dedup": EMBEDDING_DEDUP, "op10_secret_scan": SECRET_SCAN}

@@ -9,8 +9,12 @@ seeds too, so patterns that never stand before a base entity can qualify. Where
 on its line, the line's start is part of the pattern. Patterns at `min_score` or more, after the last round, turn the unknown
 instances behind them into spans of kind `id`. Copies of a document add nothing to the graph, as edges are distinct.
 
+What an unknown identifier is, is a definition of its kind, with parameters: `shortest` to `longest` code points and
+`digits` digits or more. The words of a pattern are looked for in `context` code points to the left, to which the rest of
+a word that reaches over that edge is added.
+
 The texts are read once; the graph holds hashes only. Null texts are empty; repeated rows get their own result; offsets
-count code points.
+count code points. Very long texts are scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,10 +38,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-._/])(?=[A-Za-z._/-]{0,32}[0-9])[A-Za-z0-9]+(?:[-._/][A-Za-z0-9]+)*")
 _WORD = re.compile(r"[^\W\d_]+")
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("pattern", pa.int64())])
-CONTEXT = 64  # code points to the left in which the words of a pattern are looked for
+CONTEXT = 64
+SHORTEST, LONGEST, DIGITS = 6, 32, 4
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -80,20 +85,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def unknown_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans: 6 to 32 code points, 4 digits or more; single - . _ / may part them."""
+@lru_cache(maxsize=8)
+def _token(longest: int) -> re.Pattern:
+    """Runs of letters and digits, parted by single - . _ / and with a digit among the first `longest` code points."""
+    return re.compile(rf"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-._/])(?=[A-Za-z._/-]{{0,{longest}}}[0-9])[A-Za-z0-9]+(?:[-._/][A-Za-z0-9]+)*")
+
+
+def unknown_tokens(text: str, base: list[tuple[int, int, int]], shortest: int = SHORTEST, longest: int = LONGEST, digits: int = DIGITS) -> list[tuple[int, int]]:
+    """Identifier-like tokens outside the base spans; single - . _ / may part them."""
     out = []
-    for m in _TOKEN.finditer(text):
+    for m in _token(longest).finditer(text):
         a, z = m.span()
-        if 6 <= z - a <= 32 and sum("0" <= c <= "9" for c in m[0]) >= 4 and not any(s < z and a < e for _, s, e in base):
+        if shortest <= z - a <= longest and sum("0" <= c <= "9" for c in m[0]) >= digits and not any(s < z and a < e for _, s, e in base):
             out.append((a, z))
     return out
 
 
-def pattern_before(text: str, start: int, words: int = 2) -> str | None:
+def pattern_before(text: str, start: int, words: int = 2, context: int = CONTEXT) -> str | None:
     """The last words to the left of start, in lower case, after ^ for the line's start if there are fewer; None without a word."""
-    line = text[max(0, start - CONTEXT) : start]
-    whole, line = start <= CONTEXT or "\n" in line, line.rpartition("\n")[2]
+    lo = max(0, start - context)
+    while 0 < lo < start and text[lo - 1].isalpha() and text[lo].isalpha():
+        lo -= 1
+    line = text[lo:start]
+    whole, line = lo == 0 or "\n" in line, line.rpartition("\n")[2]
     found = _WORD.findall(line.lower())
     if len(found) >= words:
         return " ".join(found[-words:])
@@ -104,7 +118,7 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str, context: int = CONTEXT, shortest: int = SHORTEST, longest: int = LONGEST, digits: int = DIGITS) -> DataFrame:
     """(row, doc_id, spans): base spans and unknown tokens, with hashes of their values and patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +128,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 t = x.as_py() or ""
                 base = base_spans(t)
                 spans = []
-                for k, a, z in base + [(4, *s) for s in unknown_tokens(t, base)]:
-                    p = pattern_before(t, a)
+                for k, a, z in base + [(4, *s) for s in unknown_tokens(t, base, shortest, longest, digits)]:
+                    p = pattern_before(t, a, context=context)
                     spans.append({"kind": k, "start": a, "end": z, "instance": _hash(t[a:z].lower()), "pattern": None if p is None else _hash(p)})
                 out.append(spans)
             yield pa.record_batch({"doc_id": b.column(0), "spans": pa.array(out, pa.list_(SPAN))})
@@ -140,9 +154,9 @@ def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, min_sc
     return scores
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_score: float = 0.6, context: int = CONTEXT, shortest: int = SHORTEST, longest: int = LONGEST, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans) of each row: arrays of (kind, start, end); spans adds the discovered ones to base."""
-    rows = stored(scan(docs, id_col, text_col), "personal")
+    rows = stored(scan(docs, id_col, text_col, context, shortest, longest, digits), "personal")
     each = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     edges = each.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max((F.col("kind") < 4).cast("int")).alias("seed"))
     good = score_patterns(edges, rounds, min_seeds, min_score).filter(F.col("score") >= min_score).select("pattern")

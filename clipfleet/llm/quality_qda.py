@@ -9,7 +9,7 @@ Fitting sums first and second moments by class in Spark, over every labelled row
 Labels other than 0 and 1 are ignored; a class without rows takes the pooled moments and equal priors.
 
 Null and empty texts have all-zero counts and get a score as any other. Repeated rows are scored each; repeated labels
-count each. Extra columns are ignored.
+count each. Extra columns are ignored. An empty table gives an empty result; without labelled rows all scores are finite.
 """
 
 from __future__ import annotations

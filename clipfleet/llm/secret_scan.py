@@ -1,15 +1,19 @@
 """Secrets in texts, told apart by who holds them.
 
-The base patterns find assignments, access keys and hexadecimal strings. Beside them, long tokens that mix letters and
-digits are candidates. Each candidate's hash is aggregated over the corpus by distinct repositories and owners: a value
-with many owners is a widely copied example; one with a single owner looks live. Candidates with one owner become spans
-of kind `owned`; base spans stay in any case, and say whether their value is an example.
+The base patterns find assignments, access keys and hexadecimal strings. Beside them, long tokens that look random are
+candidates. Each candidate's hash is aggregated over the corpus by distinct owners and distinct repositories: a value of
+EXAMPLE_OWNERS owners or more, or in EXAMPLE_REPOS repositories or more, is a widely copied example; any other looks
+live. Repositories whose text is the same are mirrors and count as one. Live-looking candidates become spans of kind
+`owned`; base spans stay in any case, and say whether their value is an example.
 
-The scan is one pass over the texts with small patterns; the aggregation is two grouped counts on (hash, owner,
-repository), then on the hash, so a value that many rows hold is counted before it meets others.
+The scan is one pass over the texts with small patterns; distinct owners and repositories are counted before a value
+meets its rows again, and values that very many rows hold are joined by broadcast.
+
+Where owners are few and large (the `source` of documents, the repository being the document) three owners are a weak
+sign; both limits are parameters.
 
 Null texts are empty. A null owner or repository is one of its own. Repeated rows get their own result. Offsets count
-code points.
+code points. Very long texts are scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import stored
+from clipfleet.llm.common import join_hot, stored
 
 # fixed values: kinds and patterns of the base
 KINDS = ("assign", "access", "hex", "owned")
@@ -33,6 +37,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _NAMES = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.ASCII)
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
 
@@ -89,22 +94,31 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos) of every candidate value in the corpus."""
-    each = rows.select("owner", "repo", F.explode("spans.hash").alias("hash"))
-    return each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    """(hash, n_owners, n_repos, n_spans) of every candidate value in the corpus."""
+    each = rows.select("owner", "repo", "text_hash", F.explode("spans.hash").alias("hash"))
+    each = each.groupBy("hash", "owner", "repo", "text_hash").agg(F.count("*").alias("n"))  # a value's rows meet only after this
+    distinct = F.least(F.count_distinct("repo"), F.count_distinct("text_hash"))
+    return each.groupBy("hash").agg(F.count_distinct("owner").alias("n_owners"), distinct.alias("n_repos"), F.sum("n").alias("n_spans"))
 
 
-def find_secrets(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text_hash, base, spans, n_examples) of each row; base and spans are arrays of (start, kind, end, example).
+def find_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text_hash, base, spans, n_examples, n_owners, n_repos) of each row; base and spans are arrays of (start,
+    kind, end, example). n_owners and n_repos are those of the row's most widely held value, 0 without one.
 
-    A value with `example_owners` owners or more is an example; candidates with a single owner are added to the spans.
+    A value with `example_owners` owners or `example_repos` repositories is an example; candidates below both limits are
+    added to the spans.
     """
     rows = stored(scan(docs, id_col, text_col, owner_col, repo_col), "secrets")
-    per = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*").join(ownership(rows), "hash")
-    per = per.filter("kind < 3 OR n_owners = 1").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", (F.col("n_owners") >= example_owners).alias("example")))).alias("all"))
+    each = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    owners = stored(ownership(rows), "owners")
+    total = int(owners.agg(F.sum("n_spans")).first()[0] or 0)
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    per = join_hot(each, owners, "hash", "n_spans", total).withColumn("example", example).filter("kind < 3 OR NOT example")
+    per = per.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "example"))).alias("all"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
     both = rows.join(per, "row", "left")
     spans = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>"))
-    return both.select("doc_id", "text_hash", F.filter(spans, lambda s: s["kind"] < 3).alias("base"), spans.alias("spans"), F.size(F.filter(spans, lambda s: s["example"])).cast("long").alias("n_examples"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return both.select("doc_id", "text_hash", F.filter(spans, lambda s: s["kind"] < 3).alias("base"), spans.alias("spans"), F.size(F.filter(spans, lambda s: s["example"])).cast("long").alias("n_examples"), count("n_owners"), count("n_repos"))
 
 
 def joined(spans: Column) -> Column:
@@ -113,9 +127,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, example_owners: int = 3) -> DataFrame:
+def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """docs with every found secret in `text` replaced: `[credential]`, or `[example-credential]` for copied examples."""
-    found = find_secrets(docs, example_owners).filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
+    found = find_secrets(docs, example_owners, example_repos).filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans")
     both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left").select(docs["*"], "__spans")
     # pieces of the text between the spans (overlaps merge), joined by the marks; only rows with spans do the work

@@ -141,6 +141,23 @@ def test_small_groups_beside_a_hot_one(spark):
     assert all(got[1500 + 1200 + k][1] == got[1500 + k][1] for k in range(1200))
 
 
+@pytest.mark.parametrize("dim", [16, 32])
+def test_few_links_among_many_vectors(spark, dim):
+    rng = np.random.default_rng(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(9000, dim)))
+    x = np.concatenate([x, unit(x[:60] + unit(rng.normal(size=(60, dim))) * 0.3)])
+    df = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    assert link.sum() > 60 and got == dict(enumerate(link.sum(1).tolist()))
+
+
+def test_codebooks_grow():
+    assert [embedding_dedup.codewords_for(n) for n in (0, 1, 50_000, 10**6, 10**9, 10**12)] == [16, 16, 16, 32, 256, 1024]
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(9), rng.random(7)
@@ -214,6 +231,35 @@ def test_classifier_edges(spark):
 # --- pipeline --------------------------------------------------------------------------------------
 
 
+def test_empty_tables_and_codecs(spark, sf_dir):
+    import public_tokenizers as P
+
+    from clipfleet.llm import bpe, secret_scan
+
+    empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+    files = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    assert bpe.decode(bpe.encode(empty, *files), *files).count() == 0 and secret_scan.redact(empty).count() == 0
+    rows = quality_qda.features(empty)
+    assert quality_qda.score(rows, quality_qda.fit(rows.select("x").withColumn("label", F.lit(1)))).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(None, long, "en", "a", 1, 5, "c"), (1, None, None, None, None, 5, "c"), (2, "", "en", "a", 0, 5, "c"), (3, "one", "en", "a", 3, 5, "c")]
+    rows += [(4, " ".join(f"v{k}" for k in range(80)), "en", None, 9, 5, "c")] * 2 + [(5, " ".join(f"v{k}" for k in range(80)), "en", "b", 9, 5, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, h string"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        kinds = docs.columns
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            docs = stage(spark, docs, "")
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert k + 1 == len(pipeline.STAGES) or docs.columns == kinds
+            if k == 1:
+                assert sorted(str(r.doc_id) for r in docs.collect()) in ([], ["4", "4", "None"])  # copies of 4 with its id stay, 5 goes
+
+
 def test_pipeline_matches_brute_force(spark, sf_dir):
     import corpus_pipeline as pipeline
     import public_tokenizers as P
