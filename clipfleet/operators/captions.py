@@ -29,7 +29,7 @@ def caption_spans(words: DataFrame, gap_ms: int = 600) -> DataFrame:
     return rows.withColumn("span", F.coalesce(F.sum("ends").over(_by_clip().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("ends")
 
 
-def partition_span(lengths: list[int], norms: list[str], commas: list[bool], max_words: int, min_words: int, max_chars: int, target: int, breaks: frozenset[str]) -> list[int]:
+def partition_span(lengths: list[int], breaks: list[bool], commas: list[bool], max_words: int, min_words: int, max_chars: int, target: int) -> list[int]:
     """Cue number of each word of one span: the partition of least cost.
 
     A cue costs 2, the squared distance of its length from the target, and 3 for each word below min_words (if that is
@@ -42,7 +42,7 @@ def partition_span(lengths: list[int], norms: list[str], commas: list[bool], max
         before.append(before[-1] + x)
     edge = [0.0] * n
     for j in range(1, n):
-        edge[j] = (-1.5 if norms[j] in breaks else 0.0) + (2.0 if norms[j - 1] in breaks else 0.0)
+        edge[j] = (-1.5 if breaks[j] else 0.0) + (2.0 if breaks[j - 1] else 0.0)
         if commas[j - 1]:
             edge[j] -= 1.0
     best, cut = [0.0] + [float("inf")] * n, [0] * (n + 1)
@@ -73,9 +73,8 @@ def chunk_words(words: DataFrame, max_words: int = 4, min_words: int = 2, max_ch
     spans = caption_spans(words, gap_ms)
     if min_words == max_words == 1:  # every word a cue
         return spans.withColumn("cue", (F.row_number().over(_by_clip()) - 1).cast("long")).drop("span")
-    stops = frozenset(breaks)
     names = spans.columns
-    slim = spans.withColumn("__chars", F.length("word")).withColumn("__comma", F.rtrim("word").rlike("[,;:]$")).sortWithinPartitions("clip_id", "idx")
+    slim = spans.withColumn("__chars", F.length("word")).withColumn("__break", F.col("norm").isin(*breaks)).withColumn("__comma", F.rtrim("word").rlike("[,;:]$")).sortWithinPartitions("clip_id", "idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cues, clip, span, first, part = [], [], None, None, 0, ([], [], [])
@@ -83,7 +82,7 @@ def chunk_words(words: DataFrame, max_words: int = 4, min_words: int = 2, max_ch
         def close() -> None:
             nonlocal first, part
             if part[0]:
-                numbers = partition_span(*part, max_words, min_words, max_chars, aim, stops)
+                numbers = partition_span(*part, max_words, min_words, max_chars, aim)
                 cues.extend(first + k for k in numbers)
                 first, part = first + numbers[-1] + 1, ([], [], [])
 
@@ -95,14 +94,14 @@ def chunk_words(words: DataFrame, max_words: int = 4, min_words: int = 2, max_ch
 
         for b in batches:
             held.append(b)
-            for c, s, n, norm, comma in zip(*(b.column(k).to_pylist() for k in ("clip_id", "span", "__chars", "norm", "__comma")), strict=True):
+            for c, s, n, stop, comma in zip(*(b.column(k).to_pylist() for k in ("clip_id", "span", "__chars", "__break", "__comma")), strict=True):
                 if s != span or c != clip:
                     close()
                     if c != clip:
                         first = 0
                     clip, span = c, s
                 part[0].append(n)
-                part[1].append(norm)
+                part[1].append(stop)
                 part[2].append(comma)
             yield from full()
         close()

@@ -36,10 +36,9 @@ def style_rejects(layers: DataFrame) -> DataFrame:
 def read_manifests(manifests: DataFrame, profiles: DataFrame) -> DataFrame:
     """Config columns of manifests (clip_id, identity, profile, target_aspect, target_resolution, knobs map): a target's
     aspect wins over the profile's; a profile follows from the aspect where it is missing; knobs have defaults.
-    profiles: profile, p_aspect (a small dimension)."""
-    p = F.broadcast(profiles)
+    profiles: profile, p_aspect."""
     first = profiles.groupBy("p_aspect").agg(F.min("profile").alias("of_aspect")).withColumnRenamed("p_aspect", "aspect")
-    rows = manifests.join(p, "profile", "left").withColumn("aspect", F.coalesce("target_aspect", "p_aspect")).join(F.broadcast(first), "aspect", "left")
+    rows = manifests.join(profiles, "profile", "left").withColumn("aspect", F.coalesce("target_aspect", "p_aspect")).join(first, "aspect", "left")
     knobs = [F.coalesce(F.try_element_at("knobs", F.lit(k)).cast("long"), F.lit(v)).cast("long").alias(k) for k, v in MANIFEST_DEFAULTS.items()]
     return rows.select("clip_id", "identity", F.coalesce("profile", "of_aspect").alias("profile"), "aspect", F.coalesce("target_resolution", F.lit("auto")).alias("resolution"), *knobs)
 

@@ -81,7 +81,7 @@ def test_chunk_cost_is_least(seed):
                 total += (-1.5 if norms[a] in breaks else 0) + (2 if norms[a - 1] in breaks else 0) - (1 if commas[a - 1] else 0)
         return total
 
-    part = captions.partition_span(chars, norms, commas, 4, 2, 24, 3, breaks)
+    part = captions.partition_span(chars, [x in breaks for x in norms], commas, 4, 2, 24, 3)
     cuts = [k for k in range(n) if k == 0 or part[k] != part[k - 1]]
     best = min(cost([0, *[i for i in range(1, n) if mask >> (i - 1) & 1]]) for mask in range(1 << (n - 1)))
     assert cost(cuts) == pytest.approx(best)
