@@ -91,9 +91,9 @@ other AS (SELECT * EXCLUDE (cs) FROM classed long WHERE length(regexp_replace(va
     AND list_aggregate(string_split(value, ''), 'entropy') >= 3.0 AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = long.r AND base.a < long.z AND long.a < base.z)),
 every AS (FROM base UNION ALL FROM other),
 owners AS (SELECT value, count(DISTINCT every.owner) AS n_owners, least(count(DISTINCT coalesce(doc_id::VARCHAR, 'null')), count(DISTINCT text)) AS n_repos FROM every JOIN d USING (r) GROUP BY value),
-told AS (SELECT r, k, a, z, n_owners, n_repos, n_owners >= {secret_scan.EXAMPLE_OWNERS} OR n_repos >= {secret_scan.EXAMPLE_REPOS} AS example, ({_NAMES})[k + 1] || ':' || a || ':' || z AS s FROM every JOIN owners USING (value) WHERE k < 3 OR NOT example),
+told AS (SELECT r, k, a, z, n_owners, n_repos, n_owners >= {secret_scan.EXAMPLE_OWNERS} OR n_repos >= {secret_scan.EXAMPLE_REPOS} AS example, ({_NAMES})[k + 1] || ':' || a || ':' || z AS s FROM every JOIN owners USING (value)),
 per AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-    string_agg(s, ',' ORDER BY a, k, z) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY a, k, z) AS spans, count(*) FILTER (example) AS n_examples, max(n_owners) AS n_owners, max(n_repos) AS n_repos FROM told GROUP BY r)
+    string_agg(s, ',' ORDER BY a, k, z) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY a, k, z) FILTER (k < 3 OR NOT example) AS spans, count(*) FILTER (example AND k < 3) AS n_examples, max(n_owners) AS n_owners, max(n_repos) AS n_repos FROM told GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
     coalesce(spans, '') AS spans, coalesce(n_examples, 0) AS n_examples, coalesce(n_owners, 0) AS n_owners, coalesce(n_repos, 0) AS n_repos FROM d LEFT JOIN per USING (r)
 """

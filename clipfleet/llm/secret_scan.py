@@ -103,7 +103,8 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 def find_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, base, spans, n_examples, n_owners, n_repos) of each row; base and spans are arrays of (start,
-    kind, end, example). n_owners and n_repos are those of the row's most widely held value, 0 without one.
+    kind, end, example). n_owners and n_repos are the most owners and the most repositories that any value of the row has,
+    suppressed examples among them; 0 for a row without values.
 
     A value with `example_owners` owners or `example_repos` repositories is an example; candidates below both limits are
     added to the spans.
@@ -113,8 +114,9 @@ def find_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_
     owners = stored(ownership(rows), "owners")
     total = int(owners.agg(F.sum("n_spans")).first()[0] or 0)
     example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
-    per = join_hot(each, owners, "hash", "n_spans", total).withColumn("example", example).filter("kind < 3 OR NOT example")
-    per = per.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "example"))).alias("all"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
+    per = join_hot(each, owners, "hash", "n_spans", total).withColumn("example", example)
+    told = F.when((F.col("kind") < 3) | ~F.col("example"), F.struct("start", "kind", "end", "example"))  # lists leave nulls out
+    per = per.groupBy("row").agg(F.sort_array(F.collect_list(told)).alias("all"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
     both = rows.join(per, "row", "left")
     spans = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
