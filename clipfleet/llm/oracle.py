@@ -98,4 +98,48 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
     coalesce(spans, '') AS spans, coalesce(n_examples, 0) AS n_examples, coalesce(n_owners, 0) AS n_owners, coalesce(n_repos, 0) AS n_repos FROM d LEFT JOIN per USING (r)
 """
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY_RULES, "op3_ngram_join": NGRAM_JOIN, "op4_reply_trees": REPLY_TREES, "op5_embedding_dedup": EMBEDDING_DEDUP, "op10_secret_scan": SECRET_SCAN}
+
+
+def crc32(bytes_: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    step = "list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda x, y: {step}), 4294967295)"
+
+
+def bytes_of(text: str) -> str:
+    return f"list_transform(range(0, CAST(length(hex(encode({text}))) AS BIGINT) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+
+
+# one step for each row; a state of the roles is (cost, letters, text) of its cheapest path: e empty, s, u, a. At most one
+# inserted turn stands before a row on a cheapest path (two lead back, or to what deleting a system row gives for less).
+_PUT = lambda q, role: f"row({q}.c + 3, {q}.s || 'I', {q}.o || chr(10) || '{role}:')"
+_ROW = lambda q, cost, letter, role: f"row({q}.c + {cost}, {q}.s || '{letter}', {q}.o || {role})"
+_LEAST = lambda *options: f"list_min([{', '.join(options)}])"
+_IF = lambda test, x: f"CASE WHEN {test} THEN {x} END"
+_GONE = lambda q: _ROW(q, 4, "D", "''")
+_KEPT = lambda q, role: _IF(f"NOT go AND ini = '{role}'", _ROW(q, "late", "K", "chr(10) || role || ':' || text"))
+_REROLED = lambda q, role: _IF("NOT go", _ROW(q, "3 + late", "R", f"chr(10) || '{role}:' || text"))
+_PATH = "STRUCT(c BIGINT, s VARCHAR, o VARCHAR)"
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (SELECT *, {crc32(bytes_of("k"))} % 20 AS d FROM raw),
+hurt AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM dealt, range(2) AS t(n) WHERE d <> 0 AND (n = 0 OR d = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM placed),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM seen),
+code AS (SELECT conv_id, i, role, text, left(role, 1) AS ini, fault IN ('blank', 'duplicate') AS go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM faulty),
+path AS (SELECT conv_id, 0::BIGINT AS i, row(0, '', '')::{_PATH} AS e, row(1000000, '', '')::{_PATH} AS s, row(1000000, '', '')::{_PATH} AS u, row(1000000, '', '')::{_PATH} AS a FROM (SELECT DISTINCT conv_id FROM code)
+  UNION ALL SELECT conv_id, i, {_GONE("e")}::{_PATH}, {_LEAST(_GONE("s"), _KEPT("e", "s"))}::{_PATH},
+    {_LEAST(_GONE("u2"), *[f(q, x) for q in ("e", "s", "a2") for f, x in ((_KEPT, "u"), (_REROLED, "user"))])}::{_PATH},
+    {_LEAST(_GONE("a2"), _KEPT("u2", "a"), _REROLED("u2", "assistant"))}::{_PATH}
+  FROM (SELECT p.conv_id, c.i, e, s, c.ini, c.go, c.late, c.role, c.text, {_LEAST("u", _PUT("e", "user"), _PUT("s", "user"), _PUT("a", "user"))}::{_PATH} AS u2, {_LEAST("a", _PUT("u", "assistant"))}::{_PATH} AS a2
+    FROM path p JOIN code c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1) x),
+best AS (SELECT conv_id, {_LEAST("e", "a", _PUT("u", "assistant"))}::{_PATH} AS b FROM path p WHERE NOT EXISTS (SELECT 1 FROM code c WHERE c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1)),
+told AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.s, '') AS audit, sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM raw) r LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY_RULES, "op3_ngram_join": NGRAM_JOIN, "op4_reply_trees": REPLY_TREES, "op5_embedding_dedup": EMBEDDING_DEDUP, "op10_secret_scan": SECRET_SCAN, "op11_conversation_repair": CONVERSATION_REPAIR}

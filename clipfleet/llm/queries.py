@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipfleet.llm import bpe, chat_trees, embedding_dedup, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
+from clipfleet.llm import bpe, chat_trees, conversation_repair, embedding_dedup, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
 from clipfleet.llm.common import scratch_path, stored
 from clipfleet.llm.oracle import ORACLE_SQL
 
@@ -84,5 +84,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "n_examples", "n_owners", "n_repos")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fixed, report, edits = conversation_repair.repair(conversation_repair.damage(turns))
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "letters"))), lambda x: x["letters"]), "")
+    told = report.join(edits.groupBy("key").agg(letters.alias("audit")), "key").join(conversation_repair.digests(fixed), "key", "left")
+    ids = turns.select("conv_id").distinct().withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(told, "key", "left").select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan, op11_conversation_repair)}
