@@ -127,7 +127,8 @@ dealt AS (SELECT *, {crc32(bytes_of("k"))} % 20 AS d FROM raw),
 hurt AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM dealt, range(2) AS t(n) WHERE d <> 0 AND (n = 0 OR d = 3)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM placed),
-faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM seen),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM seen),
 code AS (SELECT conv_id, i, role, text, left(role, 1) AS ini, fault IN ('blank', 'duplicate') AS go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM faulty),
 path AS (SELECT conv_id, 0::BIGINT AS i, row(0, '', '')::{_PATH} AS e, row(1000000, '', '')::{_PATH} AS s, row(1000000, '', '')::{_PATH} AS u, row(1000000, '', '')::{_PATH} AS a FROM (SELECT DISTINCT conv_id FROM code)
   UNION ALL SELECT conv_id, i, {_GONE("e")}::{_PATH}, {_LEAST(_GONE("s"), _KEPT("e", "s"))}::{_PATH},
@@ -142,4 +143,19 @@ SELECT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
 FROM (SELECT DISTINCT conv_id FROM raw) r LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY_RULES, "op3_ngram_join": NGRAM_JOIN, "op4_reply_trees": REPLY_TREES, "op5_embedding_dedup": EMBEDDING_DEDUP, "op10_secret_scan": SECRET_SCAN, "op11_conversation_repair": CONVERSATION_REPAIR}
+IMPORTANCE_RESAMPLING = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x FROM d),
+wanted AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+hashed AS (SELECT x, {crc32(bytes_of("x"))} % 10000 AS b FROM (SELECT x FROM words UNION SELECT x FROM wanted)),
+s AS (SELECT b, count(*)::DOUBLE AS n FROM words JOIN hashed USING (x) GROUP BY b),
+t AS (SELECT b, count(*)::DOUBLE AS n FROM wanted JOIN hashed USING (x) GROUP BY b),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+gain AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1) * (sums.s + 10000) / ((s.n + 1) * (sums.t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b), sums),
+weight AS (SELECT d.r, any_value(d.doc_id) AS doc_id, any_value(len(w)) AS n, coalesce(sum(g), 0)::BIGINT AS weight FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN hashed USING (x) LEFT JOIN gain USING (b) GROUP BY d.r),
+scored AS (SELECT r, doc_id, n, weight, weight + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weight),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER () AS m FROM scored WHERE n >= 20)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN k <= m * 10 // 100 THEN k END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY_RULES, "op3_ngram_join": NGRAM_JOIN, "op4_reply_trees": REPLY_TREES, "op5_embedding_dedup": EMBEDDING_DEDUP, "op10_secret_scan": SECRET_SCAN, "op11_conversation_repair": CONVERSATION_REPAIR, "op12_importance_resampling": IMPORTANCE_RESAMPLING}

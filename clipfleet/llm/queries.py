@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipfleet.llm import bpe, chat_trees, conversation_repair, embedding_dedup, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
+from clipfleet.llm import bpe, chat_trees, conversation_repair, embedding_dedup, importance_resampling, license_scan, mixing, ngram_join, pii, quality_qda, quality_rules, secret_scan, token_files
 from clipfleet.llm.common import scratch_path, stored
 from clipfleet.llm.oracle import ORACLE_SQL
 
@@ -94,5 +94,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(told, "key", "left").select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"], s["last"], s["edits"])), ",")
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"), "base_labels", "labels", "score", spans.alias("spans"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan, op11_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_ngram_join, op4_reply_trees, op5_embedding_dedup, op6_quality_qda, op7_mixing, op8_byte_bpe, op9_personal_data, op10_secret_scan, op11_conversation_repair, op12_importance_resampling, op13_license_scan)}
