@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.functions.dims import FILLERS, STOP_WORDS
 from clipfleet.functions.exprs import normalize_token
-from clipfleet.operators.intervals import BUCKET_MS, join_intervals, over_buckets
+from clipfleet.operators.intervals import BUCKET_MS, join_points, over_buckets
 
 
 def _by_clip():
@@ -140,7 +140,7 @@ def silence_transcript(regions: DataFrame) -> DataFrame:
 
 def active_at(overlays: DataFrame, probes: DataFrame) -> DataFrame:
     """Overlays with start <= t < end for each probe (clip_id, t_ms)."""
-    return join_intervals(probes.withColumn("te", F.col("t_ms")), overlays, "t_ms", "te", "start_ms", "end_ms").filter("t_ms < end_ms").drop("te")
+    return join_points(probes, overlays, "t_ms", "start_ms", "end_ms").filter("t_ms < end_ms")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

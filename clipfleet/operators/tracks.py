@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfleet.functions.exprs import half_even
-from clipfleet.operators.intervals import as_of, join_intervals
+from clipfleet.operators.intervals import as_of, join_points
 
 
 def track_from_detections(boxes: DataFrame, frames: DataFrame, fps: int, width: int, height: int, sample_fps: int = 5) -> DataFrame:
@@ -144,6 +144,6 @@ def subject_occupancy(windows: DataFrame, track: DataFrame, pad: int = 0) -> Dat
     of one window takes all samples."""
     n = F.count("*").over(Window.partitionBy("clip_id"))
     seen, counted = track.filter("conf > 0 AND bx0 IS NOT NULL").select("clip_id", "t_ms", "bx0", "by0", "bx1", "by1"), windows.withColumn("n", n)
-    rows = counted.filter("n = 1").join(seen, "clip_id").unionByName(join_intervals(counted.filter("n > 1"), seen.withColumn("te", F.col("t_ms")), "t_start_ms", "t_end_ms", "t_ms", "te").drop("te"))
+    rows = counted.filter("n = 1").join(seen, "clip_id").unionByName(join_points(seen, counted.filter("n > 1"), "t_ms", "t_start_ms", "t_end_ms"))
     keys = ["clip_id", "k", "t_start_ms", "t_end_ms", "x", "y", "w", "h"]
     return rows.groupBy(*keys).agg(*[(F.median(c) + d * pad).alias(c) for c, d in (("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1))])

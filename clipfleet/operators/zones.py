@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.functions.dims import ANCHORS, DODGE, generic_insets
 from clipfleet.functions.exprs import clamp, half_even
-from clipfleet.operators.intervals import join_intervals
+from clipfleet.operators.intervals import join_intervals, join_points
 
 
 def mask_bands(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,17 +95,47 @@ def main_component(runs: DataFrame, rounds: int = 200) -> DataFrame:
     return labels.join(main, ["mask_id", "lab"]).join(v, ["mask_id", "v"]).select("mask_id", "y", "x0", "x1")
 
 
+def zone_slabs(bands: DataFrame) -> DataFrame:
+    """(zone, sy0, sy1, sx0, sx1): the union of each zone's bands as disjoint rectangles.
+
+    The upper and lower edges of all bands cut a zone into slabs; in each, bands that touch or overlap from left to right
+    become one, by a running maximum. Bands may overlap, nest and repeat.
+    """
+    b = bands.filter("x1 > x0 AND y1 > y0").select("zone", "x0", "x1", "y0", "y1").distinct()
+    edges = b.select("zone", F.explode(F.array("y0", "y1")).alias("y")).distinct()
+    w = Window.partitionBy("zone").orderBy("y")
+    edges = edges.withColumn("k", F.row_number().over(w)).withColumn("to", F.lead("y").over(w))
+    at = lambda y, k: edges.select("zone", F.col("y").alias(y), F.col("k").alias(k))
+    each = b.join(at("y0", "k0"), ["zone", "y0"]).join(at("y1", "k1"), ["zone", "y1"])
+    each = each.select("zone", "x0", "x1", F.explode(F.sequence("k0", F.col("k1") - 1)).alias("k"))
+    row = Window.partitionBy("zone", "k").orderBy("x0", "x1")
+    before = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("opens", F.when(F.col("x0") <= before, 0).otherwise(1)).withColumn("island", F.sum("opens").over(row))
+    found = each.groupBy("zone", "k", "island").agg(F.min("x0").alias("sx0"), F.max("x1").alias("sx1"))
+    return found.join(edges, ["zone", "k"]).select("zone", F.col("y").alias("sy0"), F.col("to").alias("sy1"), "sx0", "sx1")
+
+
+#: Height of the lowest nodes in which rectangles meet bands.
+ROWS = 64
+
+
 def zone_contains(points: DataFrame, bands: DataFrame) -> DataFrame:
-    """Points (zone, x, y) that lie in any band of their zone."""
-    b = bands.select(F.col("zone").alias("z"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    return points.join(b, (points["zone"] == b["z"]) & (points["x"] >= b["bx0"]) & (points["x"] < b["bx1"]) & (points["y"] >= b["by0"]) & (points["y"] < b["by1"]), "left_semi")
+    """Points (zone, x, y) that lie in any band of their zone, once each; bands of a zone may overlap."""
+    slabs = zone_slabs(bands).withColumn("sy1", F.col("sy1") - 1)
+    return join_points(points, slabs, "y", "sy0", "sy1", ("zone",), ROWS).filter("sx0 <= x AND x < sx1").select(*points.columns)
 
 
 def zone_clears(rects: DataFrame, bands: DataFrame, key: list[str]) -> DataFrame:
-    """(key, clear): whether every row of a rectangle (zone, x0, y0, x1, y1) is covered by a band that spans its width."""
-    b = bands.select("zone", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    met = rects.join(b, "zone").filter("bx0 <= x0 AND x1 <= bx1 AND by0 < y1 AND y0 < by1")
-    rows = met.groupBy(*key).agg(F.sum(F.least("y1", "by1") - F.greatest("y0", "by0")).alias("covered"))
+    """(key, clear): whether every row of a rectangle (zone, x0, y0, x1, y1) is covered by a band that spans its width.
+
+    Bands may overlap: the rows that spanning bands cover count once each, by a running maximum from the top.
+    """
+    b = bands.select("zone", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), (F.col("y1") - 1).alias("by1"))
+    met = join_intervals(rects.select(*key, "zone", "x0", "x1", "y0", (F.col("y1") - 1).alias("yl")), b, "y0", "yl", "by0", "by1", ("zone",), ROWS).filter("bx0 <= x0 AND x1 <= bx1")
+    w = Window.partitionBy(*key).orderBy("by0", "by1")
+    seen = F.max("by1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.least("yl", "by1") - F.greatest("y0", "by0", F.coalesce(seen + 1, F.col("by0"))) + 1)
+    rows = met.withColumn("fresh", fresh).groupBy(*key).agg(F.sum("fresh").alias("covered"))
     return rects.join(rows, key, "left").select(*key, (F.coalesce("covered", F.lit(0)) >= F.col("y1") - F.col("y0")).alias("clear"))
 
 

@@ -15,6 +15,10 @@ from clipfleet.plans.q_timeline import three_word_cues
 # the zone of the checks: bands and notch of a 1080 x 1920 frame
 BANDS = [("reels", 35, 250, 1045, 1117), ("reels", 35, 1117, 915, 1470)]
 NOTCHES = [("reels", 915, 1117, 1045, 1470)]
+# zones of the checks: that one, one of overlapping, nested and repeated bands, and one of two islands side by side
+CHECK_BANDS = [*BANDS, ("nested", 0, 100, 700, 900), ("nested", 100, 500, 1000, 1300), ("nested", 150, 600, 300, 700), ("nested", 0, 100, 700, 900), ("nested", 90, 1200, 880, 1500), ("split", 0, 0, 450, 1600), ("split", 500, 200, 1080, 1200), ("split", 450, 1000, 500, 1100)]
+CHECK_NOTCHES = [*NOTCHES, ("nested", 700, 100, 1000, 500), ("split", 440, 0, 520, 90)]
+_ZONE = "CASE clip_id % 3 WHEN 0 THEN 'reels' WHEN 1 THEN 'nested' ELSE 'split' END"
 _NAMES = "zone string, x0 long, y0 long, x1 long, y1 long"
 
 _over = lambda b: f"greatest(0, least(q.x1, {b}.x1) - greatest(q.x0, {b}.x0)) * greatest(0, least(q.y1, {b}.y1) - greatest(q.y0, {b}.y0))"
@@ -26,7 +30,13 @@ STEPS = TIME | {
     "zone_bands": f"SELECT * FROM {dims.values_sql(BANDS, 'zone, x0, y0, x1, y1')}",
     "zone_notches": f"SELECT * FROM {dims.values_sql(NOTCHES, 'zone, x0, y0, x1, y1')}",
     "mask_bands_": "SELECT mask_id, x0, min(y) AS y0, x1, max(y) + 1 AS y1 FROM (SELECT *, sum(o) OVER (PARTITION BY mask_id ORDER BY y) AS island FROM (SELECT *, CASE WHEN x0 = lag(x0) OVER w AND x1 = lag(x1) OVER w THEN 0 ELSE 1 END AS o FROM mask_runs WINDOW w AS (PARTITION BY mask_id ORDER BY y)) a) b GROUP BY mask_id, island, x0, x1",
-    "endangered": f"SELECT e.*, CASE WHEN area <= 0 THEN 0 ELSE 1000000 - CAST(safe AS BIGINT) * 1000000 // area END AS danger_ppm, area > 0 AND notch > 0 AS hits_notch FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area, (SELECT sum({_over('b')}) FROM zone_bands b) AS safe, (SELECT max({_over('n')}) FROM zone_notches n) AS notch FROM qc_elements q) e",
+    "check_bands": f"SELECT * FROM {dims.values_sql(CHECK_BANDS, 'zone, x0, y0, x1, y1')}",
+    "check_notches": f"SELECT * FROM {dims.values_sql(CHECK_NOTCHES, 'zone, x0, y0, x1, y1')}",
+    # the union of the bands, row by row
+    "zone_rows": """SELECT zone, y, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(o) OVER (PARTITION BY zone, y ORDER BY x0, x1) AS island FROM (SELECT zone, y, x0, x1, CASE WHEN x0 <= max(x1) OVER (PARTITION BY zone, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o
+  FROM (SELECT DISTINCT zone, x0, x1, unnest(range(y0, y1)) AS y FROM check_bands) a) b) c GROUP BY zone, y, island""",
+    "safe_rects": f"SELECT zone, q.x0, q.y0, q.x1, q.y1, sum(greatest(0, least(q.x1, r.x1) - greatest(q.x0, r.x0))) AS safe FROM (SELECT *, unnest(range(y0, y1)) AS y FROM (SELECT DISTINCT {_ZONE} AS zone, x0, y0, x1, y1 FROM qc_elements) d) q JOIN zone_rows r USING (zone, y) GROUP BY ALL",
+    "endangered": f"SELECT e.*, CASE WHEN area <= 0 THEN 0 ELSE 1000000 - CAST(coalesce(safe, 0) AS BIGINT) * 1000000 // area END AS danger_ppm, area > 0 AND EXISTS (SELECT 1 FROM check_notches n WHERE n.zone = e.zone AND n.x0 < e.x1 AND e.x0 < n.x1 AND n.y0 < e.y1 AND e.y0 < n.y1) AS hits_notch FROM (SELECT *, {_ZONE} AS zone, (x1 - x0) * (y1 - y0) AS area FROM qc_elements) e LEFT JOIN safe_rects s ON s.zone = e.zone AND s.x0 = e.x0 AND s.y0 = e.y0 AND s.x1 = e.x1 AND s.y1 = e.y1",
     "over_face": _best("face"),
     "over_overlay": _best("overlay"),
     "found": """SELECT clip_id, ord, 'danger-intrusion' AS kind, 'error' AS severity, danger_ppm AS ppm, x0, y0, x1, y1, t_ms, t_end_ms FROM endangered WHERE kind NOT IN ('face', 'overlay') AND danger_ppm > 0
@@ -47,8 +57,13 @@ def bands(t: Tables):
     return t.spark.createDataFrame(BANDS, _NAMES)
 
 
-def notches(t: Tables):
-    return t.spark.createDataFrame(NOTCHES, _NAMES)
+def check_zones(t: Tables):
+    return t.spark.createDataFrame(CHECK_BANDS, _NAMES), t.spark.createDataFrame(CHECK_NOTCHES, _NAMES)
+
+
+def zoned(t: Tables):
+    """The elements, each with the zone of its clip."""
+    return t.qc_elements.withColumn("zone", F.expr(_ZONE))
 
 
 def placed(t: Tables):
@@ -109,18 +124,26 @@ def main_component(t: Tables):
     return Z.main_component(runs.union(one(0, 1, 3)).union(bar).union(one(62, 60, 70)))
 
 
-@query("SELECT clip_id, ord FROM qc_elements e WHERE EXISTS (SELECT 1 FROM zone_bands b WHERE e.x0 >= b.x0 AND e.x0 < b.x1 AND e.y0 >= b.y0 AND e.y0 < b.y1)", STEPS)
+@query(f"SELECT clip_id, ord FROM qc_elements e WHERE EXISTS (SELECT 1 FROM check_bands b WHERE b.zone = {_ZONE} AND e.x0 >= b.x0 AND e.x0 < b.x1 AND e.y0 >= b.y0 AND e.y0 < b.y1)", STEPS)
 def zone_contains(t: Tables):
-    points = t.qc_elements.select("clip_id", "ord", F.lit("reels").alias("zone"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return Z.zone_contains(points, bands(t)).select("clip_id", "ord")
+    points = zoned(t).select("clip_id", "ord", "zone", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return Z.zone_contains(points, check_zones(t)[0]).select("clip_id", "ord")
 
 
-@query("SELECT clip_id, ord, x0, y0, x1, y1, coalesce((SELECT sum(least(e.y1, b.y1) - greatest(e.y0, b.y0)) FROM zone_bands b WHERE b.x0 <= e.x0 AND e.x1 <= b.x1 AND b.y0 < e.y1 AND e.y0 < b.y1), 0) >= y1 - y0 AS clear FROM (SELECT DISTINCT clip_id, ord, x0, y0, x1, y1 FROM qc_elements) e", STEPS)
+@query(f"""SELECT e.*, coalesce(n, 0) >= e.y1 - e.y0 AS clear FROM (SELECT DISTINCT clip_id, ord, x0, y0, x1, y1 FROM qc_elements) e LEFT JOIN (
+  SELECT q.zone, q.x0, q.y0, q.x1, q.y1, count(DISTINCT y) AS n FROM (SELECT *, unnest(range(y0, y1)) AS y FROM (SELECT DISTINCT {_ZONE} AS zone, x0, y0, x1, y1 FROM qc_elements) d) q JOIN check_bands b ON b.zone = q.zone AND b.x0 <= q.x0 AND q.x1 <= b.x1 AND b.y0 <= y AND y < b.y1 GROUP BY ALL) c
+  ON c.zone = {_ZONE} AND c.x0 = e.x0 AND c.y0 = e.y0 AND c.x1 = e.x1 AND c.y1 = e.y1""", STEPS)
 def zone_clears(t: Tables):
     key = ["clip_id", "ord", "x0", "y0", "x1", "y1"]
-    r = t.qc_elements.select(*key, F.lit("reels").alias("zone")).distinct()
-    met = Z.zone_clears(r.withColumn("k", F.concat_ws(":", *key)), bands(t), ["k"])
-    return r.withColumn("k", F.concat_ws(":", *key)).join(met, "k").select(*key, "clear")
+    r = zoned(t).select(*key, "zone").distinct().withColumn("k", F.concat_ws(":", *key))
+    return r.join(Z.zone_clears(r, check_zones(t)[0], ["k"]), "k").select(*key, "clear")
+
+
+@query("SELECT zone, count(*) AS n_rows, CAST(sum(x1 - x0) AS BIGINT) AS area, elements FROM zone_rows JOIN (SELECT " + _ZONE + " AS zone, count(*) AS elements FROM qc_elements GROUP BY ALL) n USING (zone) GROUP BY zone, elements", STEPS)
+def zone_slabs(t: Tables):
+    slabs = Z.zone_slabs(check_zones(t)[0]).withColumn("h", F.col("sy1") - F.col("sy0"))
+    each = slabs.groupBy("zone").agg(F.sum("h").alias("n_rows"), F.sum(F.col("h") * (F.col("sx1") - F.col("sx0"))).alias("area"))
+    return each.join(zoned(t).groupBy("zone").agg(F.count("*").alias("elements")), "zone")
 
 
 _insets = [(a, p, *x[a]) for p, x in (("subject", dims.SUBJECT_INSETS), ("text", dims.TEXT_INSETS)) for a in x]
@@ -199,7 +222,7 @@ def caption_box_avoiding(t: Tables):
 
 @query("SELECT clip_id, ord, kind, CAST(danger_ppm AS BIGINT) AS danger_ppm, hits_notch FROM endangered", STEPS)
 def danger_fraction(t: Tables):
-    return Q.danger(t.qc_elements, bands(t), notches(t)).select("clip_id", "ord", "kind", "danger_ppm", "hits_notch")
+    return Q.danger(zoned(t), *check_zones(t)).select("clip_id", "ord", "kind", "danger_ppm", "hits_notch")
 
 
 @query("SELECT clip_id, ord, over_ord, overlap_ppm FROM over_face", STEPS)
@@ -214,7 +237,7 @@ def caption_over_overlay(t: Tables):
 
 @query("SELECT clip_id, ord, kind, severity, CAST(ppm AS BIGINT) AS ppm FROM found", STEPS)
 def qc_violations(t: Tables):
-    return Q.violations(t.qc_elements, bands(t), notches(t)).select("clip_id", "ord", "kind", "severity", "ppm")
+    return Q.violations(zoned(t), *check_zones(t)).select("clip_id", "ord", "kind", "severity", "ppm")
 
 
 _count = lambda k: f"CAST(count(*) FILTER (WHERE f.kind = '{k}') AS BIGINT) AS {k.replace('-', '_')}"
@@ -223,7 +246,7 @@ _count = lambda k: f"CAST(count(*) FILTER (WHERE f.kind = '{k}') AS BIGINT) AS {
 @query(f"""SELECT e.clip_id, elements_checked, faces_checked, overlays_checked, {', '.join(_count(k) for k in ('danger-intrusion', 'caption-over-face', 'caption-over-overlay', 'face-in-danger'))}, count(*) FILTER (WHERE severity = 'error') = 0 AS passed, count(f.clip_id) = 0 AS clean
 FROM (SELECT clip_id, count(*) FILTER (WHERE kind NOT IN ('face', 'overlay')) AS elements_checked, count(*) FILTER (WHERE kind = 'face') AS faces_checked, count(*) FILTER (WHERE kind = 'overlay') AS overlays_checked FROM qc_elements GROUP BY clip_id) e LEFT JOIN found f ON f.clip_id = e.clip_id GROUP BY ALL""", STEPS)
 def qc_report(t: Tables):
-    return Q.qc_report(Q.violations(t.qc_elements, bands(t), notches(t)), t.qc_elements)
+    return Q.qc_report(Q.violations(zoned(t), *check_zones(t)), t.qc_elements)
 
 
 _told = "concat_ws(':', f.kind, f.ord, f.ppm, x0, y0, x1, y1, coalesce(t_ms, -1), coalesce(t_end_ms, -1))"
@@ -233,7 +256,7 @@ _told = "concat_ws(':', f.kind, f.ord, f.ppm, x0, y0, x1, y1, coalesce(t_ms, -1)
 coalesce(string_agg({_told}, ' ' ORDER BY {_told}) FILTER (WHERE f.clip_id IS NOT NULL), '') AS told, count(f.clip_id) AS n
 FROM (SELECT DISTINCT clip_id FROM qc_elements) e LEFT JOIN found f ON f.clip_id = e.clip_id GROUP BY e.clip_id""", STEPS)
 def qc_documents(t: Tables):
-    docs = Q.qc_documents(Q.violations(t.qc_elements, bands(t), notches(t)), t.qc_elements)
+    docs = Q.qc_documents(Q.violations(zoned(t), *check_zones(t)), t.qc_elements)
     d = F.from_json("doc", "count bigint, violations array<struct<ord:bigint,kind:string,rect:struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>,t:double,t_end:double,ppm:bigint>>")
     ms = lambda x: F.coalesce(F.rint(x * 1000).cast("long"), F.lit(-1))
     told = F.transform(d["violations"], lambda v: F.concat_ws(":", v["kind"], v["ord"], v["ppm"], *[v["rect"][c] for c in ("x0", "y0", "x1", "y1")], ms(v["t"]), ms(v["t_end"])))
