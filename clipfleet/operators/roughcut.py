@@ -150,24 +150,51 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "pos", "norm", "m", (F.col("all") | ~F.col("norm").isin(*STOP_WORDS)).alias("keyword"))
 
 
+def phrase_anchors(q: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, m, norm, pos, before, after): the rarest token of each phrase by counts (norm, n), its place, and the
+    tokens on its sides. Phrases with a token that no word has are left out, as they can't match."""
+    token = F.struct("n", "pos", "norm")
+    all_ = F.array_sort(F.collect_list(F.struct("pos", "norm")))
+    whole = q.join(counts, "norm").groupBy("query_id", "m").agg(F.min(token).alias("a"), all_.alias("all")).filter(F.size("all") == F.col("m"))
+    at = lambda k: F.get("all", (F.col("a.pos") + k).cast("int"))["norm"]
+    return whole.select("query_id", "m", "a.norm", "a.pos", at(-1).alias("before"), at(1).alias("after"))
+
+
+def exact_places(words: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, clip_id, i, j): the first run of each clip that equals a whole phrase of q (query_tokens).
+
+    Words are an index by position: a phrase probes it at its rarest token only, so a hot word is a probe only where a
+    phrase has no rarer one. Places whose neighbours fit too are compared whole.
+    """
+    w = _by_clip()
+    seen = words.select("clip_id", "idx", "norm", F.lag("norm").over(w).alias("prev"), F.lead("norm").over(w).alias("next"))
+    anchors = phrase_anchors(q, words.groupBy("norm").agg(F.count("*").alias("n")))
+    hit = seen.join(anchors, "norm").filter("(before IS NULL OR before = prev) AND (after IS NULL OR after = next)")
+    places = hit.select("query_id", "m", "clip_id", (F.col("idx") - F.col("pos")).alias("i"), F.col("pos").alias("anchor"))
+    # the anchor and its neighbours are known to fit
+    long = places.filter("m > 3 OR (m = 3 AND anchor <> 1)").join(q.select("query_id", "pos", "norm"), "query_id").filter("abs(pos - anchor) > 1")
+    whole = long.withColumn("idx", F.col("i") + F.col("pos")).join(words.select("clip_id", "idx", "norm"), ["clip_id", "idx", "norm"])
+    far = F.greatest(F.lit(0), F.col("anchor") - 1) + F.greatest(F.lit(0), F.col("m") - 2 - F.col("anchor"))
+    fits = whole.groupBy("query_id", "clip_id", "i", "m", "anchor").agg(F.count("*").alias("k")).filter(F.col("k") == far)
+    one = places.filter("m < 3 OR (m = 3 AND anchor = 1)").unionByName(fits.drop("k"))
+    return one.groupBy("query_id", "clip_id").agg(F.min("i").alias("i"), F.max("m").alias("m")).select("query_id", "clip_id", "i", (F.col("i") + F.col("m") - 1).alias("j"))
+
+
 def propose_windows(words: DataFrame, queries: DataFrame, lead_ms: int = 0, tail_ms: int = 0, min_ms: int = 0, gap_ms: int = 600) -> DataFrame:
     """(query_id, clip_id, start_ms, end_ms, exact): the first run equal to the phrase, else the first..last keyword of
     pause-free cluster with the most distinct keywords, padded, clamped and stretched.
 
-    Runs are looked for at places that hold a phrase's first three tokens, and only there compared whole.
+    Runs are probed at each phrase's rarest token; keyword hits are one row for each token of a cluster before they meet
+    the phrases.
     """
     q = query_tokens(queries)
     w = _by_clip()
-    head = lambda k: F.max(F.when(F.col("pos") == k, F.col("norm"))).alias(f"q{k}")
-    heads = q.groupBy("query_id", "m").agg(head(0), head(1), head(2))
-    three = words.select("clip_id", "idx", F.col("norm").alias("q0"), F.lead("norm").over(w).alias("n1"), F.lead("norm", 2).over(w).alias("n2"))
-    places = three.join(heads, "q0").filter("(q1 IS NULL OR q1 = n1) AND (q2 IS NULL OR q2 = n2)").select("query_id", "m", "clip_id", F.col("idx").alias("i"))
-    whole = places.join(q.select("query_id", "pos", "norm"), "query_id").withColumn("idx", F.col("i") + F.col("pos")).join(words.select("clip_id", "idx", "norm"), ["clip_id", "idx", "norm"])
-    exact = whole.groupBy("query_id", "clip_id", "i", "m").agg(F.count("*").alias("k")).filter("k = m").groupBy("query_id", "clip_id").agg(F.min("i").alias("i"), F.max("m").alias("m")).select("query_id", "clip_id", "i", (F.col("i") + F.col("m") - 1).alias("j"))
+    exact = exact_places(words, q)
     opens = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms).cast("long"), F.lit(0))
     clusters = words.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(w))
-    hits = clusters.select("clip_id", "idx", "norm", "cluster").join(q.filter("keyword").select("query_id", "norm").distinct(), "norm")
-    best = hits.groupBy("query_id", "clip_id", "cluster").agg(F.countDistinct("norm").alias("distinct"), F.min("idx").alias("i"), F.max("idx").alias("j"))
+    keywords = q.filter("keyword").select("query_id", "norm").distinct()
+    tokens = clusters.join(keywords.select("norm").distinct(), "norm", "left_semi").groupBy("clip_id", "cluster", "norm").agg(F.min("idx").alias("i"), F.max("idx").alias("j"))
+    best = tokens.join(keywords, "norm").groupBy("query_id", "clip_id", "cluster").agg(F.count("*").alias("distinct"), F.min("i").alias("i"), F.max("j").alias("j"))
     rank = F.row_number().over(Window.partitionBy("query_id", "clip_id").orderBy(F.desc("distinct"), "cluster"))
     fall = best.withColumn("r", rank).filter("r = 1").join(exact, ["query_id", "clip_id"], "left_anti").select("query_id", "clip_id", "i", "j")
     spans = exact.withColumn("exact", F.lit(True)).unionByName(fall.withColumn("exact", F.lit(False)))

@@ -1,13 +1,17 @@
 """Subject tracks and crop windows over time.
 
-Sampling and interpolation are windows; the smoothing recurrences depend on their own clamped values, so they run with
-numpy in one group for each clip and axis.
+Sampling and interpolation are windows. The smoothing recurrences are scans in two levels over chunks of a track: what a
+chunk makes of the value before it is an affine map for means, and for limits a map of rising pieces whose corners are
+few; both chain. Keyframes come from splitting all tracks level by level.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,37 +48,146 @@ def resample_track(track: DataFrame, fps: int = 15) -> DataFrame:
     return met.select("clip_id", "g", F.col("t").alias("t_ms"), lerp("cx", "cx1").alias("cx"), lerp("cy", "cy1").alias("cy"))
 
 
-def smooth(values: np.ndarray, dt: float, limit: float, tau: float = 0.6) -> np.ndarray:
-    """Exponential means forward, then backward; then steps held to +-limit forward, then backward."""
-    keep = float(np.exp(-dt / tau))
-    out = values.astype(float).tolist()
-    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
-        for i in order:
-            j = i - 1 if order.step > 0 else i + 1
-            out[i] = keep * out[j] + (1 - keep) * out[i]
-    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
-        for i in order:
-            j = i - 1 if order.step > 0 else i + 1
-            out[i] = min(max(out[i], out[j] - limit), out[j] + limit)
-    return np.array(out)
-
-
-def simplify(t: np.ndarray, v: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices that keep the line through v(t) within the tolerance, measured upright; ends stay."""
-    keep = np.zeros(len(t), dtype=bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(t) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        line = v[a] + (v[b] - v[a]) * (t[a + 1 : b] - t[a]) / max(t[b] - t[a], 1e-12)
-        gap = np.abs(v[a + 1 : b] - line)
-        k = int(gap.argmax())
-        if gap[k] > tolerance:
-            keep[a + 1 + k] = True
-            todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return np.flatnonzero(keep)
+# --- smoothing: scans in two levels -------------------------------------------------------------
+
+#: Samples of one chunk of a track.
+CHUNK = 512
+
+
+def _means(values: list[float], before: float, keep: float) -> list[float]:
+    """Exponential means of the values after a mean before them."""
+    out = []
+    for x in values:
+        before = keep * before + (1 - keep) * x
+        out.append(before)
+    return out
+
+
+def _held(values: list[float], before: float, limit: float) -> list[float]:
+    """The values, each held to +-limit of the one before it."""
+    out = []
+    for x in values:
+        before = min(max(x, before - limit), before + limit)
+        out.append(before)
+    return out
+
+
+def _means_map(values: list[float], keep: float) -> list[tuple[float, float]]:
+    """What a chunk makes of the mean before it: an affine map, by its values at 0 and 1."""
+    zero = _means(values, 0.0, keep)[-1]
+    return [(0.0, zero), (1.0, zero + keep ** len(values))]
+
+
+def _held_map(values: list[float], limit: float) -> list[tuple[float, float]]:
+    """What a chunk makes of the held value before it: rising pieces of slope 0 or 1, by their corners, with slope 1
+    outside. One value draws what is before it toward itself by the limit; corners that come within the limit of it merge."""
+    at: list[tuple[float, float]] = [(0.0, 0.0)]
+    for x in values:
+        lo, hi = x - limit, x + limit
+        # [a, b] is what comes within the limit of x
+        below, above = [p for p in at if p[1] < lo], [p for p in at if p[1] > hi]
+        up, down = at[len(below) :], at[: len(at) - len(above)]
+        a = up[0][0] - (up[0][1] - lo) if up else at[-1][0] + lo - at[-1][1]
+        b = down[-1][0] + hi - down[-1][1] if down else at[0][0] - (at[0][1] - hi)
+        at = [(v, y + limit) for v, y in below] + [(a, x), (b, x)] + [(v, y - limit) for v, y in above]
+    return at
+
+
+def _mapped(at: list[tuple[float, float]], v: float, affine: bool) -> float:
+    if affine:
+        return at[0][1] + (at[1][1] - at[0][1]) * v
+    if v <= at[0][0]:
+        return at[0][1] - (at[0][0] - v)
+    if v >= at[-1][0]:
+        return at[-1][1] + v - at[-1][0]
+    i = bisect_right([p[0] for p in at], v) - 1
+    (v0, y0), (v1, y1) = at[i], at[i + 1]
+    return y0 if y1 == y0 else min(y1, y0 + v - v0)
+
+
+def _scan(chunks: DataFrame, affine: bool, back: bool, strength: str) -> DataFrame:
+    """chunks (clip_id, axis, c, v, ...) with v run through means (affine) or limits, backward or forward.
+
+    Each chunk's map from what is before it to its last value is found in its own task; the maps of a clip, one small row
+    a chunk, are then chained in order, and each chunk runs again from its own start.
+    """
+    turn = (lambda x: x[::-1]) if back else (lambda x: x)
+    kind = "array<struct<v:double,y:double>>"
+
+    @F.pandas_udf(kind)
+    def mapped(v: pd.Series, by: pd.Series) -> pd.Series:
+        found = [_means_map(turn(list(x)), k) if affine else _held_map(turn(list(x)), k) for x, k in zip(v, by, strict=True)]
+        return pd.Series([[{"v": a, "y": b} for a, b in f] for f in found])
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series, by: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([turn((_means if affine else _held)(turn(list(x)), b, k)) for x, k, b in zip(v, by, before, strict=True)])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, 0.0
+        for b in batches:
+            starts = []
+            for clip, axis, at, first in zip(*(b.column(c).to_pylist() for c in ("clip_id", "axis", "map", "first")), strict=True):
+                if (clip, axis) != key:
+                    key, state = (clip, axis), first
+                starts.append(state)
+                state = _mapped([(p["v"], p["y"]) for p in at], state, affine)
+            yield pa.RecordBatch.from_arrays([b.column("clip_id"), b.column("axis"), b.column("c"), pa.array(starts, pa.float64())], names=["clip_id", "axis", "c", "before"])
+
+    edge = F.element_at("v", -1 if back else 1)
+    maps = chunks.select("clip_id", "axis", "c", mapped("v", strength).alias("map"), edge.alias("first"))
+    maps = maps.repartition("clip_id", "axis").sortWithinPartitions("clip_id", "axis", F.desc("c") if back else F.asc("c"))
+    starts = maps.mapInArrow(chain, "clip_id long, axis string, c long, before double")
+    return chunks.join(starts, ["clip_id", "axis", "c"]).withColumn("v", run("v", strength, "before")).drop("before")
+
+
+def smooth(samples: DataFrame, fps: int = 15, speed: float = 0.12, tau: float = 0.6, chunk: int = CHUNK) -> DataFrame:
+    """samples (clip_id, axis, g, t_ms, raw, side; g counts from 0 in each clip and axis) with `v`: exponential means of
+    raw forward, then backward; then steps held to `speed` sides a second forward, then backward.
+
+    A track is cut into chunks, so a very long one spreads over tasks.
+    """
+    x = F.array_sort(F.collect_list(F.struct("g", "t_ms", "raw")))
+    chunks = samples.groupBy("clip_id", "axis", F.expr(f"g div {chunk}").alias("c")).agg(x.alias("x"), F.max("side").alias("side"))
+    chunks = chunks.withColumn("v", F.col("x.raw")).withColumn("keep", F.exp(F.lit(-1 / fps / tau))).withColumn("limit", F.col("side") * speed / fps)
+    for affine, back in ((True, False), (True, True), (False, False), (False, True)):
+        chunks = _scan(chunks, affine, back, "keep" if affine else "limit")
+    each = chunks.select("clip_id", "axis", F.explode(F.arrays_zip("x", "v")).alias("s"))
+    return each.select("clip_id", "axis", "s.x.g", "s.x.t_ms", "s.x.raw", "s.v")
+
+
+def simplify(points: DataFrame, tolerance: float = 3.0, most: int = 200) -> DataFrame:
+    """points (clip_id, axis, g, t_ms, v, ...) with `key`: those that keep the line through v(t_ms) within the tolerance,
+    measured upright; both ends stay, and of equal distances the first point is kept.
+
+    All open stretches of all tracks are split at once: one grouped maximum a level finds the farthest point of each, one
+    join deals its points to the two sides. As many rounds as the splitting is deep; points of closed stretches leave.
+    More than `most` rounds are an error.
+    """
+    from clipfleet.sources.scratch import rounds, stored
+
+    own = ["clip_id", "axis"]
+    with rounds(points.sparkSession):
+        all_ = stored(points, "points", outlives=True)
+        at = F.struct("g", F.col("t_ms").alias("t"), "v")
+        ends = all_.groupBy(*own).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+        keys = ends.select(*own, F.explode(F.array("a.g", "b.g")).alias("g"))
+        open_ = stored(all_.select(*own, "g", "t_ms", "v").join(ends, own).filter("g > a.g AND g < b.g"), "open")
+        line = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t_ms") - F.col("a.t")) / F.greatest(F.col("b.t") - F.col("a.t"), F.lit(1e-9))
+        for _ in range(most):
+            far = F.max(F.struct(F.abs(F.col("v") - line).alias("d"), (-F.col("g")).alias("late"), at.alias("p")))
+            split = stored(open_.groupBy(*own, F.col("a.g").alias("from")).agg(far.alias("far")).filter(F.col("far.d") > tolerance).select(*own, "from", "far.p"), "split")
+            if split.isEmpty():
+                break
+            keys = keys.union(split.select(*own, "p.g"))
+            met = open_.withColumn("from", F.col("a.g")).join(split, [*own, "from"]).filter("g <> p.g")
+            left = F.col("g") < F.col("p.g")
+            met = met.select(*own, "g", "t_ms", "v", F.when(left, F.col("a")).otherwise(F.col("p")).alias("a"), F.when(left, F.col("p")).otherwise(F.col("b")).alias("b"))
+            open_ = stored(met, "open")
+        else:
+            raise RuntimeError(f"splitting did not end in {most} rounds")
+        keys = stored(keys.distinct().withColumn("key", F.lit(True)), "keys", outlives=True)
+    return all_.join(keys, [*own, "g"], "left").withColumn("key", F.coalesce("key", F.lit(False)))
 
 
 def smooth_tracks(grid: DataFrame, sizes: DataFrame, fps: int = 15, speed: float = 0.12, tolerance: float = 3.0) -> DataFrame:
@@ -83,15 +196,7 @@ def smooth_tracks(grid: DataFrame, sizes: DataFrame, fps: int = 15, speed: float
     sizes: clip_id, src_w, src_h. The step limit is `speed` source sides a second.
     """
     axes = grid.join(sizes, "clip_id").select("clip_id", "g", "t_ms", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("cx").alias("raw"), F.col("src_w").alias("side")), F.struct(F.lit("y").alias("axis"), F.col("cy").alias("raw"), F.col("src_h").alias("side")))).alias("a")).select("clip_id", "g", "t_ms", "a.*")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g").reset_index(drop=True)
-        v = smooth(pdf["raw"].to_numpy(), 1 / fps, speed * float(pdf["side"].iloc[0]) / fps)
-        key = np.zeros(len(v), dtype=bool)
-        key[simplify(pdf["t_ms"].to_numpy(float), v, tolerance)] = True
-        return pdf.assign(v=v, key=key)[["clip_id", "axis", "g", "t_ms", "raw", "v", "key"]]
-
-    return axes.groupBy("clip_id", "axis").applyInPandas(run, "clip_id long, axis string, g long, t_ms double, raw double, v double, key boolean")
+    return simplify(smooth(axes, fps, speed), tolerance).select("clip_id", "axis", "g", "t_ms", "raw", "v", "key")
 
 
 def collapse_windows(windows: DataFrame, both: bool = True) -> DataFrame:

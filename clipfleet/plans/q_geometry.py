@@ -163,20 +163,49 @@ def subject_to_frame(t: Tables):
     return G.subject_to_frame(rows, F.lit(1080), F.lit(1920)).select("clip_id", "k", "ox", "oy", "ow", "oh")
 
 
-@query()
+_pass = lambda name, source, first, step, value: f"""SELECT clip_id, axis, g, v, side FROM {source} WHERE {first} UNION ALL SELECT a.clip_id, a.axis, a.g, {value}, a.side FROM {name} f JOIN {source} a ON a.clip_id = f.clip_id AND a.axis = f.axis AND a.g = f.g {step} 1"""
+_mean, _limited = "exp(CAST(-1 AS DOUBLE) / 15 / CAST(0.6 AS DOUBLE)) * f.v + (1 - exp(CAST(-1 AS DOUBLE) / 15 / CAST(0.6 AS DOUBLE))) * a.v", "least(greatest(a.v, f.v - a.side * CAST(0.12 AS DOUBLE) / 15), f.v + a.side * CAST(0.12 AS DOUBLE) / 15)"
+_last = "(clip_id, axis, g) IN (SELECT (clip_id, axis, max(g)) FROM raw_axes GROUP BY clip_id, axis)"
+
+#: The recurrences row by row, and splitting level by level.
+SMOOTH = STEPS | {
+    "raw_grid": "SELECT g.clip_id, g.g, g.t, CASE WHEN tb IS NULL THEN cx ELSE cx + (cx1 - cx) * (t - ta) / (tb - ta) END AS cx, CASE WHEN tb IS NULL THEN cy ELSE cy + (cy1 - cy) * (t - ta) / (tb - ta) END AS cy FROM grid g JOIN sure s ON s.clip_id = g.clip_id AND ta <= t AND (tb IS NULL OR t < tb)",
+    "raw_axes": "SELECT clip_id, 'x' AS axis, CAST(g AS BIGINT) AS g, CAST(cx AS DOUBLE) AS v, 1920 AS side, t FROM raw_grid UNION ALL SELECT clip_id, 'y', CAST(g AS BIGINT), CAST(cy AS DOUBLE), 1080, t FROM raw_grid",
+    "mean_f": _pass("mean_f", "raw_axes", "g = 0", "+", _mean),
+    "mean_b": _pass("mean_b", "mean_f", _last, "-", _mean),
+    "held_f": _pass("held_f", "mean_b", "g = 0", "+", _limited),
+    "held_b": _pass("held_b", "held_f", _last, "-", _limited),
+    "smoothed": "SELECT h.clip_id, h.axis, h.g, h.v, r.t FROM held_b h JOIN raw_axes r USING (clip_id, axis, g)",
+    "stretches": """SELECT clip_id, axis, CAST(0 AS BIGINT) AS a, max(g) AS b FROM raw_axes GROUP BY clip_id, axis UNION ALL SELECT clip_id, axis, unnest([a, far.g]), unnest([far.g, b]) FROM (
+  SELECT s.clip_id, s.axis, s.a, s.b, max(struct_pack(d := abs(m.v - (p.v + (q.v - p.v) * (m.t - p.t) / greatest(q.t - p.t, 1e-9))), late := -m.g, g := m.g)) AS far FROM stretches s JOIN smoothed p ON p.clip_id = s.clip_id AND p.axis = s.axis AND p.g = s.a JOIN smoothed q ON q.clip_id = s.clip_id AND q.axis = s.axis AND q.g = s.b JOIN smoothed m ON m.clip_id = s.clip_id AND m.axis = s.axis AND m.g > s.a AND m.g < s.b GROUP BY s.clip_id, s.axis, s.a, s.b) z WHERE far.d > 3""",
+    "key_points": "SELECT clip_id, axis, a AS g FROM stretches UNION SELECT clip_id, axis, b FROM stretches",
+}
+
+
+@query("SELECT s.clip_id, s.axis, s.g, CAST(round(v * 1000) AS BIGINT) AS v_milli, k.g IS NOT NULL AS key FROM smoothed s LEFT JOIN key_points k ON k.clip_id = s.clip_id AND k.axis = s.axis AND k.g = s.g", SMOOTH, recursive=True)
 def smooth_tracks(t: Tables):
-    return T.smooth_tracks(T.resample_track(t.subject_track), tracked(t).select("clip_id", "src_w", "src_h"))
+    rows = T.smooth_tracks(T.resample_track(t.subject_track), tracked(t).select("clip_id", "src_w", "src_h"))
+    return rows.select("clip_id", "axis", "g", F.round(F.col("v") * 1000).cast("long").alias("v_milli"), "key")
 
 
 def boxed(t: Tables):
     return tracked(t, 468, 830).withColumn("x", F.lit(726).cast("long")).withColumn("y", F.lit(125).cast("long"))
 
 
-@query()
+def _follow(axes: str, x: str, y: str, same: str) -> str:
+    """The windows of crops that follow, as SQL: places at the keys of the axes, then equal neighbours as one."""
+    return f"""SELECT clip_id, CAST(island - 1 AS BIGINT) AS k, min(t0) AS t_start_ms, max(t1) AS t_end_ms, arg_min(x, k) AS x, arg_min(y, k) AS y, CAST(468 AS BIGINT) AS w, CAST(830 AS BIGINT) AS h FROM (
+  SELECT *, sum(CASE WHEN {same} THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY k) AS island FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (
+    SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY g) AS k, t0, coalesce(lead(t0) OVER (PARTITION BY clip_id ORDER BY g), t0) AS t1, greatest(0, least({_int(x)}, 1920 - 468)) AS x, greatest(0, least({_int(y)}, 1080 - 830)) AS y
+    FROM (SELECT a.clip_id, a.g, {_int('a.t')} AS t0, a.v AS vx, b.v AS vy, c.cx AS mx, c.cy AS my FROM smoothed a JOIN smoothed b ON b.clip_id = a.clip_id AND b.g = a.g AND b.axis = 'y' JOIN centres c ON c.clip_id = a.clip_id
+      WHERE a.axis = 'x' AND n_confident > 1 AND EXISTS (SELECT 1 FROM key_points k WHERE k.clip_id = a.clip_id AND k.g = a.g AND k.axis IN ({axes}))) p) q WINDOW w AS (PARTITION BY clip_id ORDER BY k)) r) s GROUP BY clip_id, island"""
+
+
+@query(_follow("'x'", "vx - 468 / 2.0", "125", "x = px"), SMOOTH, recursive=True)
 def follow_crop(t: Tables):
     return T.follow_crop(t.subject_track, boxed(t))
 
 
-@query()
+@query(_follow("'x', 'y'", "726 + vx - mx", "125 + vy - my", "x = px AND y = py"), SMOOTH, recursive=True)
 def follow_crop_locked(t: Tables):
     return T.follow_crop(t.subject_track, boxed(t), "both")

@@ -116,15 +116,6 @@ def test_crop_and_targets(spark):
     assert got == {1: ("exact-fit", 594, 1056), 2: ("exact-fit", 558, 992)}
 
 
-def test_smoothing_is_bounded():
-    rng = np.random.default_rng(1)
-    v = tracks.smooth(rng.uniform(0, 1920, 200), 1 / 15, 15.36)
-    assert np.abs(np.diff(v)).max() <= 15.36 + 1e-9
-    t = np.arange(200.0)
-    keep = tracks.simplify(t, v, 3.0)
-    assert keep[0] == 0 and keep[-1] == 199 and np.abs(np.interp(t, t[keep], v[keep]) - v).max() <= 3.0 + 1e-9
-
-
 def test_follow_crop_stays_inside(spark, sf_dir):
     from clipfleet.plans.base import Tables
     from clipfleet.plans.q_geometry import boxed

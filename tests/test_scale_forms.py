@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 
-from clipfleet.operators import intervals, qc, timeline, zones
+from clipfleet.operators import intervals, qc, roughcut, timeline, tracks, zones
 
 
 def test_intervals_of_any_length_meet_once(spark):
@@ -66,3 +67,66 @@ def test_zones_of_overlapping_bands(spark, seed):
         hit = any(q == z and max(x0, a) < min(x1, c) and max(y0, d) < min(y1, f) for q, a, d, c, f in notches)
         assert told[k] == ((1_000_000 - len(own & cells[z]) * 1_000_000 // len(own), hit) if own else (0, False))
         assert clear[k] == all(any(q == z and b0 <= y < b1 and a0 <= x0 and x1 <= a1 for q, a0, b0, a1, b1 in bands) for y in range(y0, y1))
+
+
+def plain_smooth(values, keep, limit):
+    out = [float(x) for x in values]
+    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
+        for i in order:
+            j = i - order.step
+            out[i] = keep * out[j] + (1 - keep) * out[i]
+    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
+        for i in order:
+            j = i - order.step
+            out[i] = min(max(out[i], out[j] - limit), out[j] + limit)
+    return out
+
+
+def plain_keys(t, v, tolerance):
+    keep, todo = {0, len(t) - 1}, [(0, len(t) - 1)]
+    while todo:
+        a, b = todo.pop()
+        gaps = [(abs(v[i] - (v[a] + (v[b] - v[a]) * (t[i] - t[a]) / (t[b] - t[a]))), -i) for i in range(a + 1, b)]
+        if gaps and max(gaps)[0] > tolerance:
+            k = -max(gaps)[1]
+            keep.add(k)
+            todo += [(a, k), (k, b)]
+    return keep
+
+
+@pytest.mark.parametrize("chunk", [7, 64])
+def test_tracks_are_smoothed_and_split_alike_in_chunks(spark, chunk):
+    rng, rows, want = random.Random(chunk), [], {}
+    for clip, n in enumerate((1, 2, 7, 300, 90)):
+        for axis in "xy":
+            at, raw = 500.0, []
+            for _ in range(n):
+                at = rng.choice([at, at + rng.uniform(-30, 30), rng.uniform(0, 1920)])
+                raw.append(at)
+            rows += [(clip, axis, g, g * 1000 / 15, x, 1920) for g, x in enumerate(raw)]
+            v = plain_smooth(raw, math.exp(-1 / 15 / 0.6), 0.12 * 1920 / 15)
+            want[clip, axis] = v, plain_keys([g * 1000 / 15 for g in range(n)], v, 3.0)
+    df = spark.createDataFrame(rows, "clip_id long, axis string, g long, t_ms double, raw double, side long")
+    got = {}
+    for r in tracks.simplify(tracks.smooth(df, chunk=chunk)).orderBy("g").collect():
+        got.setdefault((r.clip_id, r.axis), []).append((r.v, r.key))
+    for k, (v, keys) in want.items():
+        assert [x for x, _ in got[k]] == pytest.approx(v, abs=1e-9)
+        assert {i for i, (_, key) in enumerate(got[k]) if key} == keys
+        steps = [abs(b - a) for a, b in zip(v, v[1:], strict=False)]
+        assert max(steps, default=0) <= 15.36 + 1e-9
+
+
+def test_phrases_are_found_from_their_rarest_token(spark):
+    w = spark.createDataFrame([(c, k, x) for c, text in enumerate(["a b c d e b c d a b x c d e", "e d c b a"]) for k, x in enumerate(text.split())], "clip_id long, idx long, norm string")
+    phrases = ["a b c d e", "b c d", "c d", "e", "a b", "d e b c", "zz a", "b x c d e", "c d a", ""]
+    q = roughcut.query_tokens(spark.createDataFrame(list(enumerate(phrases)), "query_id long, phrase string"))
+    got = sorted(map(tuple, roughcut.exact_places(w, q).collect()))
+    want = []
+    for n, p in enumerate(phrases):
+        for c, text in enumerate(["a b c d e b c d a b x c d e", "e d c b a"]):
+            t, m = text.split(), len(p.split())
+            i = next((i for i in range(len(t) - m + 1) if m and t[i : i + m] == p.split()), None)
+            if i is not None:
+                want.append((n, c, i, i + m - 1))
+    assert got == sorted(want)
