@@ -41,14 +41,21 @@ def keep_runs(labelled: DataFrame, gap_ms: int = 600) -> DataFrame:
     return runs.select("clip_id", n.alias("n"), "start_ms", "end_ms")
 
 
-def pad_runs(runs: DataFrame, durations: DataFrame, lead_ms: int = 60, tail_ms: int = 150) -> DataFrame:
-    """(clip_id, n, a_ms, b_ms): runs widened, but not over the bare edges of their neighbours."""
+def pad_runs(runs: DataFrame, durations: DataFrame, lead_ms: int = 60, tail_ms: int = 150, strict: bool = False) -> DataFrame:
+    """(clip_id, n, a_ms, b_ms): runs widened, but not over the bare edges of their neighbours. Where two pads meet in
+    the gap between runs they overlap, unless strict, which parts such a gap in the middle."""
     w = Window.partitionBy("clip_id").orderBy("n")
     last = F.max("end_ms").over(Window.partitionBy("clip_id"))
     rows = runs.join(durations, "clip_id").withColumn("duration_ms", F.greatest("duration_ms", last))
     a = F.greatest(F.col("start_ms") - lead_ms, F.coalesce(F.lag("end_ms").over(w), F.lit(0)), F.lit(0))
     b = F.least(F.col("end_ms") + tail_ms, F.coalesce(F.lead("start_ms").over(w), F.col("duration_ms")), F.col("duration_ms"))
-    return rows.select("clip_id", "n", a.alias("a_ms"), b.alias("b_ms"), "duration_ms").withColumn("b_ms", F.greatest("a_ms", "b_ms"))
+    rows = rows.withColumn("a_ms", a).withColumn("b_ms", F.greatest("a_ms", b))
+    if strict:
+        middle = lambda end, start: F.floor((end + start) / 2).cast("long")
+        left = F.when(F.lag("b_ms").over(w) > F.col("a_ms"), middle(F.lag("end_ms").over(w), F.col("start_ms")))
+        right = F.when(F.lead("a_ms").over(w) < F.col("b_ms"), middle(F.col("end_ms"), F.lead("start_ms").over(w)))
+        rows = rows.withColumn("l", left).withColumn("r", right).withColumn("a_ms", F.coalesce("l", "a_ms")).withColumn("b_ms", F.coalesce("r", "b_ms"))
+    return rows.select("clip_id", "n", "a_ms", "b_ms", "duration_ms")
 
 
 def cut_pieces(pads: DataFrame, durations: DataFrame) -> DataFrame:
@@ -81,12 +88,16 @@ def drop_reasons(segments: DataFrame, labelled: DataFrame) -> DataFrame:
     return segments.join(rank, ["clip_id", "i"], "left").withColumn("reason", reason).drop("rank")
 
 
-def rough_cut(words: DataFrame, durations: DataFrame, trim: bool = True, gap_ms: int = 600, lead_ms: int = 60, tail_ms: int = 150) -> DataFrame:
-    """(clip_id, i, start_ms, end_ms, keep, reason, text) of every clip; without trimming each clip is one keep."""
+def decisions(words: DataFrame, durations: DataFrame, trim: bool = True, gap_ms: int = 600, lead_ms: int = 60, tail_ms: int = 150, strict: bool = False) -> DataFrame:
+    """(clip_id, i, start_ms, end_ms, keep, reason) of every clip; without trimming each clip is one keep."""
     labelled = label_words(words)
     runs = keep_runs(labelled, gap_ms).filter(F.lit(trim))
-    segments = cut_pieces(pad_runs(runs, durations, lead_ms, tail_ms), durations)
-    return segment_text(drop_reasons(segments, labelled), words)
+    return drop_reasons(cut_pieces(pad_runs(runs, durations, lead_ms, tail_ms, strict), durations), labelled)
+
+
+def rough_cut(words: DataFrame, durations: DataFrame, trim: bool = True, gap_ms: int = 600, lead_ms: int = 60, tail_ms: int = 150, strict: bool = False) -> DataFrame:
+    """(clip_id, i, start_ms, end_ms, keep, reason, text): decisions with the words that they hold."""
+    return segment_text(decisions(words, durations, trim, gap_ms, lead_ms, tail_ms, strict), words)
 
 
 def overlap_flags(segments: DataFrame) -> DataFrame:
@@ -133,9 +144,10 @@ def speech_regions(silences: DataFrame, durations: DataFrame, min_ms: int = 1) -
 
 
 def silence_transcript(regions: DataFrame) -> DataFrame:
-    """Marker words `[speech n]`, one for each region, that the rough cut takes like a transcript."""
+    """Marker words `[speech n]`, one for each region, that the rough cut takes like a transcript; their language is
+    `und`."""
     word = F.concat(F.lit("[speech "), F.col("n").cast("string"), F.lit("]"))
-    return regions.select("clip_id", (F.col("n") - 1).alias("idx"), word.alias("word"), "start_ms", "end_ms", normalize_token(word).alias("norm"))
+    return regions.select("clip_id", (F.col("n") - 1).alias("idx"), word.alias("word"), "start_ms", "end_ms", normalize_token(word).alias("norm"), F.lit("und").alias("language"))
 
 
 def active_at(overlays: DataFrame, probes: DataFrame) -> DataFrame:

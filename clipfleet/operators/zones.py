@@ -5,6 +5,7 @@ Zones are small dimensions next to clips, so caption boxes and zones may be broa
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,40 +60,114 @@ def band_ring(bands: DataFrame, key: str = "mask_id") -> DataFrame:
     return pts.select(key, (F.row_number().over(w.orderBy("at")) - 1).cast("long").alias("pos"), "x", "y")
 
 
-def main_component(runs: DataFrame, rounds: int = 200) -> DataFrame:
-    """The runs (mask_id, y, x0, x1) connected by sides with the one that holds the mask's middle pixel: of the safe
-    row in the middle of all safe rows, the middle pixel by count.
+#: Rows of a strip, and strips that one round merges.
+STRIP, FAN = 256, 8
+
+
+class _Sets:
+    """Disjoint sets over numbers, each named by its least member."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        top = x
+        while self.up.get(top, top) != top:
+            top = self.up[top]
+        while self.up.get(x, x) != top:
+            self.up[x], x = top, self.up[x]
+        return top
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def _label_rows(rows: list[tuple[int, int, int, int]], sets: _Sets) -> None:
+    """Joins the labels of runs (y, x0, x1, label) of neighbouring rows that overlap; rows come by y, then x0."""
+    above: list[tuple[int, int, int, int]] = []
+    row: list[tuple[int, int, int, int]] = []
+    for r in [*rows, (None, 0, 0, 0)]:
+        if row and r[0] != row[0][0]:
+            if above and above[0][0] + 1 == row[0][0]:
+                i = 0
+                for _, x0, x1, label in row:
+                    while i < len(above) and above[i][2] <= x0:
+                        i += 1
+                    k = i
+                    while k < len(above) and above[k][1] < x1:
+                        sets.join(above[k][3], label)
+                        k += 1
+            above, row = row, []
+        row.append(r)
 
-    Runs are vertices; runs of neighbouring rows that overlap are edges. The smallest label spreads until nothing
-    changes, by edges and by jumps to the label's own label; each round is written to the shared folder. More than `rounds`
-    of them are an error.
+
+def _strip_labels(y: list[int], x0: list[int], x1: list[int], label: list[int]) -> list[int]:
+    order = sorted(range(len(y)), key=lambda i: (y[i], x0[i]))
+    sets = _Sets()
+    _label_rows([(y[i], x0[i], x1[i], label[i]) for i in order], sets)
+    return [sets.root(v) for v in label]
+
+
+def component_labels(runs: DataFrame, strip: int = STRIP, fan: int = FAN, most_rounds: int = 40) -> DataFrame:
+    """runs (mask_id, y, x0, x1) with `lab`, equal for runs that hang together by sides and of no meaning else.
+
+    Rows are cut into strips, each labelled by disjoint sets in its own task. Then only runs of the strips' first and last
+    rows matter: each round merges `fan` neighbouring strips by them, until one strip is left, so the rounds are the
+    logarithm of the number of strips whatever a component's shape. What a round learns is a map from labels to labels;
+    the maps are applied to the runs round by round.
     """
-    from clipfleet.sources.scratch import stored
-
-    v = stored(runs.withColumn("v", F.struct("y", "x0")), "runs")
-    a, b = v.alias("a"), v.alias("b")
-    edges = a.join(b, (F.col("a.mask_id") == F.col("b.mask_id")) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))).select("a.mask_id", F.col("a.v").alias("s"), F.col("b.v").alias("d"))
-    edges = stored(edges.union(edges.select("mask_id", "d", "s")), "edges")
-    labels = stored(v.select("mask_id", "v", F.col("v").alias("lab")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.select("mask_id", F.col("v").alias("d"), "lab"), ["mask_id", "d"]).groupBy("mask_id", F.col("s").alias("v")).agg(F.min("lab").alias("low"))
-        new = labels.join(near, ["mask_id", "v"], "left").select("mask_id", "v", F.least("lab", F.coalesce("low", "lab")).alias("lab"), F.col("lab").alias("old"))
-        jump = labels.select("mask_id", F.col("v").alias("lab"), F.col("lab").alias("far"))
-        new = stored(new.join(jump, ["mask_id", "lab"]).select("mask_id", "v", F.least("lab", "far").alias("lab"), "old"), "labels")
-        moved = new.agg(F.count_if(F.col("lab") != F.col("old"))).first()[0]
-        labels = new.select("mask_id", "v", "lab")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    rows = v.withColumn("len", F.col("x1") - F.col("x0"))
+    from clipfleet.sources.scratch import rounds, stored
+
+    by_mask = Window.partitionBy("mask_id", "s").orderBy("y", "x0")
+    kind = "array<bigint>"
+
+    @F.pandas_udf(kind)
+    def merged(y: pd.Series, x0: pd.Series, x1: pd.Series, label: pd.Series) -> pd.Series:
+        return pd.Series([_strip_labels(*(list(map(int, c)) for c in row)) for row in zip(y, x0, x1, label, strict=True)])
+
+    def one(rows: DataFrame) -> DataFrame:
+        """Each strip's runs as one row of arrays, with the labels that they get."""
+        x = F.collect_list(F.struct("y", "x0", "x1", "lab"))
+        g = rows.groupBy("mask_id", "s").agg(x.alias("x"))
+        return g.select("mask_id", "s", F.arrays_zip("x", merged("x.y", "x.x0", "x.x1", "x.lab").alias("new")).alias("z"))
+
+    with rounds(runs.sparkSession):
+        cut = runs.select("mask_id", "y", "x0", "x1", F.floor(F.col("y") / strip).cast("long").alias("s"))
+        # labels are numbers of a mask: the strip, then the run's place in it
+        cut = cut.withColumn("lab", F.col("s") * (1 << 32) + F.row_number().over(by_mask))
+        cut = one(cut).select("mask_id", "s", F.explode("z").alias("z")).select("mask_id", "s", "z.x.y", "z.x.x0", "z.x.x1", F.col("z.new").alias("lab"))
+        now = stored(cut, "strips")
+        edge = (F.pmod("y", F.lit(strip)) == 0) | (F.pmod("y", F.lit(strip)) == strip - 1)
+        border, maps = now.filter(edge), []
+        for _ in range(most_rounds):
+            width = border.groupBy("mask_id").agg((F.max("s") - F.min("s")).alias("n")).agg(F.max("n")).first()[0]
+            if not width:
+                break
+            strip *= fan
+            found = one(border.withColumn("s", F.floor(F.col("s") / fan)))
+            found = stored(found.select("mask_id", "s", F.explode("z").alias("z")).select("mask_id", "s", "z.x.y", "z.x.x0", "z.x.x1", F.col("z.x.lab").alias("old"), F.col("z.new").alias("lab")), "merged")
+            maps.append(found.groupBy("mask_id", "old").agg(F.min("lab").alias("new")))
+            edge = (F.pmod("y", F.lit(strip)) == 0) | (F.pmod("y", F.lit(strip)) == strip - 1)
+            border = found.filter(edge).drop("old")
+        else:
+            raise RuntimeError(f"strips did not merge in {most_rounds} rounds")
+        out = now.drop("s")
+        for m in maps:
+            out = out.join(m.withColumnRenamed("old", "lab"), ["mask_id", "lab"], "left").withColumn("lab", F.coalesce("new", "lab")).drop("new")
+        return stored(out.select("mask_id", "y", "x0", "x1", "lab"), "labels", outlives=True)
+
+
+def main_component(runs: DataFrame, strip: int = STRIP) -> DataFrame:
+    """The runs (mask_id, y, x0, x1) connected by sides with the one that holds the mask's middle pixel: of the safe
+    row in the middle of all safe rows, the middle pixel by count. Equal runs count once."""
+    rows = component_labels(runs.select("mask_id", "y", "x0", "x1").distinct(), strip).withColumn("len", F.col("x1") - F.col("x0"))
     w = Window.partitionBy("mask_id")
     middle = rows.select("mask_id", "y").distinct().withColumn("k", F.row_number().over(w.orderBy("y")) - 1).withColumn("c", F.count("*").over(w)).filter(F.col("k") == F.floor(F.col("c") / 2)).select("mask_id", "y")
     inside = rows.join(middle, ["mask_id", "y"])
     before = F.sum("len").over(w.orderBy("x0")) - F.col("len")
-    seed = inside.withColumn("before", before).withColumn("half", F.floor(F.sum("len").over(w) / 2)).filter("before <= half AND half < before + len").select("mask_id", "v")
-    main = labels.join(seed, ["mask_id", "v"]).select("mask_id", "lab")
-    return labels.join(main, ["mask_id", "lab"]).join(v, ["mask_id", "v"]).select("mask_id", "y", "x0", "x1")
+    seed = inside.withColumn("before", before).withColumn("half", F.floor(F.sum("len").over(w) / 2)).filter("before <= half AND half < before + len").select("mask_id", "lab")
+    return rows.join(seed, ["mask_id", "lab"]).select("mask_id", "y", "x0", "x1")
 
 
 def zone_slabs(bands: DataFrame) -> DataFrame:
@@ -222,16 +297,23 @@ def avoid_rects(cues: DataFrame, windows: DataFrame) -> DataFrame:
     return join_intervals(cues.select("clip_id", "i", "start_ms", "end_ms"), w, "start_ms", "end_ms", "ws", "we").filter(F.least("end_ms", "we") > F.greatest("start_ms", "ws")).select("clip_id", "i", "rx", "ry", "rw", "rh")
 
 
-def boxes_avoiding(cues: DataFrame, rects: DataFrame, boxes: DataFrame, position: str = "lower-third") -> DataFrame:
+def boxes_avoiding(cues: DataFrame, rects: DataFrame, boxes: DataFrame, position: str = "lower-third", hints: DataFrame | None = None) -> DataFrame:
     """(clip_id, i, position, x, y, w, h): the first box in order of preference that no rectangle hits; if all are hit,
-    the one asked for. boxes: the anchors of one zone (three rows)."""
-    order = F.map_from_arrays(F.array(*map(F.lit, DODGE[position])), F.array(*map(F.lit, range(3))))
-    b = F.broadcast(boxes.withColumn("pref", F.element_at(order, F.col("position"))))
-    hit = rects.join(b, (F.col("x") < F.col("rx") + F.col("rw")) & (F.col("rx") < F.col("x") + F.col("w")) & (F.col("y") < F.col("ry") + F.col("rh")) & (F.col("ry") < F.col("y") + F.col("h"))).select("clip_id", "i", "pref").distinct()
-    pick = hit.groupBy("clip_id", "i").agg(F.collect_set("pref").alias("hit"))
-    free = F.array_min(F.array_except(F.array(F.lit(0), F.lit(1), F.lit(2)), F.coalesce("hit", F.array().cast("array<int>"))))
-    chosen = cues.join(pick, ["clip_id", "i"], "left").select("clip_id", "i", F.coalesce(free, F.lit(0)).alias("pref"))
-    return chosen.join(b, "pref").select("clip_id", "i", "position", "x", "y", "w", "h")
+    the one asked for. boxes: the anchors of one zone. hints (clip_id, caption_position): the anchor asked for in clips
+    that have one, in place of `position`; unknown anchors count as `position`.
+    """
+    order = F.create_map(*[F.lit(x) for asked, row in DODGE.items() for k, p in enumerate(row) for x in (f"{asked}:{p}", k)])
+    asked = F.lit(position)
+    rows = cues.select("clip_id", "i")
+    if hints is not None:
+        known = hints.filter(F.col("caption_position").isin(*DODGE)).groupBy("clip_id").agg(F.min("caption_position").alias("asked"))
+        rows, asked = rows.join(known, "clip_id", "left").withColumn("asked", F.coalesce("asked", asked)), F.col("asked")
+    else:
+        rows = rows.withColumn("asked", asked)
+    each = rows.crossJoin(boxes.filter(F.col("position").isin(*DODGE[position]))).withColumn("pref", F.element_at(order, F.concat("asked", F.lit(":"), "position")))  # three boxes a cue
+    hit = rects.join(boxes, (F.col("x") < F.col("rx") + F.col("rw")) & (F.col("rx") < F.col("x") + F.col("w")) & (F.col("y") < F.col("ry") + F.col("rh")) & (F.col("ry") < F.col("y") + F.col("h"))).groupBy("clip_id", "i").agg(F.collect_set("position").alias("hit"))
+    chosen = F.min_by(F.struct("position", "x", "y", "w", "h"), F.struct(F.coalesce(F.array_contains("hit", F.col("position")), F.lit(False)), "pref"))
+    return each.join(hit, ["clip_id", "i"], "left").groupBy("clip_id", "i").agg(chosen.alias("b")).select("clip_id", "i", "b.*")
 
 
 def overlap_area(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:

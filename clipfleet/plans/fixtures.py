@@ -76,6 +76,8 @@ _DUCK = {
     "window_queries": "SELECT item_id AS query_id, text AS phrase FROM benchmark",
     "mask_runs": "SELECT CAST(s_suppkey AS BIGINT) AS mask_id, CAST(y AS BIGINT) AS y, CAST(4 + s_suppkey % 3 * 2 AS BIGINT) AS x0, CAST(CASE WHEN y >= 40 THEN 45 - s_suppkey % 5 ELSE 60 END AS BIGINT) AS x1 FROM supplier, unnest(range(2, 62)) t(y)",
 }
+#: Steps that several others read: computed once, so that no join order multiplies their work.
+_SHARED = {"words", "labelled", "pieces", "clusters", "q_tokens", "starts", "exacts", "cluster_hits", "spans_", "smoothed", "safe_rects", "zone_rows"}
 _ORDER = ["words", "durations", "g", "silence_log", "clips", "subject_track", "detections", "qc_elements", "overlays", "target_history", "style_layers", "pages_parsed", "window_queries", "mask_runs"]
 
 
@@ -99,4 +101,5 @@ def with_sql(body: str, steps: dict[str, str] | None = None, recursive: bool = F
             if n not in need and re.search(rf"\b{n}\b", text) and all_steps[n] is not text:
                 need.add(n)
                 todo.append(all_steps[n])
-    return (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS ({all_steps[n]})" for n in all_steps if n in need) + "\n" if need else "") + body
+    once = lambda n: "MATERIALIZED " * (n in _SHARED)
+    return (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{n} AS {once(n)}({all_steps[n]})" for n in all_steps if n in need) + "\n" if need else "") + body

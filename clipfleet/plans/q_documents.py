@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.operators import config as K
 from clipfleet.plans.base import Tables, query
-from clipfleet.plans.q_layout import STEPS, Z, placed
+from clipfleet.plans.q_layout import STEPS, Z, bands, placed
 from clipfleet.plans.q_roughcut import R
 from clipfleet.plans.q_timeline import three_word_cues
 from clipfleet.sources import documents as D
@@ -36,20 +36,44 @@ def subject_track_round_trip(t: Tables):
     return D.read_subject_tracks(D.write_subject_tracks(t.subject_track))
 
 
-@query("SELECT clip_id, CASE WHEN clip_id % 2 = 0 THEN 'subject' ELSE 'overlay' END AS origin, CAST(round_even(px * 720 / 1080.0, 0) AS BIGINT) AS rx, CAST(round_even(py * 1280 / 1920.0, 0) AS BIGINT) AS ry, CAST(round_even(pw * 720 / 1080.0, 0) AS BIGINT) AS rw, CAST(round_even(ph * 1280 / 1920.0, 0) AS BIGINT) AS rh, start_ms, end_ms FROM placed", STEPS)
-def read_occupancy(t: Tables):
+@query("SELECT clip_id, lang AS language FROM (SELECT DISTINCT clip_id FROM words) w JOIN documents d ON d.doc_id = w.clip_id")
+def read_transcript_languages(t: Tables):
+    return D.read_transcript_languages(D.write_word_transcripts(t.words, t.documents.select(F.col("doc_id").alias("clip_id"), F.col("lang").alias("language"))))
+
+
+_HINT = "CASE clip_id % 4 WHEN 0 THEN 'upper-third' WHEN 1 THEN 'center' WHEN 2 THEN 'elsewhere' END"
+
+
+def occupancy(t: Tables):
+    """Occupancy documents of both flavours, in a frame of 1080 x 1920; some hint at an anchor."""
     p = placed(t).select("clip_id", F.col("px").alias("rx"), F.col("py").alias("ry"), F.col("pw").alias("rw"), F.col("ph").alias("rh"), "start_ms", "end_ms")
-    docs = D.write_occupancy(p.filter("clip_id % 2 = 0"), 1080, 1920).union(D.write_occupancy(p.filter("clip_id % 2 = 1"), 1080, 1920, "items"))
-    return D.read_occupancy(docs, 720, 1280).drop("caption_position")
+    hints = p.select("clip_id").distinct().withColumn("caption_position", F.expr(_HINT))
+    return D.write_occupancy(p.filter("clip_id % 2 = 0"), 1080, 1920, hints=hints).union(D.write_occupancy(p.filter("clip_id % 2 = 1"), 1080, 1920, "items", hints))
+
+
+@query(f"SELECT clip_id, CASE WHEN clip_id % 2 = 0 THEN 'subject' ELSE 'overlay' END AS origin, CAST(round_even(px * 720 / 1080.0, 0) AS BIGINT) AS rx, CAST(round_even(py * 1280 / 1920.0, 0) AS BIGINT) AS ry, CAST(round_even(pw * 720 / 1080.0, 0) AS BIGINT) AS rw, CAST(round_even(ph * 1280 / 1920.0, 0) AS BIGINT) AS rh, start_ms, end_ms, {_HINT} AS caption_position FROM placed", STEPS)
+def read_occupancy(t: Tables):
+    return D.read_occupancy(occupancy(t), 720, 1280)
+
+
+# the anchor that a clip's document hints at is asked for first
+@query(f"""SELECT clip_id, i, b.position, b.x, b.y, b.w, b.h FROM (SELECT clip_id, i, arg_min(position, (CASE WHEN hit THEN 10 ELSE 0 END) + p) AS position FROM (
+  SELECT q.clip_id, q.i, b.position, list_position(CASE coalesce(CASE WHEN q.clip_id IN (SELECT clip_id FROM overlays) THEN {_HINT.replace("clip_id", "q.clip_id")} END, '') WHEN 'upper-third' THEN ['upper-third', 'lower-third', 'center'] WHEN 'center' THEN ['center', 'upper-third', 'lower-third'] ELSE ['lower-third', 'upper-third', 'center'] END, b.position) AS p,
+    EXISTS (SELECT 1 FROM cue_rects r WHERE r.clip_id = q.clip_id AND r.i = q.i AND b.x < r.px + r.pw AND r.px < b.x + b.w AND b.y < r.py + r.ph AND r.py < b.y + b.h) AS hit
+  FROM cues q, cap_boxes b) c GROUP BY clip_id, i) chosen JOIN cap_boxes b USING (position)""", STEPS)
+def caption_box_hinted(t: Tables):
+    docs = occupancy(t)
+    cues = three_word_cues(t)
+    return Z.boxes_avoiding(cues, Z.avoid_rects(cues, D.read_occupancy(docs, 1080, 1920)), Z.caption_boxes(bands(t)).drop("zone"), hints=D.read_caption_hints(docs))
 
 
-@query("SELECT clip_id, i, start_ms, end_ms, keep, reason FROM segments", STEPS)
+@query("SELECT clip_id, i, start_ms, end_ms, keep, reason FROM reasoned", STEPS)
 def decision_round_trip(t: Tables):
     docs = D.pack_segments(R.rough_cut(t.words, t.durations))
     return D.unpack_decisions(docs, "i bigint, start_ms bigint, end_ms bigint, keep boolean, reason string", {"keep": True, "reason": ""})
 
 
-@query("SELECT clip_id, CAST(coalesce(sum(CASE WHEN keep THEN end_ms - start_ms END), 0) AS BIGINT) AS kept_ms, max(end_ms) AS source_ms, count(*) AS n FROM segments GROUP BY clip_id", STEPS)
+@query("SELECT clip_id, CAST(coalesce(sum(CASE WHEN keep THEN end_ms - start_ms END), 0) AS BIGINT) AS kept_ms, max(end_ms) AS source_ms, count(*) AS n FROM reasoned GROUP BY clip_id", STEPS)
 def decision_heads(t: Tables):
     d = F.from_json("doc", "count bigint, kept_duration_ms bigint, source_duration_ms bigint")
     return D.pack_segments(R.rough_cut(t.words, t.durations)).select("clip_id", d["kept_duration_ms"].alias("kept_ms"), d["source_duration_ms"].alias("source_ms"), d["count"].alias("n"))

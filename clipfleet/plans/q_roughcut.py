@@ -43,7 +43,8 @@ STEPS |= {
     "buckets": "SELECT clip_id, i, keep, start_ms, end_ms, unnest(range(start_ms // 10000, end_ms // 10000 + 1)) AS b FROM pieces",
     "texts": "SELECT p.clip_id, p.i, string_agg(word, ' ' ORDER BY idx) AS text FROM buckets p JOIN words w ON p.clip_id = w.clip_id AND p.b = (w.start_ms + w.end_ms) // 20000 AND 2 * p.start_ms <= w.start_ms + w.end_ms AND w.start_ms + w.end_ms < 2 * p.end_ms GROUP BY p.clip_id, p.i",
     "marks": "SELECT p.clip_id, p.i, max(CASE WHEN label = 'filler' THEN 2 ELSE 1 END) AS rank FROM buckets p JOIN (SELECT *, unnest(range(start_ms // 10000, end_ms // 10000 + 1)) AS b FROM labelled WHERE label IS NOT NULL) m ON p.clip_id = m.clip_id AND p.b = m.b AND m.start_ms < p.end_ms AND m.end_ms > p.start_ms WHERE NOT keep GROUP BY p.clip_id, p.i",
-    "segments": "SELECT p.*, CASE WHEN keep THEN '' WHEN rank = 2 THEN 'filler' WHEN rank = 1 THEN 'false-start' ELSE 'silence' END AS reason, coalesce(text, '') AS text FROM pieces p LEFT JOIN texts USING (clip_id, i) LEFT JOIN marks USING (clip_id, i)",
+    "reasoned": "SELECT p.*, CASE WHEN keep THEN '' WHEN rank = 2 THEN 'filler' WHEN rank = 1 THEN 'false-start' ELSE 'silence' END AS reason FROM pieces p LEFT JOIN marks USING (clip_id, i)",
+    "segments": "SELECT p.*, coalesce(text, '') AS text FROM reasoned p LEFT JOIN texts USING (clip_id, i)",
     "events_": r"SELECT clip_id, line_no, contains(line, 'silence_start:') AS opens, CAST(round_even(CAST(regexp_extract(line, 'silence_(?:start|end):\s*(-?[0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE) * 1000, 0) AS BIGINT) AS ms FROM silence_log",
     "paired": "SELECT clip_id, line_no, ms, opens, lag(opens) OVER w AS was, lag(ms) OVER w AS prev, lead(opens) OVER w IS NULL AS last FROM events_ WINDOW w AS (PARTITION BY clip_id ORDER BY line_no)",
     "silences": "SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY line_no) AS n, CASE WHEN opens THEN ms ELSE prev END AS start_ms, CASE WHEN opens THEN NULL ELSE ms END AS end_ms FROM paired WHERE (NOT opens AND was) OR (opens AND last)",
@@ -99,10 +100,16 @@ def overlapping_keeps(t: Tables):
     return R.overlap_flags(R.cut_pieces(pads, t.durations)).drop("keep")
 
 
+@query("""SELECT clip_id, n, CASE WHEN lag(b_ms) OVER w > a_ms THEN (lag(e) OVER w + s) // 2 ELSE a_ms END AS a_ms, CASE WHEN lead(a_ms) OVER w < b_ms THEN (e + lead(s) OVER w) // 2 ELSE b_ms END AS b_ms
+FROM (SELECT p.*, r.start_ms AS s, r.end_ms AS e FROM wide_pads p JOIN runs r USING (clip_id, n)) x WINDOW w AS (PARTITION BY clip_id ORDER BY n)""", STEPS)
+def strict_pads(t: Tables):
+    return R.pad_runs(R.keep_runs(R.label_words(t.words)), t.durations, 200, 300, strict=True).drop("duration_ms")
+
+
 @query("""SELECT clip_id, CAST(coalesce(sum(CASE WHEN keep THEN end_ms - start_ms END), 0) AS BIGINT) AS kept_ms, max(end_ms) AS source_ms, count(*) AS n_segments, CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) AS n_keep,
-  CAST(coalesce(sum(CASE WHEN reason = 'filler' THEN end_ms - start_ms END), 0) AS BIGINT) AS filler_ms, CAST(coalesce(sum(CASE WHEN reason = 'false-start' THEN end_ms - start_ms END), 0) AS BIGINT) AS false_start_ms, CAST(coalesce(sum(CASE WHEN reason = 'silence' THEN end_ms - start_ms END), 0) AS BIGINT) AS silence_ms FROM segments GROUP BY clip_id""", STEPS)
+  CAST(coalesce(sum(CASE WHEN reason = 'filler' THEN end_ms - start_ms END), 0) AS BIGINT) AS filler_ms, CAST(coalesce(sum(CASE WHEN reason = 'false-start' THEN end_ms - start_ms END), 0) AS BIGINT) AS false_start_ms, CAST(coalesce(sum(CASE WHEN reason = 'silence' THEN end_ms - start_ms END), 0) AS BIGINT) AS silence_ms FROM reasoned GROUP BY clip_id""", STEPS)
 def cut_stats(t: Tables):
-    return R.cut_stats(R.rough_cut(t.words, t.durations))
+    return R.cut_stats(R.decisions(t.words, t.durations))
 
 
 @query("SELECT clip_id, i, start_ms, end_ms, reason, text FROM segments WHERE keep", STEPS)
@@ -120,7 +127,7 @@ def speech_regions(t: Tables):
     return R.speech_regions(R.read_silence_log(t.silence_log), t.durations, 100)
 
 
-@query("SELECT clip_id, n - 1 AS idx, concat('[speech ', n, ']') AS word, start_ms, end_ms, concat('speech', n) AS norm FROM regions", STEPS)
+@query("SELECT clip_id, n - 1 AS idx, concat('[speech ', n, ']') AS word, start_ms, end_ms, concat('speech', n) AS norm, 'und' AS language FROM regions", STEPS)
 def silence_transcript(t: Tables):
     return R.silence_transcript(R.speech_regions(R.read_silence_log(t.silence_log), t.durations, 100))
 

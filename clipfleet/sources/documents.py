@@ -36,10 +36,18 @@ def read_word_transcripts(docs: DataFrame) -> DataFrame:
     return rows.select("clip_id", n.cast("long").alias("idx"), "word", _ms(F.col("start")).alias("start_ms"), _ms(F.col("end")).alias("end_ms"), normalize_token(F.col("word")).alias("norm"))
 
 
-def write_word_transcripts(words: DataFrame) -> DataFrame:
-    """(clip_id, doc): one transcript of each clip."""
+def read_transcript_languages(docs: DataFrame) -> DataFrame:
+    """(clip_id, language) of each transcript that parses; null where it names none."""
+    d = F.from_json("doc", "language string, words array<string>, segments array<string>")
+    return docs.filter(F.get_json_object("doc", "$").isNotNull()).select("clip_id", d["language"].alias("language"))
+
+
+def write_word_transcripts(words: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """(clip_id, doc): one transcript of each clip; languages: clip_id, language."""
     each = F.struct("idx", F.col("word").alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
-    return words.groupBy("clip_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(each)).alias("words"))).alias("doc"))
+    rows = words.groupBy("clip_id").agg(F.array_sort(F.collect_list(each)).alias("words"))
+    rows = rows.join(languages, "clip_id", "left") if languages is not None else rows.withColumn("language", F.lit(None).cast("string"))
+    return rows.select("clip_id", F.to_json(F.struct("language", "words")).alias("doc"))
 
 
 def read_media_probe(docs: DataFrame) -> DataFrame:
@@ -71,18 +79,27 @@ def read_subject_tracks(docs: DataFrame) -> DataFrame:
 def read_occupancy(docs: DataFrame, to_w: int, to_h: int) -> DataFrame:
     """(clip_id, origin, rx, ry, rw, rh, start_ms, end_ms, caption_position): the windows of both flavours
     (`avoid_windows` of subjects, `items` of overlays), scaled to the target frame."""
-    d = F.from_json("doc", f"width double, height double, caption_position string, avoid_windows {_WINDOW}, items {_WINDOW}")
+    d = F.from_json("doc", f"frame_w double, frame_h double, width double, height double, caption_position string, avoid_windows {_WINDOW}, items {_WINDOW}")
     tag = lambda field, name: F.transform(F.coalesce(d[field], F.array().cast(_WINDOW)), lambda w: F.struct(F.lit(name).alias("origin"), w.alias("w")))
-    rows = docs.select("clip_id", d["width"].alias("fw"), d["height"].alias("fh"), d["caption_position"].alias("caption_position"), F.explode(F.concat(tag("avoid_windows", "subject"), tag("items", "overlay"))).alias("x"))
+    rows = docs.select("clip_id", F.coalesce(d["frame_w"], d["width"]).alias("fw"), F.coalesce(d["frame_h"], d["height"]).alias("fh"), d["caption_position"].alias("caption_position"), F.explode(F.concat(tag("avoid_windows", "subject"), tag("items", "overlay"))).alias("x"))
     fit = lambda c, size, to: half_even(F.col(f"x.w.{c}") * to / F.coalesce(size, F.lit(float(to))))
     fw, fh = F.col("fw"), F.col("fh")
     return rows.select("clip_id", "x.origin", fit("x", fw, to_w).alias("rx"), fit("y", fh, to_h).alias("ry"), fit("w", fw, to_w).alias("rw"), fit("h", fh, to_h).alias("rh"), _ms(F.col("x.w.start")).alias("start_ms"), _ms(F.col("x.w.end")).alias("end_ms"), "caption_position")
 
 
-def write_occupancy(windows: DataFrame, width: int, height: int, field: str = "avoid_windows") -> DataFrame:
-    """(clip_id, doc) of windows (clip_id, rx, ry, rw, rh, start_ms, end_ms)."""
+def read_caption_hints(docs: DataFrame) -> DataFrame:
+    """(clip_id, caption_position) of occupancy documents that hint at an anchor for captions."""
+    return docs.select("clip_id", F.from_json("doc", "caption_position string")["caption_position"].alias("caption_position")).filter("caption_position IS NOT NULL")
+
+
+def write_occupancy(windows: DataFrame, width: int, height: int, field: str = "avoid_windows", hints: DataFrame | None = None) -> DataFrame:
+    """(clip_id, doc) of windows (clip_id, rx, ry, rw, rh, start_ms, end_ms) in a frame of that size; hints: clip_id,
+    caption_position."""
     each = F.struct(F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rw").alias("w"), F.col("rh").alias("h"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"))
-    return windows.groupBy("clip_id").agg(F.to_json(F.struct(F.lit(width).alias("width"), F.lit(height).alias("height"), F.array_sort(F.collect_list(each)).alias(field))).alias("doc"))
+    rows = windows.groupBy("clip_id").agg(F.array_sort(F.collect_list(each)).alias(field))
+    rows = rows.join(hints, "clip_id", "left") if hints is not None else rows.withColumn("caption_position", F.lit(None).cast("string"))
+    kind = F.lit("subject" if field == "avoid_windows" else "overlay").alias("kind")
+    return rows.select("clip_id", F.to_json(F.struct(kind, F.lit(width).alias("frame_w"), F.lit(height).alias("frame_h"), "caption_position", field)).alias("doc"))
 
 
 def pack_decisions(rows: DataFrame, fields: list[str], order: str = "i", key: str = "clip_id", head: dict[str, Column] | None = None) -> DataFrame:

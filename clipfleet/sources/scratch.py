@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +12,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_OPEN: list[list[str]] = []
+_LEFT: list[tuple[SparkSession, str]] = []
+_OPEN = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    """The blocks that this thread has open."""
+    if not hasattr(_OPEN, "blocks"):
+        _OPEN.blocks = []
+    return _OPEN.blocks
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,28 +41,45 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _delete_left() -> None:
+    """Deletes what no block owned, if the session still runs."""
+    for spark, path in _LEFT:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, [path])
+
+
 def stored(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """df written to the scratch folder and read again: lineage ends there, and lost executors cost nothing before it.
 
-    Within `rounds` the table is deleted at the block's end, or, if it outlives the block, at that of the next one.
+    The table is deleted at the end of the `rounds` block around it or, if it outlives that, of the next block outward.
+    Results that a caller still reads lie outside all blocks of the library, so a job that wants them gone before the
+    session ends opens a block of its own around building and reading a query.
     """
     path = scratch_path(df.sparkSession, label)
+    blocks = _blocks()
+    owners = blocks[: len(blocks) - outlives]
+    if owners:
+        owners[-1].append(path)
+    else:
+        _LEFT.append((df.sparkSession, path))
     df.write.parquet(path)
-    notes = _OPEN[: len(_OPEN) - outlives]
-    if notes:
-        notes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def rounds(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that `stored` wrote inside, when the block ends without an error."""
-    _OPEN.append([])
+    """Deletes the tables that `stored` wrote inside, also half-written ones, when the block ends, with an error or not."""
+    blocks = _blocks()
+    blocks.append([])
     try:
         yield
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _OPEN[-1]:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
     finally:
-        _OPEN.pop()
+        _delete(spark, blocks.pop())

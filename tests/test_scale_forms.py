@@ -130,3 +130,51 @@ def test_phrases_are_found_from_their_rarest_token(spark):
             if i is not None:
                 want.append((n, c, i, i + m - 1))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("strip", [1, 4, 256])
+def test_components_by_strips(spark, strip):
+    rng, rows = random.Random(strip), []
+    cells = {m: {(x, y) for x in range(14) for y in range(40) if rng.random() < 0.62} for m in range(3)}
+    # a spiral: one component that turns round itself
+    cells[3] = {(x, y) for k in range(0, 20, 4) for x in range(k, 40 - k) for y in range(k, 40 - k) if (x in (k, 39 - k) or y in (k, 39 - k)) and (x, y) != (k, k + 1)} | {(k + i, k + 2) for k in range(0, 16, 4) for i in (1, 2, 3)}
+    for m, own in cells.items():
+        for x, y in own:
+            if (x - 1, y) not in own:
+                end = x
+                while (end, y) in own:
+                    end += 1
+                rows.append((m, y, x, end))
+    got = {(r.mask_id, r.y, r.x0): r.lab for r in zones.component_labels(spark.createDataFrame(rows, "mask_id long, y long, x0 long, x1 long"), strip, fan=2).collect()}
+    assert len(got) == len(rows)
+    for m, own in cells.items():
+        seen, parts = set(), {}
+        for c in sorted(own):
+            todo = [c] if c not in seen else []
+            while todo:
+                x, y = todo.pop()
+                if (x, y) in own and (x, y) not in seen:
+                    seen.add((x, y))
+                    parts[x, y] = c
+                    todo += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+        pairs = {(parts[x, y], got[m, y, x]) for q, y, x, _ in rows if q == m}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_scratch_tables_go_with_their_block(spark, sf_dir):
+    import glob
+
+    from clipfleet.plans import registry
+    from clipfleet.sources.scratch import rounds, scratch_root, stored
+
+    folder = scratch_root(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    with rounds(spark):
+        for name in ("main_component", "smooth_tracks"):
+            assert registry.QUERIES[name](spark, sf_dir).count()
+        assert set(glob.glob(f"{folder}/*")) > before
+    assert set(glob.glob(f"{folder}/*")) == before
+    with pytest.raises(ZeroDivisionError), rounds(spark):
+        stored(spark.range(3), "gone")
+        raise ZeroDivisionError
+    assert set(glob.glob(f"{folder}/*")) == before
