@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clipfleet.sources.scratch import rounds, scratch_path, stored
 
-__all__ = ["BLANKS", "connected_components", "id_filter", "join_hot", "n_words_of", "passes", "rounds", "salted", "scratch_path", "stored", "words_of"]
+__all__ = ["BLANKS", "connected_components", "id_filter", "join_counted", "join_hot", "n_words_of", "passes", "rounds", "salted", "scratch_path", "stored", "words_of"]
 
 #: The blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"\x20\x09-\x0D"
@@ -79,16 +79,26 @@ def passes(ids: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
 HOT_SHARE, SALT_ROWS = 2000, 256
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows left-joined with table, which has each key once and in `count` its number of rows.
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int, how: str = "left", keep: bool = False) -> DataFrame:
+    """rows joined with table, which has each key once and in `count` its number of rows; how is left or inner. The count
+    is dropped unless kept.
 
     Keys of more than a HOT_SHARE-th of all rows are fewer than HOT_SHARE, whatever the input, and are broadcast; the
     others are shuffled.
     """
-    least = total // HOT_SHARE + 1
-    hot = F.broadcast(table.filter(F.col(count) > least).drop(count))
-    cold = table.filter(F.col(count) <= least).drop(count)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+    least, key = total // HOT_SHARE + 1, [key] if isinstance(key, str) else key
+    parts = (table.filter(F.col(count) > least), table.filter(F.col(count) <= least))
+    hot, cold = (p if keep else p.drop(count) for p in parts)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, how))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, label: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once; the rows of each key are counted first, so that those of a key
+    with very many are not sent to one task. rows and table are read more than once."""
+    counted = stored(table.join(rows.groupBy(key).agg(F.count("*").alias("__n")), key), label)
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    return join_hot(rows, counted, key, "__n", int(total), how)
 
 
 def salted(rows: DataFrame, table: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:

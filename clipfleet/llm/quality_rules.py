@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import BLANKS, stored, words_of
+from clipfleet.llm.common import BLANKS, join_hot, stored, words_of
 
 MAX_DOCS, MIN_LEFT, MIN_SHARE = 20, 15, 0.2
 KEY = ["doc_id", "host", "text_hash"]
@@ -71,8 +71,10 @@ def frequent_lines(base: DataFrame, max_docs: int) -> DataFrame:
     once = base.dropDuplicates(KEY)
     whole = F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda y: y["h"]))))
     line = once.filter(F.size("lines") > 0).select(*KEY, whole.alias("whole"), F.explode("lines").alias("y")).select(*KEY, "whole", "y.h", "y.w")
-    often = line.groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("on_docs")).filter(F.col("on_docs") > max_docs)
-    return line.select(*KEY, "h", "w").join(often.select("host", "h"), ["host", "h"])
+    often = line.groupBy("host", "h", "whole").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.count("*").alias("on_docs"), F.sum("n").alias("n")).filter(F.col("on_docs") > max_docs)
+    often = stored(often.select("host", "h", "n"), "frequent")
+    # a banner of very many pages of a host is joined by broadcast
+    return join_hot(line.select(*KEY, "h", "w"), often, ["host", "h"], "n", int(often.agg(F.sum("n")).first()[0] or 0), "inner")
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, min_share: float = MIN_SHARE, **columns: str) -> DataFrame:
