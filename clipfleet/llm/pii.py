@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import stored
+from clipfleet.llm.common import join_counted, stored
 
 # fixed values: kinds and patterns of the base
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -144,12 +144,12 @@ def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, min_sc
     known = edges.filter("seed = 1").select("instance").distinct().withColumn("confidence", F.lit(1.0))
     known = confidence = stored(known, "known")
     for k in range(rounds):
-        held = edges.join(confidence, "instance", "left").withColumn("c", F.coalesce("confidence", F.lit(0.0)))
+        held = join_counted(edges, confidence, "instance", f"held{k}", "left").withColumn("c", F.coalesce("confidence", F.lit(0.0)))
         scores = held.groupBy("pattern").agg((F.sum("c") / F.count("*")).alias("score"), F.sum((F.col("c") >= min_score).cast("int")).alias("seeds")).filter(F.col("seeds") >= min_seeds)
         scores = stored(scores.select("pattern", "score"), f"scores{k}")
         if k + 1 < rounds:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-            found = edges.join(scores, "pattern").groupBy("instance").agg((1 - doubt).alias("confidence"))
+            found = join_counted(edges, scores, "pattern", f"found{k}").groupBy("instance").agg((1 - doubt).alias("confidence"))
             confidence = found.union(known).groupBy("instance").agg(F.max("confidence").alias("confidence"))
     return scores
 
@@ -160,7 +160,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min
     each = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     edges = each.filter("pattern IS NOT NULL").groupBy("pattern", "instance").agg(F.max((F.col("kind") < 4).cast("int")).alias("seed"))
     good = score_patterns(edges, rounds, min_seeds, min_score).filter(F.col("score") >= min_score).select("pattern")
-    added = each.filter("kind = 4").join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    added = join_counted(each.filter("kind = 4"), good, "pattern", "good").groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     base = F.transform(F.filter("spans", lambda s: s["kind"] < 4), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     both = rows.withColumn("base", base).join(added, "row", "left")
     return both.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
