@@ -152,12 +152,13 @@ def _postings(tokens: DataFrame, percent: int) -> DataFrame:
     """(t, id, n, k): prefix tokens under order A that two or more documents have in their prefixes."""
     each = tokens.select(F.explode("tokens").alias("t"), "id")
     df = each.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1")
-    met = each.join(df, "t").groupBy("id").agg(F.collect_list(F.struct(_late(percent).alias("late"), "k", "t")).alias("met"))
+    total = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    met = join_hot(each, df, "t", "k", int(total), "inner", keep=True).groupBy("id").agg(F.collect_list(F.struct(_late(percent).alias("late"), "k", "t")).alias("met"))
     own = met.join(tokens.select("id", "n", "p", F.size("tokens").alias("e")), "id")
     need = F.col("p") - (F.col("e") - F.size("met"))  # what tokens of one document leave of the prefix
     first = own.filter(need > 0).select("id", "n", F.explode(F.slice(F.sort_array("met"), 1, need.cast("int"))).alias("x")).select("x.t", "id", "n")
     first = stored(first, "prefixes")
-    return first.join(first.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1"), "t")
+    return join_hot(first, first.groupBy("t").agg(F.count("*").alias("k")).filter("k > 1"), "t", "k", first.count(), "inner", keep=True)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,12 +188,12 @@ def _components(docs: DataFrame, percent: int, width: int, id_col: str, text_col
     near = score.select("id")
     sets = stored(_sets(named, id_filter(near, "id")[0], width, percent).join(near, "id", "left_semi"), "sets")
     now = stored(now, "lists")
-    pivot = now.groupBy("t").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("pn"))).alias("p")).select("t", (-F.col("p.minus")).alias("pid"), "p.pn")
-    met = stored(now.join(pivot, "t").filter("id != pid").select("t", "id", "n", "pid", "pn"), "met")
+    pivot = now.groupBy("t").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), F.col("n").alias("pn"))).alias("p"), F.count("*").alias("k")).select("t", (-F.col("p.minus")).alias("pid"), "p.pn", "k")
+    met = stored(join_hot(now, pivot, "t", "k", now.count(), "inner").filter("id != pid").select("t", "id", "n", "pid", "pn"), "met")
     labels = connected_components(_verified(ordered(met.filter(fits(F.col("n"), F.col("pn"))), "id", "pid"), sets, jaccard))
     left = _labelled(met, labels, "id", "lab")
     mixed = left.groupBy("t").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count("*").alias("k")).filter("l0 < l1").select("t", "k")
-    left = stored(left.join(mixed, "t"), "left")
+    left = stored(join_hot(left, mixed, "t", "k", left.count(), "inner", keep=True), "left")
     few = left.filter(F.col("k") <= SMALL).select("t", "id", "n", "lab")
     other = few.select("t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("lab").alias("lab2"))
     pairs = stored(ordered(few.join(other, "t").filter((F.col("id") < F.col("id2")) & (F.col("lab") != F.col("lab2")) & fits(F.col("n"), F.col("n2"))), "id", "id2"), "pairs")
