@@ -14,7 +14,7 @@ which are `buckets` numbers whatever the corpus. Ranks come from a sort by range
 only these counts meet in the driver.
 
 Null texts have no words. A null doc_id hashes as the empty string and loses ties. Repeated rows count and rank each.
-Very long texts are taken whole, batch by batch. An empty table gives an empty result; without target texts all gains
+Very long texts are taken whole, in slices that end between words. An empty table gives an empty result; without target texts all gains
 follow from the smoothing alone.
 """
 
@@ -107,37 +107,64 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[128:] = True
 
 
-def features(texts: pa.Array, crc: SpanCrc, most: int = 1, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of each feature of a batch of texts, and each row's number of words.
+#: Bytes of text whose features are computed at once; their arrays take some 60 times as much.
+SLICE = 1 << 20
 
-    Words keep their places in one buffer, parted by a space, so a run of several words is one span of it.
+
+def _cut(at: int, live: np.ndarray, ends: np.ndarray, whole: bool) -> int:
+    """The first place from `at` on where the buffer may be cut: a text's end or, unless texts stay whole, between words."""
+    end = int(ends[np.searchsorted(ends, at)])
+    width = 256
+    while not whole and at < end:
+        gap = np.flatnonzero(~live[at : min(at + width, end)])
+        if len(gap):
+            return at + int(gap[0])
+        at, width = min(at + width, end), 2 * width
+    return end
+
+
+def features(texts: pa.Array, crc: SpanCrc, most: int = 1, buckets: int = BUCKETS, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, bucket, row of each word) of the features of a batch of texts, slice by slice of about `size` bytes.
+
+    Slices end between words, and for runs of several words at texts' ends. Words keep their places in one buffer, parted
+    by a space, so a run of several words is one span of it.
     """
     texts = texts.cast(pa.large_string())
-    size = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[size[0] : size[-1]]
-    ends = size[1:] - size[0]
-    live = _WORD[data := _LOWER[raw]]
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets[1:] - offsets[0]
+    lowered = _LOWER[raw]
+    live = _WORD[lowered]
+    lo, n = 0, len(raw)
+    while lo < n:
+        hi = _cut(lo + size, live, ends, most > 1) if lo + size < n else n
+        yield _slice_features(lowered[lo:hi], live[lo:hi], ends - lo, crc, most, buckets)
+        lo = hi
+
+
+def _slice_features(data: np.ndarray, live: np.ndarray, ends: np.ndarray, crc: SpanCrc, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # a word starts where one byte of a word follows another kind, or a text begins
-    fresh = np.ones(len(live) + 1, dtype=bool)
-    fresh[1:-1] = ~live[:-1]
-    fresh[ends[ends < len(live)]] = True
-    starts = np.flatnonzero(live & fresh[:-1])
-    stops = np.append(~live, True)
-    stops[ends] = True
-    after = np.flatnonzero(stops[1:] & live) + 1
+    within = ends[(ends > 0) & (ends < len(live))]
+    fresh = np.ones(len(live), dtype=bool)
+    fresh[1:] = ~live[:-1]
+    fresh[within] = True
+    starts = np.flatnonzero(live & fresh)
+    stops = np.append(~live[1:], True)
+    stops[within - 1] = True
+    after = np.flatnonzero(stops & live) + 1
     row = np.searchsorted(ends, starts, side="right")
-    words = np.bincount(row, minlength=len(texts)) if len(starts) else np.zeros(len(texts), dtype=np.int64)
     width = after - starts
     rows, found = [row], [crc(data, starts, width) % buckets]
     if most > 1 and len(starts):
         at = np.cumsum(width + 1) - (width + 1)
+        inner = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
         joined = np.full(int(at[-1] + width[-1]), 32, dtype=np.uint8)
-        joined[np.repeat(at, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)] = data[np.repeat(starts, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+        joined[np.repeat(at, width) + inner] = data[np.repeat(starts, width) + inner]
         for n in range(2, most + 1):
             k = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
             rows.append(row[k])
             found.append(crc(joined, at[k], at[k + n - 1] + width[k + n - 1] - at[k]) % buckets)
-    return np.concatenate(rows), np.concatenate(found).astype(np.int64), words
+    return np.concatenate(rows), np.concatenate(found).astype(np.int64), row
 
 
 def bucket_counts(texts: DataFrame, text_col: str = "text", most: int = 1, buckets: int = BUCKETS) -> np.ndarray:
@@ -146,7 +173,8 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", most: int = 1, bucke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc, total = SpanCrc(), np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            total += np.bincount(features(b.column(0), crc, most, buckets)[1], minlength=buckets)
+            for _, bucket, _ in features(b.column(0), crc, most, buckets):
+                total += np.bincount(bucket, minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "n": pa.array(total[some], pa.int64())})
 
@@ -170,10 +198,11 @@ def weigh(docs: DataFrame, gain: np.ndarray, most: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = SpanCrc()
         for b in batches:
-            row, bucket, words = features(b.column(1), crc, most, buckets)
-            n = np.bincount(row, minlength=b.num_rows)
-            weight = np.zeros(b.num_rows, dtype=np.int64)
-            np.add.at(weight, row, gain[bucket])
+            n, words, weight = (np.zeros(b.num_rows, dtype=np.int64) for _ in range(3))
+            for row, bucket, word in features(b.column(1), crc, most, buckets):
+                n += np.bincount(row, minlength=b.num_rows)
+                words += np.bincount(word, minlength=b.num_rows)
+                np.add.at(weight, row, gain[bucket])
             yield pa.record_batch({"doc_id": b.column(0), "n_words": pa.array(words, pa.int64()), "n_features": pa.array(n, pa.int64()), "weight": pa.array(weight, pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -41,16 +41,18 @@ def test_span_checksums(reach):
     assert crc(data, starts[:0], sizes[:0]).tolist() == []
 
 
+@pytest.mark.parametrize("size", [1, 50, 1 << 20])
 @pytest.mark.parametrize("most", [1, 3])
-def test_features_match_plain_hashing(most):
+def test_features_match_plain_hashing(most, size):
     rng = random.Random(most)
     texts = [x or "" for x in EDGE[:6] + EDGE[7:]] + ["".join(rng.choice(["a", "B", " ", "é", "-", "9", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     for array in (pa.array(texts), pa.array(["cut", *texts, "off"]).slice(1, len(texts))):
-        row, bucket, n = I.features(array, I.SpanCrc(7), most, 97)
-        got = [Counter() for _ in texts]
-        for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
-            got[r][b] += 1
-        for text, found, count in zip(texts, got, n.tolist(), strict=True):
+        got, n = [Counter() for _ in texts], Counter()
+        for row, bucket, word in I.features(array, I.SpanCrc(7), most, 97, size):
+            n.update(word.tolist())
+            for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+                got[r][b] += 1
+        for text, found, count in zip(texts, got, (n[k] for k in range(len(texts))), strict=True):
             w = words(text)
             assert count == len(w)
             assert found == Counter(zlib.crc32(" ".join(w[i : i + k]).encode()) % 97 for k in range(1, most + 1) for i in range(len(w) - k + 1))
