@@ -20,20 +20,33 @@ def streamed(rows: DataFrame, step, run) -> DataFrame:
     for k in range(3):
         rows.filter(step == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    run(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    with S.with_rocksdb(spark):
+        run(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-@query("SELECT clip_id, start_ms, end_ms FROM silences WHERE end_ms IS NOT NULL", STEPS)
+def closed(rows: DataFrame, key: str) -> DataFrame:
+    """rows and one of no key (null; other columns as in some row), a day after all, so that the watermark passes them."""
+    last = rows.agg(F.max_by(F.struct(*rows.columns), "at").alias("r")).filter("r IS NOT NULL").select("r.*")
+    return rows.unionByName(last.withColumn(key, F.lit(None).cast("long")).withColumn("at", F.col("at") + F.expr("INTERVAL 1 DAY")))
+
+
+@query("SELECT clip_id, start_ms, end_ms FROM silences", STEPS)
 def stream_silence_pairs(t: Tables):
     e = t.silence_log.select("clip_id", "line_no", F.col("line").contains("silence_start:").alias("opens"), F.rint(F.regexp_extract("line", r"(-?[0-9]+\.[0-9]+)$", 1).cast("double") * 1000).cast("long").alias("ms"))
-    return streamed(e, F.least(F.floor(F.col("line_no") / 40), F.lit(2)), S.silence_pairs)
+    e = closed(e.withColumn("at", F.timestamp_millis(F.col("ms") + 86_400_000)), "clip_id")
+    # every other line comes half a minute late, so rows of all batches but the last are out of order across batches
+    step = F.least(F.floor((F.unix_millis("at") - 86_400_000 + F.col("line_no") % 2 * 30_000) / 60_000), F.lit(2))
+    return streamed(e, step, S.silence_pairs).filter("clip_id IS NOT NULL")
 
 
 @query("""SELECT project_id, seq, eff AS effective, CASE WHEN seq = 1 THEN '' WHEN turned THEN 'framing,reframe,safezone,captions,qc' WHEN eff <> lag(eff) OVER w THEN 'safezone,captions,qc' ELSE '' END AS invalidated FROM (
   SELECT *, CASE WHEN turned THEN 'auto' ELSE resolution END AS eff FROM (SELECT *, coalesce(aspect <> lag(aspect) OVER (PARTITION BY project_id ORDER BY seq), false) AS turned FROM target_history) a) b WINDOW w AS (PARTITION BY project_id ORDER BY seq)""")
 def stream_target_changes(t: Tables):
-    return streamed(t.target_history, F.least(F.floor(F.col("seq") / 4), F.lit(2)), S.target_changes)
+    # a change a minute; every other one comes a minute late
+    h = closed(t.target_history.withColumn("at", F.timestamp_millis(F.col("seq") * 60_000 + 86_400_000)), "project_id")
+    step = F.least(F.floor((F.col("seq") + F.col("seq") % 2) / 4), F.lit(2))
+    return streamed(h, step, lambda s: S.target_changes(s, 120_000)).filter("project_id IS NOT NULL")
 
 
 @query("SELECT clip_id, min(start_ms) AS start_ms, max(start_ms) AS end_ms, count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY start_ms) AS session FROM (SELECT clip_id, start_ms, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY clip_id ORDER BY start_ms) > 600 THEN 1 ELSE 0 END AS o FROM words) a) b GROUP BY clip_id, session")

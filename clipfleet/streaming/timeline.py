@@ -1,37 +1,141 @@
 """Structured Streaming forms: silence pairing, pause sessions and target changes.
 
-Each takes and returns a streaming DataFrame. State is kept by key and bounded: one pending start or one target a key.
-Rows that come later than the watermark are dropped.
+Each takes and returns a streaming DataFrame. Rows may come out of order, also across batches, as long as they are late by
+no more than late_ms; later ones are dropped as soon as the watermark of the batch before has passed them. `silence_pairs` and `target_changes` keep state by key with timers, which
+needs the RocksDB state store (`with_rocksdb`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-def silence_pairs(events: DataFrame) -> DataFrame:
-    """(clip_id, start_ms, end_ms) from events (clip_id, line_no, opens, ms): a start waits, also across batches, until an
-    end closes it; a newer start takes its place."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(batches)).sort_values("line_no")
-        for opens, ms in zip(rows["opens"], rows["ms"], strict=True):
-            if opens:
-                pending = int(ms)
-            elif pending is not None:
-                out.append((key[0], pending, int(ms)))
-                pending = None
-        state.update((pending,))
-        yield pd.DataFrame(out, columns=["clip_id", "start_ms", "end_ms"])
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's own setting comes back at the end."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
-    return events.groupBy("clip_id").applyInPandasWithState(run, "clip_id long, start_ms long, end_ms long", "pending long", "append", GroupStateTimeout.NoTimeout)
+
+class InOrder(StatefulProcessor):
+    """Hands a key's rows on in order, once the watermark has passed them.
+
+    Rows that are still early wait in `early`, so it holds no more than the rows of one lateness; `carry` is what the rows
+    handed on so far leave, with the time of the last one. One timer a key stands at its earliest waiting row or, with
+    none, idle_ms after its last row: then `leave` says what is left over and nothing of the key stays.
+    """
+
+    fields: list[str]
+    carried: str
+    given: str
+    returned: list[str]
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def step(self, carry: tuple | None, row: tuple, out: list[tuple]) -> tuple:
+        """What a row leaves after it; row is (at_ms, order, ...)."""
+        raise NotImplementedError
+
+    def leave(self, carry: tuple, out: list[tuple]) -> None:
+        """Adds what a key that ends still owes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.early = handle.getListState("early", self.given)
+        self.carry = handle.getValueState("carry", f"last_ms long, {self.carried}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        plain = lambda v: None if v is None or v != v else getattr(v, "item", lambda: v)()
+        new = [tuple(map(plain, r)) for frame in rows for r in frame[self.fields].itertuples(index=False)]
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        return self._settle(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, new: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        rows = [*(self.early.get() if self.early.exists() else ()), *new]
+        early = [r for r in rows if r[0] > mark]
+        carry = tuple(self.carry.get()) if self.carry.exists() else None
+        out: list[tuple] = []
+        for r in sorted((r for r in rows if r[0] <= mark), key=lambda r: (r[1], r[0], repr(r))):
+            last = max(r[0], carry[0]) if carry else r[0]
+            carry = (last, *self.step(carry[1:] if carry else None, r, out))
+        if carry and not early and self.idle_ms is not None and carry[0] + self.idle_ms <= mark:
+            self.leave(carry[1:], out)
+            carry = None
+        self.early.put(early) if early else self.early.clear()
+        self.carry.update(carry) if carry else self.carry.clear()
+        if early:
+            self.handle.registerTimer(min(r[0] for r in early))
+        elif carry and self.idle_ms is not None:
+            self.handle.registerTimer(carry[0] + self.idle_ms)
+        if out:
+            yield pd.DataFrame([(None if key[0] else key[1], *r) for r in out], columns=self.returned, dtype=object)
+
+
+class _Pairs(InOrder):
+    fields, given = ["at_ms", "line_no", "opens", "ms"], "at_ms long, line_no long, opens boolean, ms long"
+    carried, returned = "pending long", ["clip_id", "start_ms", "end_ms"]
+
+    def step(self, carry, row, out):
+        pending = carry[0] if carry else None
+        if row[2]:
+            return (row[3],)
+        if pending is not None:
+            out.append((pending, row[3]))
+        return (None,)
+
+    def leave(self, carry, out):
+        if carry[0] is not None:
+            out.append((carry[0], None))
+
+
+class _Targets(InOrder):
+    fields, given = ["at_ms", "seq", "aspect", "resolution"], "at_ms long, seq long, aspect string, resolution string"
+    carried, returned = "aspect string, resolution string", ["project_id", "seq", "effective", "invalidated"]
+
+    def step(self, carry, row, out):
+        _, seq, aspect, resolution = row
+        turned = carry is not None and carry[0] != aspect
+        now = "auto" if turned else resolution
+        hit = "" if carry is None else "framing,reframe,safezone,captions,qc" if turned else "safezone,captions,qc" if now != carry[1] else ""
+        out.append((seq, now, hit))
+        return (aspect, now)
+
+
+def _grouped(rows: DataFrame, key: str, needed: list[str], late_ms: int):
+    """rows by key, in two columns without nulls: nulls would turn whole keys into floats on their way to Python."""
+    rows = rows.dropna(subset=["at", *needed]).withWatermark("at", f"{late_ms} milliseconds")
+    rows = rows.select(F.isnull(key).alias("without"), F.coalesce(key, F.lit(0)).cast("long").alias("key"), "at", F.unix_millis("at").alias("at_ms"), *needed)
+    return rows.groupBy("without", "key")
+
+
+def silence_pairs(events: DataFrame, late_ms: int = 60_000, idle_ms: int = 600_000) -> DataFrame:
+    """(clip_id, start_ms, end_ms) from events (clip_id, line_no, opens, ms, at): a start waits, also across batches, until
+    an end closes it; a newer start takes its place.
+
+    `at` is the event's time and doesn't fall as line_no grows. Once the watermark is idle_ms past a clip's last event, its
+    open silence leaves with a null end and its state goes; an event after that begins the clip anew. Events without a
+    clip form a clip of their own; those without another value leave; of events of one line the earlier comes first.
+    Columns of any other name are ignored.
+    """
+    rows = _grouped(events, "clip_id", ["line_no", "opens", "ms"], late_ms)
+    return rows.transformWithStateInPandas(_Pairs(idle_ms), "clip_id long, start_ms long, end_ms long", "Append", "EventTime")
 
 
 def pause_sessions(words: DataFrame, gap_ms: int = 600, late_ms: int = 60_000) -> DataFrame:
@@ -43,20 +147,13 @@ def pause_sessions(words: DataFrame, gap_ms: int = 600, late_ms: int = 60_000) -
     return rows.select("clip_id", ms(F.col("w.start")).alias("start_ms"), (ms(F.col("w.end")) - gap_ms).alias("end_ms"), "n")
 
 
-def target_changes(history: DataFrame) -> DataFrame:
-    """(project_id, seq, effective, invalidated) from (project_id, seq, aspect, resolution): the batch rule, with the
-    effective target of each project kept as state."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else None
-        out = []
-        for seq, aspect, resolution in pd.concat(list(batches)).sort_values("seq")[["seq", "aspect", "resolution"]].itertuples(index=False):
-            turned = before is not None and before[0] != aspect
-            now = "auto" if turned else resolution
-            hit = "" if before is None else "framing,reframe,safezone,captions,qc" if turned else "safezone,captions,qc" if now != before[1] else ""
-            out.append((key[0], seq, now, hit))
-            before = (aspect, now)
-        state.update(before)
-        yield pd.DataFrame(out, columns=["project_id", "seq", "effective", "invalidated"])
+def target_changes(history: DataFrame, late_ms: int = 60_000, idle_ms: int | None = None) -> DataFrame:
+    """(project_id, seq, effective, invalidated) from (project_id, seq, aspect, resolution, at): the batch rule, with the
+    effective target of each project kept as state.
 
-    return history.groupBy("project_id").applyInPandasWithState(run, "project_id long, seq long, effective string, invalidated string", "aspect string, resolution string", "append", GroupStateTimeout.NoTimeout)
+    `at` doesn't fall as seq grows. That state is one row a project; with idle_ms it goes once the watermark is so far
+    past a project's last change, and a change after that counts as the first. Rows without a value other than the
+    project leave; columns of any other name are ignored.
+    """
+    rows = _grouped(history, "project_id", ["seq", "aspect", "resolution"], late_ms)
+    return rows.transformWithStateInPandas(_Targets(idle_ms), "project_id long, seq long, effective string, invalidated string", "Append", "EventTime")
