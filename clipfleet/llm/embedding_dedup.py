@@ -11,10 +11,13 @@ a link, and stopping there finds every link. With target_recall < 1 it stops ear
 QUERIES vectors, chosen by hash and compared with all others by brute force, is reached; each vector with links weighs
 the same, and where fewer than LEAST_LINKED have any, it stops at the bound.
 
-Verification: the cells of a label, in order, are dealt to blocks of about the same size; a large cell spans several. A
-query goes once to each block that holds a visited cell, whatever the number of these, and as links are symmetric only
-to blocks from its own on. Every (asking block, asked block) is one small group in which all cosines are computed in
-double precision. A group returns, for each vector, the number of its links and the smallest id that it reaches inside
+Blocks: the cells of a label, in order, are dealt to blocks of about the same size; a large cell spans several. The
+search runs over parts of a label beside the block ranges of its cells and returns blocks, never cells: each vector
+carries one number for each block that it asks. It ends early once no block is left to ask. As links are symmetric, a
+query asks only blocks from its own on. Vectors of a cell or label with very many meet its row by broadcast.
+
+Verification: every (asking block, asked block) is one small group in which all cosines are computed in double
+precision. A group returns, for each vector, the number of its links and the smallest id that it reaches inside
 the group: enough for exact counts and components, and never a row per pair. Equal vectors of a label are one weighted
 member.
 
@@ -35,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipfleet.llm.common import connected_components, stored
+from clipfleet.llm.common import connected_components, join_hot, stored
 
 SAMPLE, LEAST_CODEWORDS, CHUNK = 8192, 16, 1024
 QUERIES, TARGET, LEAST_SHARE, LEAST_LINKED, BINS = 512, 0.9999, 0.05, 64, 64
-GROWTH, BLOCKS, SLAB = 8, 64, 512
+GROWTH, BLOCKS, SLAB, PART = 8, 64, 512, 1024
 
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
@@ -103,42 +106,67 @@ def lower_bounds(d: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out**2
 
 
-def visit(b1: np.ndarray, b2: np.ndarray, radius2: float) -> list[tuple[int, int]]:
+def traverse(b1: np.ndarray, b2: np.ndarray, radius2: float) -> Iterator[tuple[int, int]]:
     """Cells in ascending order of b1[i] + b2[j], up to radius2 (multi-sequence traversal)."""
-    o1, o2 = np.argsort(b1, kind="stable"), np.argsort(b2, kind="stable")
-    heap, out, seen = [(b1[o1[0]] + b2[o2[0]], 0, 0)], [], {(0, 0)}
+    o1, o2 = np.argsort(b1, kind="stable").tolist(), np.argsort(b2, kind="stable").tolist()
+    c1, c2 = b1[o1].tolist(), b2[o2].tolist()
+    heap, seen = [(c1[0] + c2[0], 0, 0)], {(0, 0)}
     while heap:
         cost, i, j = heapq.heappop(heap)
         if cost > radius2:
             break
-        out.append((int(o1[i]), int(o2[j])))
+        yield o1[i], o2[j]
         for n in ((i + 1, j), (i, j + 1)):
             if n[0] < len(o1) and n[1] < len(o2) and n not in seen:
                 seen.add(n)
-                heapq.heappush(heap, (b1[o1[n[0]]] + b2[o2[n[1]]], *n))
-    return out
+                heapq.heappush(heap, (c1[n[0]] + c2[n[1]], *n))
 
 
-def _cells(members: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim: int, radius2: float) -> DataFrame:
-    """members with `cell`, its own, and `visits`, the cells of its search. Cell -dim is that of other lengths."""
+def _own_cells(members: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, dim: int) -> DataFrame:
+    """members with `cell`, that of their nearest codewords. Cell -dim is that of other lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(b.schema.get_field_index("dim")).to_numpy(zero_copy_only=False)
-            own, to = -dims.astype(np.int64), [[int(-d)] for d in dims]
+            own = -dims.astype(np.int64)
             some = np.flatnonzero(dims == dim)
             if len(some) and books:
                 unit = b.column(b.schema.get_field_index("unit"))
                 x = np.frombuffer(b"".join(unit[int(i)].as_py() for i in some), dtype=np.float64).reshape(len(some), dim)
-                h, k = dim // 2, len(books[1])
-                d1, d2 = _distances(x[:, :h], books[0]), _distances(x[:, h:], books[1])
-                own[some] = d1.argmin(1) * k + d2.argmin(1)
-                b1, b2 = lower_bounds(d1, books[0]), lower_bounds(d2, books[1])
-                for n, i in enumerate(some):
-                    to[i] = sorted({int(own[i]), *(p * k + q for p, q in visit(b1[n], b2[n], radius2 + 1e-9))})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64()), pa.array(to, pa.list_(pa.int64()))], [*b.schema.names, "cell", "visits"])
+                own[some] = _distances(x[:, : dim // 2], books[0]).argmin(1) * len(books[1]) + _distances(x[:, dim // 2 :], books[1]).argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], [*b.schema.names, "cell"])
+
+    return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", cell long")
+
 
-    return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", cell long, visits array<long>")
+def _search(books: tuple[np.ndarray, np.ndarray] | None, dim: int, radius2: float):
+    """For a part of a label's members and the block ranges of its cells: members with `blocks`, those of its own and
+    later number that hold a cell of the search, and `visited`, the cells seen until the bound or until no block is left."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[["label", "dim", "own", "cls", "id", "weight", "unit"]]
+        span = {int(c): range(int(f), int(t) + 1) for c, f, t in zip(right["cell"], right["first"], right["last"], strict=True)}
+        end, blocks, visited = max((r.stop for r in span.values()), default=0), [], []
+        if key[1] != dim or books is None:
+            return left.assign(blocks=[list(range(int(o), end)) for o in left["own"]], visited=1)
+        h, k = dim // 2, len(books[1])
+        for at in range(0, len(left), SLAB):
+            part = left.iloc[at : at + SLAB]
+            x = np.frombuffer(b"".join(part["unit"]), dtype=np.float64).reshape(len(part), dim)
+            b1, b2 = (lower_bounds(_distances(y, c), c) for y, c in ((x[:, :h], books[0]), (x[:, h:], books[1])))
+            for n, own in enumerate(part["own"]):
+                own, seen = int(own), 0
+                asked = {own}
+                for i, j in traverse(b1[n], b2[n], radius2 + 1e-9):
+                    seen += 1
+                    asked.update(q for q in span.get(i * k + j, ()) if q > own)
+                    if len(asked) == end - own:
+                        break
+                blocks.append(sorted(asked))
+                visited.append(seen)
+        return left.assign(blocks=blocks, visited=visited)
+
+    return run
 
 
 def _share(members: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, threshold: float, target: float) -> float:
@@ -209,7 +237,8 @@ def _compare(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int | None = None, sample: int = SAMPLE, target_recall: float = 1.0, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept, visited) of every row; visited counts the cells that its search saw, of
+    codewords^2, and is null where a vector links with nothing."""
     rows = stored(unit_vectors(vectors, id_col, vector_col, label_col), "units")
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
     classes = good.groupBy("label", "dim", "unit").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
@@ -224,27 +253,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, codewords: int
         books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
         if target_recall < 1:
             share = _share(classes, books, dim, threshold, target_recall)
-    placed = stored(_cells(classes, books, dim, share * (2 - 2 * threshold)), "cells")
-    cell, size = ["label", "dim", "cell"], max(chunk, min(GROWTH * chunk, classes.count() // BLOCKS))
+    total = classes.count()
+    placed = stored(_own_cells(classes, books, dim), "cells")
+    cell, size = ["label", "dim", "cell"], max(chunk, min(GROWTH * chunk, total // BLOCKS))
     before = Window.partitionBy("label", "dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over cells, not vectors
     cells = placed.groupBy(*cell).agg(F.count("*").alias("members")).withColumn("lo", F.coalesce(F.sum("members").over(before), F.lit(0)))
     cells = stored(cells, "spans")
     at = lambda place: F.floor(place / size).cast("int")
-    placed = placed.join(cells, cell).withColumn("own", at(F.col("lo") + F.pmod(F.xxhash64("unit"), F.col("members")))).select("label", "dim", "own", "cls", "id", "weight", "unit", "visits")
+    # a part of a label has at least as many vectors as the label has cells, so copies of cells stay below the vectors
+    parts = cells.groupBy("label", "dim").agg(F.sum("members").alias("n"), F.count("*").alias("k"))
+    parts = stored(parts.select("label", "dim", "n", F.ceil(F.col("n") / F.greatest("k", F.lit(PART))).alias("parts")), "parts")
+    placed = join_hot(placed, cells, cell, "members", total, "inner", keep=True).withColumn("own", at(F.col("lo") + F.pmod(F.xxhash64("unit"), F.col("members"))))
+    placed = join_hot(placed, parts, ["label", "dim"], "n", total, "inner").withColumn("part", F.pmod(F.xxhash64("cls"), "parts")).drop("parts", "cell", "members", "lo")
+    to = cells.select(*cell, at(F.col("lo")).alias("first"), at(F.col("lo") + F.col("members") - 1).alias("last")).join(parts, ["label", "dim"])
+    to = to.select(*cell, "first", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    part, columns = ["label", "dim", "part"], "label string, dim int, own int, cls long, id long, weight long, unit binary"
+    placed = placed.groupBy(*part).cogroup(to.groupBy(*part)).applyInPandas(_search(books, dim, share * (2 - 2 * threshold)), columns + ", blocks array<int>, visited long")
     placed = stored(placed, "blocks")
-    to = cells.select(*cell, at(F.col("lo")).alias("first"), at(F.col("lo") + F.col("members") - 1).alias("last"))
-    asks = placed.select("label", "dim", "own", "cls", F.explode("visits").alias("cell")).join(to, cell).filter("last >= own")
-    asks = asks.select("label", "dim", "own", "cls", F.explode(F.sequence(F.greatest("own", "first"), F.col("last"))).alias("block")).distinct()
-    asks = stored(asks, "asks")
     group = ["label", "dim", "own", "block"]
-    ask = asks.join(placed.select("cls", "id", "weight", "unit"), "cls").select(*group, "cls", "id", "weight", "unit")
-    base = placed.drop("visits").withColumnRenamed("own", "block").join(asks.select(*group).distinct(), ["label", "dim", "block"]).select(*group, "cls", "id", "weight", "unit")
+    member = ["cls", "id", "weight", "unit"]
+    ask = placed.withColumn("block", F.explode("blocks")).select(*group, *member)
+    base = placed.drop("blocks", "visited").withColumnRenamed("own", "block").join(ask.select(*group).distinct(), ["label", "dim", "block"]).select(*group, *member)
     base = base.select(*[F.col(c).alias(f"in_{c}") for c in base.columns])
     found = ask.groupBy(*group).cogroup(base.groupBy(*[f"in_{c}" for c in group])).applyInPandas(_compare(threshold), "cls long, n long, a long, b long")
     found = stored(found, "links")
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select("a", "b"))
-    per = classes.join(counts, "cls", "left").join(labels, classes["id"] == labels["id"], "left").select("label", "dim", "unit", classes["id"].alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
+    per = placed.join(counts, "cls", "left").join(labels, placed["id"] == labels["id"], "left").select("label", "dim", "unit", "visited", placed["id"].alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
     on = (rows["label"] == per["label"]) & (rows["dim"] == per["dim"]) & (rows["unit"] == per["unit"]) & rows["id"].isNotNull()
-    both = rows.join(per, on, "left").select(rows["id"].alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", rows["id"]).alias("component_id"))
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    both = rows.join(per, on, "left").select(rows["id"].alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", rows["id"]).alias("component_id"), "visited")
+    return both.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "visited")

@@ -51,7 +51,7 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).drop("visited")
 
 
 def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

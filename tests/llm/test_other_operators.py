@@ -124,6 +124,24 @@ def test_calibrated_recall(spark, sf_dir):
     assert full > 500 and fast >= 0.99 * full
 
 
+def test_parts_of_labels_and_hot_cells(spark, monkeypatch):
+    """Parts of 8 vectors, blocks of 4 and a cell and a label with a third of all rows give what one part gives."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 8)) * 0.02 + rng.normal(size=8), rng.normal(size=(120, 8))])
+    x = np.concatenate([x, x[60:90] + rng.normal(size=(30, 8)) * 0.05])
+    label = [1] * 60 + [int(k) for k in rng.integers(1, 4, 120)] + [None] * 5
+    rows = [(k, [float(c) for c in v], label[k] if k < 180 else label[k - 120]) for k, v in enumerate(x)] + [(500, [1.0, 2.0, 3.0], 1), (501, [1.0, 2.0, 3.1], 1), (502, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "PART", 8)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, codewords=2, chunk=4).collect()}
+    u, lab = x / np.linalg.norm(x, axis=1)[:, None], np.array([r[2] for r in rows[:210]])
+    link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None])
+    np.fill_diagonal(link, False)
+    assert [got[k].n_links for k in range(210)] == link.sum(1).tolist() and link[180:].sum() > 20
+    assert (got[500].n_links, got[501].component_id, got[502].n_links, got[502].visited) == (1, 500, 0, None)
+    assert all(1 <= got[k].visited <= 4 for k in range(210))
+
+
 def test_small_groups_beside_a_hot_one(spark):
     rng = np.random.default_rng(11)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
@@ -161,7 +179,7 @@ def test_codebooks_grow():
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(9), rng.random(7)
-    cells = embedding_dedup.visit(a, b, 0.9)
+    cells = list(embedding_dedup.traverse(a, b, 0.9))
     cost = [a[i] + b[j] for i, j in cells]
     assert cost == sorted(cost) and len(set(cells)) == len(cells) == int((a[:, None] + b[None] <= 0.9).sum())
 
