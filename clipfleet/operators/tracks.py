@@ -1,15 +1,18 @@
 """Subject tracks and crop windows over time.
 
-Sampling and interpolation are windows. The smoothing recurrences are scans in two levels over chunks of a track: what a
-chunk makes of the value before it is an affine map for means, and for limits a map of rising pieces whose corners are
-few; both chain. Keyframes come from splitting all tracks level by level.
+Sampling and interpolation are windows. Tracks that fit a task's memory with ease are smoothed and split as a stream, a
+track at a time; nearly all do. Of longer ones the smoothing recurrences are scans in two levels over chunks: what a chunk
+makes of the value before it is an affine map for means, and for limits a map of rising pieces whose corners are few; both
+chain. Their keyframes come from splitting all tracks level by level.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -190,13 +193,88 @@ def simplify(points: DataFrame, tolerance: float = 3.0, most: int = 200) -> Data
     return all_.join(keys, [*own, "g"], "left").withColumn("key", F.coalesce("key", F.lit(False)))
 
 
-def smooth_tracks(grid: DataFrame, sizes: DataFrame, fps: int = 15, speed: float = 0.12, tolerance: float = 3.0) -> DataFrame:
+#: Samples of a track that one task smooths and splits at once: 55 minutes at 15 a second.
+WHOLE = 50_000
+
+
+def _split(t: np.ndarray, v: np.ndarray, first: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether each point is kept, as of `simplify`, for tracks (their first point and length) that follow each other."""
+    key = np.zeros(len(v), bool)
+    a, b = first, first + n - 1
+    key[a] = key[b] = True
+    while True:
+        inner = b - a > 1
+        a, b = a[inner], b[inner]
+        if not len(a):
+            return key
+        size = b - a - 1
+        off = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(of)) - off[of] + a[of] + 1
+        p, q = a[of], b[of]
+        d = np.abs(v[at] - (v[p] + (v[q] - v[p]) * (t[at] - t[p]) / np.maximum(t[q] - t[p], 1e-9)))
+        top = np.maximum.reduceat(d, off)
+        hits = np.flatnonzero(d == top[of])
+        far = at[hits[np.searchsorted(of[hits], np.arange(len(a)))]][top > tolerance]
+        a, b = a[top > tolerance], b[top > tolerance]
+        key[far] = True
+        a, b = np.concatenate([a, far]), np.concatenate([far, b])
+
+
+def smooth_whole(samples: DataFrame, fps: int = 15, speed: float = 0.12, tau: float = 0.6, tolerance: float = 3.0) -> DataFrame:
+    """`simplify` of `smooth` for tracks of which a task can hold any: one shuffle, then a stream of whole tracks."""
+    keep = math.exp(-1 / fps / tau)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("g").to_numpy() == 0)
+            at = int(starts[-1]) if len(starts) else 0
+            if len(starts) and (held or at):
+                yield pa.Table.from_batches([*held, b.slice(0, at)])
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole(batches):
+            g, t, raw, side = (part.column(c).to_numpy() for c in ("g", "t_ms", "raw", "side"))
+            first = np.flatnonzero(g == 0)
+            n = np.diff(first, append=len(g))
+            v = np.empty(len(g))
+            for at, m in zip(first.tolist(), n.tolist(), strict=True):
+                x, limit = raw[at : at + m].tolist(), float(side[at]) * speed / fps
+                x = _means(x, x[0], keep)[::-1]
+                x = _means(x, x[0], keep)[::-1]
+                x = _held(x, x[0], limit)[::-1]
+                v[at : at + m] = _held(x, x[0], limit)[::-1]
+            rows = part.select(["clip_id", "axis", "g", "t_ms", "raw"]).append_column("v", pa.array(v)).append_column("key", pa.array(_split(t, v, first, n, tolerance)))
+            yield from rows.combine_chunks().to_batches()
+
+    rows = samples.select("clip_id", "axis", "g", "t_ms", "raw", "side").repartition("clip_id", "axis").sortWithinPartitions("clip_id", "axis", "g")
+    return rows.mapInArrow(run, f"clip_id {samples.schema['clip_id'].dataType.simpleString()}, axis string, g long, t_ms double, raw double, v double, key boolean")
+
+
+def smooth_tracks(grid: DataFrame, sizes: DataFrame, fps: int = 15, speed: float = 0.12, tolerance: float = 3.0, whole: int = WHOLE) -> DataFrame:
     """(clip_id, axis, g, t_ms, raw, v, key): both axes of each clip smoothed, with the points that keyframes need.
 
-    sizes: clip_id, src_w, src_h. The step limit is `speed` source sides a second.
+    sizes: clip_id, src_w, src_h. The step limit is `speed` source sides a second. Tracks of more than `whole` samples go
+    by chunks and levels, which spread one over tasks but write all their points several times.
     """
-    axes = grid.join(sizes, "clip_id").select("clip_id", "g", "t_ms", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("cx").alias("raw"), F.col("src_w").alias("side")), F.struct(F.lit("y").alias("axis"), F.col("cy").alias("raw"), F.col("src_h").alias("side")))).alias("a")).select("clip_id", "g", "t_ms", "a.*")
-    return simplify(smooth(axes, fps, speed), tolerance).select("clip_id", "axis", "g", "t_ms", "raw", "v", "key")
+    from clipfleet.sources.scratch import stored
+
+    def axes(g: DataFrame) -> DataFrame:
+        both = F.array(F.struct(F.lit("x").alias("axis"), F.col("cx").alias("raw"), F.col("src_w").alias("side")), F.struct(F.lit("y").alias("axis"), F.col("cy").alias("raw"), F.col("src_h").alias("side")))
+        return g.join(sizes, "clip_id").select("clip_id", "g", "t_ms", F.explode(both).alias("a")).select("clip_id", "g", "t_ms", "a.*")
+
+    grid = stored(grid, "grid")
+    long = stored(grid.groupBy("clip_id").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("clip_id"), "long")
+    if long.isEmpty():
+        return smooth_whole(axes(grid), fps, speed, tolerance=tolerance)
+    short = smooth_whole(axes(grid.join(long, "clip_id", "left_anti")), fps, speed, tolerance=tolerance)
+    parted = simplify(smooth(axes(grid.join(long, "clip_id", "left_semi")), fps, speed), tolerance)
+    return short.unionByName(parted.select(*short.columns))
 
 
 def collapse_windows(windows: DataFrame, both: bool = True) -> DataFrame:
@@ -220,9 +298,9 @@ def follow_crop(track: DataFrame, crops: DataFrame, lock: str = "none") -> DataF
     some = track.join(enough.select("clip_id"), "clip_id", "left_semi")
     s = smooth_tracks(resample_track(some), crops.select("clip_id", "src_w", "src_h"))
     used = ["x"] if lock in ("none", "x") else ["y"] if lock == "y" else ["x", "y"]
-    keys = s.filter(F.col("axis").isin(used)).groupBy("clip_id", "g").agg(F.bool_or("key").alias("key"))
-    at = s.groupBy("clip_id", "g", "t_ms").agg(F.max(F.when(F.col("axis") == "x", F.col("v"))).alias("vx"), F.max(F.when(F.col("axis") == "y", F.col("v"))).alias("vy"))
-    rows = at.join(keys.filter("key").select("clip_id", "g"), ["clip_id", "g"]).join(enough.select("clip_id", "mx", "my"), "clip_id").join(crops, "clip_id")
+    of = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("v"))).alias(f"v{axis}")
+    at = s.groupBy("clip_id", "g", "t_ms").agg(of("x"), of("y"), F.bool_or(F.col("key") & F.col("axis").isin(used)).alias("key")).filter("key").drop("key")
+    rows = at.join(enough.select("clip_id", "mx", "my"), "clip_id").join(crops, "clip_id")
     half = F.lit(2.0)
     x = {"none": F.col("vx") - F.col("crop_w") / half}.get(lock, F.col("x") + F.col("vx") - F.col("mx") if lock in ("x", "both") else F.col("x").cast("double"))
     y = F.col("y") + F.col("vy") - F.col("my") if lock in ("y", "both") else F.col("y").cast("double")
