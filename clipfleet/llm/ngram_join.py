@@ -18,7 +18,7 @@ Method
     fewer: only so many of a difference's rarest tokens are posted, few as they are beside a long difference. These
     lists (one for all tokens that the same members hold) are treated like the first ones: where the pairs are SMALL a member or fewer, they are compared
     directly; another takes the member nearest to the pivot as its own pivot, and so on until no list holds two labels. A list
-    lacks its group's pivot, so it is smaller; lists of the same members are one. Each pass costs its postings only, and
+    lacks its group's pivot, so it is smaller; lists of the same members, or of one group with the same most listed member, are one. Each pass costs its postings only, and
     no link is lost.
 
 Long-lived results are written to the shared folder; the graph part uses `common.connected_components`.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfleet.llm.common import connected_components, id_filter, join_hot, passes, rounds, salted, stored
@@ -248,10 +248,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, jaccard) -> DataFrame:
 
 
 def _by_difference(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(gid, t, id, n, lab, d, at, far, first, k, few): members of groups on tokens of their differences from
+    """(gid, t, id, n, lab, d, far, at, first, over, few): members of groups on tokens of their differences from
     the pivot, in lists where a member of another label than the pivot's (far) can meet one that looks for partners there (first).
-    groups: gid, pid, pn, id, n, lab, plab. k is a list's length, d a difference's, `at` the place in it of a
-    class of tokens, t; few says
+    groups: gid, pid, pn, id, n, lab, plab. d is a difference's length, `at` the place in it of a class of tokens, t; few says
     that far and first members make SMALL pairs a member or fewer."""
     mine, pivots = sets.select("id", "items"), sets.select(F.col("id").alias("pid"), F.col("items").alias("pitems"))
     groups, pivots = salted(groups.drop("salt"), pivots, "pid", "id")
@@ -260,15 +259,16 @@ def _by_difference(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
     least_shared = F.floor(((100 + percent) * d + (100 - percent) * (F.col("pn") - F.col("n"))) / (2.0 * (100 + percent))) + 1  # more than that many
     diff = stored(diff.select("gid", "id", "n", "lab", d.alias("d"), (F.col("lab") != F.col("plab")).alias("far"), (d - least_shared + 1).alias("need"), "diff"), "differences")
     each = diff.select("gid", "id", F.explode("diff").alias("token"))
-    # tokens that the same members hold are one class t: they stand together in every order, and count together
+    # tokens that the same members hold are one class t: they stand together in every order, and members meet its least token only
     holders = F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string")
     df = each.groupBy("gid", "token").agg(F.count("*").alias("k"), F.xxhash64(holders).alias("t")).filter("k > 1")
+    classes = df.groupBy("gid", "k", "t").agg(F.min("token").alias("token"), F.count("*").alias("size"))
     # tokens of one member come first in its order and match nothing
-    own = each.join(df, ["gid", "token"]).groupBy("gid", "id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s")).join(diff.drop("diff"), ["gid", "id"])
-    alone = F.col("d") - F.size("s")
-    heads = F.filter(F.transform("s", lambda x, i: F.struct((alone + i).alias("at"), x["t"].alias("t"), F.coalesce(x != F.get("s", i - 1), F.lit(True)).alias("head"))), lambda x: x["head"] & (percent * x["at"] <= (100 - percent) * F.col("n")))
-    rows = own.select("gid", "id", "n", "lab", "d", "far", "need", F.explode(heads).alias("x"))
-    rows = rows.select("gid", "x.t", "id", "n", "lab", "d", "far", "x.at", (F.col("x.at") < F.col("need")).alias("first"))
+    own = Window.partitionBy("gid", "id")
+    before = F.sum("size").over(own.orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    met = each.join(classes, ["gid", "token"]).select("gid", "id", "t", (before - F.sum("size").over(own)).alias("place"))
+    rows = met.join(diff.drop("diff"), ["gid", "id"]).withColumn("at", (F.col("d") + F.col("place")).cast("int")).filter(percent * F.col("at") <= (100 - percent) * F.col("n"))
+    rows = rows.select("gid", "t", "id", "n", "lab", "d", "far", "at", (F.col("at") < F.col("need")).alias("first"))
     rows = stored(rows.filter("far OR first"), "shared")
     # what stands before a first common token belongs to one of the two only: over(x) + over(y) <= 0 for a link
     rows = rows.withColumn("over", (100 + percent) * F.col("at") - (100 - percent) * F.col("n"))
@@ -276,17 +276,23 @@ def _by_difference(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
     low = rows.groupBy("gid", "t").agg(least("far").alias("f"), least("first").alias("p")).filter("f + p <= 0")
     rows = rows.join(low, ["gid", "t"]).filter("(far AND over + p <= 0) OR (first AND over + f <= 0)").drop("f", "p")
     n_of = lambda c: F.sum(F.expr(c).cast("long"))
-    kept = rows.groupBy("gid", "t").agg(F.count("*").alias("k"), n_of("far").alias("f"), n_of("first").alias("p"), n_of("over <= 0").alias("low"), F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("members")).filter("f > 0 AND p > 0 AND l0 < l1")
+    kept = rows.groupBy("gid", "t").agg(F.count("*").alias("k"), n_of("far").alias("f"), n_of("first").alias("p"), n_of("over <= 0").alias("low"), F.min("lab").alias("l0"), F.max("lab").alias("l1")).filter("f > 0 AND p > 0 AND l0 < l1")
     few = (F.col("f") * F.col("p") <= SMALL * F.col("k")) | (F.col("low") <= SMALL)
-    return stored(rows.join(kept.select("gid", "t", "k", few.alias("few"), "members"), ["gid", "t"]), "meetings")
+    return stored(rows.join(kept.select("gid", "t", few.alias("few")), ["gid", "t"]), "meetings")
 
 
 def _next_groups(lists: DataFrame) -> DataFrame:
-    """(gid, pid, pn, plab, id, n, lab): each list as a group of its own, about its member nearest to the old pivot."""
-    heads = lists.groupBy("gid", "t", "k", "members").agg(F.min(F.struct("d", "n", "id", "lab")).alias("p"))
-    heads = heads.groupBy("k", "members").agg(F.min(F.struct("p", "gid", "t")).alias("h"))  # lists of the same members are one
-    heads = heads.select("h.gid", "h.t", F.xxhash64("k", "members").alias("next"), F.col("h.p.id").alias("pid"), F.col("h.p.n").alias("pn"), F.col("h.p.lab").alias("plab"))
-    rows = lists.join(heads, ["gid", "t"]).filter("id != pid")
+    """(gid, pid, pn, plab, id, n, lab): the lists as groups of their own, each about its member nearest to the old pivot.
+
+    Lists of one group that share the member which is on most of the group's lists are one group: where lists lie within
+    one another, as those of ever shorter copies do, a member would else be on as many lists as others are shorter."""
+    most = lists.groupBy("gid", "id").agg(F.count("*").alias("on"))
+    hubs = lists.join(most, ["gid", "id"]).groupBy("gid", "t").agg(F.max(F.struct("on", (-F.col("id")).alias("minus"))).alias("h")).select("gid", "t", F.col("h.minus").alias("hub"))
+    rows = stored(lists.join(hubs, ["gid", "t"]).select("gid", "hub", "id", "n", "lab", "d").distinct(), "unions")
+    heads = rows.groupBy("gid", "hub").agg(F.min(F.struct("d", "n", "id", "lab")).alias("p"), F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).cast("string").alias("members"))
+    heads = heads.groupBy("k", "members").agg(F.min(F.struct("p", "gid", "hub")).alias("h"))  # groups of the same members are one
+    heads = heads.select("h.gid", "h.hub", F.xxhash64("k", "members").alias("next"), F.col("h.p.id").alias("pid"), F.col("h.p.n").alias("pn"), F.col("h.p.lab").alias("plab"))
+    rows = rows.join(heads, ["gid", "hub"]).filter("id != pid")
     return rows.select(F.col("next").alias("gid"), "pid", "pn", "plab", "id", "n", "lab")
 
 
